@@ -68,7 +68,7 @@ def classify_quality(df: DataFrame, limits: QualityLimits = QualityLimits(), nam
 
 def parse_tags(text="tags") -> Column:
     """Sorted tags of a ``;`` list, NULL when the list is empty, repeats a tag, has an unknown one or mixes ``normal``."""
-    parts = F.filter(F.transform(F.split(F.col(text), ";"), F.trim), lambda t: t != "")
+    parts = F.filter(F.transform(F.split(F.col(text), ";"), lambda t: F.trim(t)), lambda t: t != "")
     good = (
         (F.size(parts) > 0) & (F.size(F.array_distinct(parts)) == F.size(parts))
         & (F.size(F.array_except(parts, F.array(*[F.lit(t) for t in VALID_TAGS]))) == 0)

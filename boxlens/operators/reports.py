@@ -210,11 +210,15 @@ def tag_values(boxes: DataFrame, cls: str = "kind", value: str = "detail") -> Da
     return boxes.groupBy(cls, value).agg(F.count("*").alias("n"))
 
 
-def profile_quality(rows: DataFrame, metrics: list[str], limits: dict[str, Column]) -> tuple[DataFrame, DataFrame]:
-    """Percentile table (0, 10, 50, 90, 100) of every metric, and the number of rows past each limit."""
+def profile_quality(rows: DataFrame, metrics: list[str]) -> DataFrame:
+    """Percentile table (0, 10, 50, 90, 100) of every metric."""
     long = rows.unpivot([], metrics, "metric", "value")
-    table = exact_percentiles(long, ["metric"], "value", [0.0, 0.1, 0.5, 0.9, 1.0])
-    return table, rows.agg(*[F.count_if(c).alias(n) for n, c in limits.items()])
+    return exact_percentiles(long, ["metric"], "value", [0.0, 0.1, 0.5, 0.9, 1.0])
+
+
+def limit_counts(rows: DataFrame, limits: dict[str, Column]) -> DataFrame:
+    """How many rows pass each named limit, in one pass."""
+    return rows.agg(*[F.count_if(c).alias(n) for n, c in limits.items()])
 
 
 def quartiles_by_kind(rows: DataFrame, by: list[str], value: str) -> DataFrame:

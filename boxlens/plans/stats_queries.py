@@ -330,15 +330,28 @@ def _(spark, sf):
     return compared_of(Inputs(spark, sf)).filter("detector <> 'D1'").select("tag", "detector", "kind", C.verdict().alias("verdict"))
 
 
-@query("E22_pick_config", with_views("fx_det fx_truth fx_images", f""", {COMPARED},
-ok AS (SELECT c.* FROM compare c JOIN compare r ON r.tag='tune' AND r.detector='D1' AND r.kind=c.kind WHERE c.tag='tune' AND c.detector <> 'D1'
-    AND ({VERDICT.replace('"precision"', 'c."precision"').replace('recall_significant', 'c.recall_significant').replace('precision_significant', 'c.precision_significant').replace('delta_recall', 'c.delta_recall').replace('delta_precision', 'c.delta_precision')}) IN ('improvement', 'no_difference', 'recall_loss') AND c.frag_per_hit <= r.frag_per_hit + 10),
+# a third detector that never splits a find in pieces, so that a setting can win against D2
+def with_whole_pieces(i: Inputs):
+    return i.det.unionByName(i.det.filter("detector = 'D1' AND did % 10 = 0").withColumn("detector", F.lit("D3")))
+
+
+DET3 = "det3 AS (SELECT * FROM fx_det UNION ALL SELECT image, 'D3', kind, did, x1, y1, x2, y2 FROM fx_det WHERE detector='D1' AND did % 10 = 0)"
+COMPARED3 = COMPARED.replace("fx_det", "det3").replace("('D1'),('D2')", "('D1'),('D2'),('D3')").replace("q.detector='D1'", "q.detector='D2'")
+
+
+@query("E22_pick_config", with_views("fx_det fx_truth fx_images", f""", {DET3}, {COMPARED3},
+judged AS (SELECT *, {VERDICT} AS verdict FROM compare WHERE detector <> 'D2'),
+ok AS (SELECT c.* FROM judged c JOIN compare r ON r.tag='tune' AND r.detector='D2' AND r.kind=c.kind WHERE c.tag='tune' AND c.verdict='improvement' AND c.frag_per_hit <= r.frag_per_hit),
 best AS (SELECT kind, detector FROM (SELECT *, row_number() OVER (PARTITION BY kind ORDER BY fake_per_img, detector) AS z FROM ok) WHERE z = 1)
 SELECT b.kind, b.detector, v.delta_recall AS val_delta_recall, v."precision" AS val_precision, v.delta_recall >= 0 AND v."precision" >= 0.108 AS confirmed
 FROM best b LEFT JOIN compare v ON v.tag='val' AND v.kind=b.kind AND v.detector=b.detector""", recursive=True))
 def _(spark, sf):
-    c = compared_of(Inputs(spark, sf))
-    return rounded(C.pick_config(c.filter("detector <> 'D1'"), c.filter("detector = 'D1'")), "val_delta_recall", "val_precision")
+    i = Inputs(spark, sf)
+    names, groups = ["D1", "D2", "D3"], parts_of(i)
+    scores = M.evaluate(i.images, with_whole_pieces(i), i.truth, names)
+    reps = E.replicates(scores, groups, [(d, k, "in50") for d in names for k in ("crack", "pothole")], N_BOOT)
+    c = E.compare_runs(reps, groups.groupBy("tag").agg(F.count("*").alias("n_images")), "D2")
+    return rounded(C.pick_config(c.filter("detector <> 'D2'"), c.filter("detector = 'D2'")), "val_delta_recall", "val_precision")
 
 
 @query("D14_quartiles_by_kind", with_views("fx_det", """SELECT kind, detector, count(*) AS n, round(quantile_cont((x2-x1)*(y2-y1), 0.25), 6) AS p25,
