@@ -180,9 +180,9 @@ def validate_mask(metrics: DataFrame, rules: MaskRules = MaskRules()) -> DataFra
         missing = F.when(F.col(name).isNull(), F.lit(f"{name}:undefined"))
         (reasons if rules.undefined_metric_policy == "fail" else warnings).append(missing)
         if low is not None:
-            reasons.append(F.when(F.col(name) < low, F.format_string(f"{name}<{low} (%.4f)", F.col(name))))
+            reasons.append(F.when(F.col(name) < low, F.format_string(f"{name}<{low} (%.4f)", F.bround(F.col(name), 4))))
         if high is not None:
-            reasons.append(F.when(F.col(name) > high, F.format_string(f"{name}>{high} (%.4f)", F.col(name))))
+            reasons.append(F.when(F.col(name) > high, F.format_string(f"{name}>{high} (%.4f)", F.bround(F.col(name), 4))))
     why = F.array_compact(F.array(*reasons))
     soft = F.array_compact(F.array(*warnings)) if warnings else F.array().cast("array<string>")
     return metrics.withColumns({"fail_reasons": why, "warnings": soft, "status": F.when(F.size(why) == 0, "PASS").otherwise("FAIL")})

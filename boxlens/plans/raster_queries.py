@@ -147,8 +147,8 @@ def _(spark, sf):
 
 
 @query("R8_quality_masked", with_views("fx_pixels", f""", {QUALITY_SQL}, m AS (SELECT * FROM r WHERE v > 115 AND NOT (image % 50 = 0)), bx AS (SELECT image, min(y) AS y0, max(y)-min(y)+1 AS bh, min(x) AS x0, max(x)-min(x)+1 AS bw FROM m GROUP BY image),
-    blk AS (SELECT image, CASE WHEN y-y0 < (bh%4)*(bh//4+1) THEN (y-y0)//(bh//4+1) ELSE bh%4 + (y-y0-(bh%4)*(bh//4+1))//(bh//4) END AS by, CASE WHEN x-x0 < (bw%4)*(bw//4+1) THEN (x-x0)//(bw//4+1) ELSE bw%4 + (x-x0-(bw%4)*(bw//4+1))//(bw//4) END AS bx, v FROM m JOIN bx USING (image) WHERE bh >= 4 AND bw >= 4),
-    bs AS (SELECT image, CASE WHEN count(*) >= 2 THEN stddev_pop(a) END AS s FROM (SELECT image, by, bx, avg(v) AS a FROM blk GROUP BY ALL HAVING count(*) >= 2) GROUP BY image),
+    blk AS (SELECT image, CASE WHEN y-y0 < (bh%4)*(bh//4+1) THEN (y-y0)//(bh//4+1) ELSE bh%4 + (y-y0-(bh%4)*(bh//4+1))//(bh//4) END AS b_y, CASE WHEN x-x0 < (bw%4)*(bw//4+1) THEN (x-x0)//(bw//4+1) ELSE bw%4 + (x-x0-(bw%4)*(bw//4+1))//(bw//4) END AS b_x, v FROM m JOIN bx USING (image) WHERE bh >= 4 AND bw >= 4),
+    bs AS (SELECT image, CASE WHEN count(*) >= 2 THEN stddev_pop(a) END AS s FROM (SELECT image, b_y, b_x, avg(v) AS a FROM blk GROUP BY ALL HAVING count(*) >= 2) GROUP BY image),
     q AS (SELECT image, avg(v) AS gm, stddev_pop(v) AS gs, avg((v<130)::INT) AS d, avg((v>150)::INT) AS b, avg((v=0 OR v=255)::INT) AS s, var_pop(lap) FILTER (v > 120) AS lv,
         sum(abs(nz)) FILTER (v > 120 AND x BETWEEN 1 AND 6 AND y BETWEEN 1 AND 6) * sqrt(pi()/2) / (6*nullif(count(*) FILTER (v > 120 AND x BETWEEN 1 AND 6 AND y BETWEEN 1 AND 6), 0)) AS ns FROM m GROUP BY image)
     SELECT i.image, round(gm, 6) AS gray_mean, round(gs, 6) AS gray_std, round(bs.s, 6) AS block_mean_std_4x4, round(d, 6) AS dark_ratio, round(b, 6) AS bright_ratio, round(q.s, 6) AS saturation_ratio, round(lv, 4) AS laplacian_variance, round(ns, 6) AS noise_sigma
