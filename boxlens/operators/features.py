@@ -8,7 +8,8 @@ from pyspark.sql import functions as F
 from ..functions import boxes as B
 from ..functions import ratios
 from ..params import INSIDE_SHARE
-from .matching import _greedy_count, as_truth, overlap_pairs
+from ..session import checkpoint
+from .matching import GROUP_PAIR_LIMIT, _greedy_count, _greedy_in_rounds, as_truth, oversized_groups, overlap_pairs
 from .ranks import auc, exact_percentiles
 
 
@@ -96,6 +97,7 @@ def best_cell(sweep: DataFrame) -> DataFrame:
 
 def grid_search(
     cands: DataFrame, truth: DataFrame, images: DataFrame, grid: list[dict[str, float]], lower: list[str] = [], tile: float = 512.0,
+    limit: int = GROUP_PAIR_LIMIT,
 ) -> DataFrame:
     """Hits, fakes, misses and fakes per image of every parameter setting on every split part.
 
@@ -115,12 +117,22 @@ def grid_search(
     n_det = passing(cands).join(split, "image").groupBy("grid", "split").agg(F.count("*").alias("n_det"))
     pairs = overlap_pairs(cands, as_truth(truth.select("image", "kind", "gid", *B.DET_BOX)), ["image", "kind"], tile=tile)
     pairs = pairs.withColumn("inside", B.inside_share()).filter(F.col("inside") >= INSIDE_SHARE).select("image", "kind", "did", "gid", "inside", *names)
-    grouped = passing(pairs).groupBy("grid", "image", "kind").agg(
+    by, keys = ["grid", "image", "kind"], ["image", "kind"]
+    big = oversized_groups(cands, truth, keys, keys, limit)
+    small = pairs if big is None else pairs.join(big, keys, "left_anti")
+    grouped = passing(small).groupBy(*by).agg(
         F.collect_list(F.struct("inside", F.col("did").cast("bigint").alias("did"), F.col("gid").cast("bigint").alias("gid"))).alias("_p")
     )
-    hits = grouped.select(
-        "grid", "image", _greedy_count(F.col("_p"), "inside").alias("tp"), F.size(F.array_distinct(F.transform("_p", lambda p: p["did"]))).alias("inside")
-    ).join(split, "image").groupBy("grid", "split").agg(F.sum("tp").alias("tp"), F.sum("inside").alias("n_inside"))
+    per_image = grouped.select(
+        "grid", "image", _greedy_count(F.col("_p"), "inside").cast("bigint").alias("tp"),
+        F.size(F.array_distinct(F.transform("_p", lambda p: p["did"]))).cast("bigint").alias("inside"),
+    )
+    if big is not None:
+        hot = checkpoint(passing(pairs.join(big, keys, "left_semi")).select(*by, F.col("inside").alias("score"), "did", "gid"))
+        tp = _greedy_in_rounds(hot, by).groupBy(*by).agg(F.count("*").alias("tp"))
+        inside = hot.groupBy(*by).agg(F.count_distinct("did").alias("inside"))
+        per_image = per_image.unionByName(inside.join(tp, by).select("grid", "image", "tp", "inside"))
+    hits = per_image.join(split, "image").groupBy("grid", "split").agg(F.sum("tp").alias("tp"), F.sum("inside").alias("n_inside"))
     parts = split.groupBy("split").agg(F.count("*").alias("n_images"))
     n_gt = truth.join(split, "image").groupBy("split").agg(F.count("*").alias("n_gt"))
     base = parts.join(n_gt, "split", "left").withColumn("grid", F.explode(F.sequence(F.lit(0), F.lit(len(grid) - 1))))

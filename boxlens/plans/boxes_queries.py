@@ -109,7 +109,7 @@ _ROI = """CASE o_custkey % 6 WHEN 0 THEN 'full' WHEN 1 THEN 'bottom_half' WHEN 2
     coalesce({_ROI}, 'bottom_half') AS roi, o_custkey % 120 AS pct FROM orders),
 b AS (SELECT *, greatest(1, CAST(round_even(h * pct / 100.0, 0) AS BIGINT)) AS kept, roi LIKE 'bottom_%' AND roi <> 'bottom_half' AS is_pct FROM a),
 c AS (SELECT image, w, h,
-    CASE WHEN is_pct AND pct NOT BETWEEN 1 AND 100 THEN NULL WHEN roi='10,20,300,200' THEN 10 WHEN roi='400,10,500,300' THEN 400 ELSE 0 END AS x,
+    CAST(CASE WHEN is_pct AND pct NOT BETWEEN 1 AND 100 THEN NULL WHEN roi='10,20,300,200' THEN 10 WHEN roi='400,10,500,300' THEN 400 ELSE 0 END AS BIGINT) AS x,
     CASE WHEN roi='full' THEN 0 WHEN roi='bottom_half' THEN h // 2 WHEN is_pct AND pct BETWEEN 1 AND 100 THEN h - kept
         WHEN roi='10,20,300,200' THEN 20 WHEN roi='400,10,500,300' THEN 10 END AS y,
     CASE WHEN is_pct AND pct NOT BETWEEN 1 AND 100 THEN NULL WHEN roi='10,20,300,200' THEN 300 WHEN roi='400,10,500,300' THEN 500 ELSE w END AS cw,

@@ -39,6 +39,15 @@ def rows_of(pdf_cols, records):
     return [pdf_cols[i] for i in order], sorted((tuple(_norm(r[i]) for i in order) for r in records), key=_key)
 
 
+TYPES = {"bigint": "BIGINT", "int": "INTEGER", "double": "DOUBLE", "string": "VARCHAR", "boolean": "BOOLEAN", "date": "DATE", "timestamp": "TIMESTAMP"}
+
+
+def type_differences(spark_df, con, sql):
+    """Columns whose DuckDB type is not the counterpart of the Spark type."""
+    want = {r[0]: r[1] for r in con.execute("DESCRIBE " + sql).fetchall()}
+    return [f"{n}: {t} / {want.get(n)}" for n, t in spark_df.dtypes if TYPES.get(t, t) != want.get(n)]
+
+
 def compare(name, spark_df, con, sql):
     got_cols, got = rows_of(spark_df.columns, [tuple(r) for r in spark_df.collect()])
     cur = con.execute(sql)
@@ -88,6 +97,9 @@ def main(argv):
             df = fn(spark, folder)
             if name in oracles:
                 problem = compare(name, df, con, oracles[name])
+                odd = type_differences(df, con, oracles[name])
+                if odd:
+                    print(f"types {name} {odd}", flush=True)
             else:
                 n = df.count()
                 problem = None if n else "no rows"

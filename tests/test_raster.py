@@ -289,3 +289,60 @@ def test_refine_keeps_a_divided_road(spark):
     df = table(spark, {1: m}).withColumn("mask", F.col("v") == 1)
     got = plane_of(CC.refine_mask(df, close=3, open_=3, hole_ratio=0.02, min_ratio=0.05).withColumn("m", F.col("mask").cast("int")).collect(), "m", m.shape)
     assert got[10:12, 5:7].all() and not got[3, 19] and got[15, 5] and got[15, 30]
+
+
+def test_box_cues_by_brute_force(spark):
+    rng = np.random.default_rng(9)
+    shape = (26, 32)
+    b, g, r = (rng.integers(10, 240, shape).astype(float) for _ in range(3))
+    gray = np.floor(0.114 * b + 0.587 * g + 0.299 * r + 0.5)
+    rows = [(1, y, x, 32, 26, *(float(p[y, x]) for p in (b, g, r, gray, gray / 3))) for y in range(26) for x in range(32)]
+    px = spark.createDataFrame(rows, "image long, y long, x long, w long, h long, b double, g double, r double, gray double, grad double")
+    box = (8, 6, 19, 15)
+    det = spark.createDataFrame([(1, 1, *map(float, box), 32, 26), (1, 2, 3.0, 3.0, 5.0, 9.0, 32, 26)], "image long, did long, x1 double, y1 double, x2 double, y2 double, w long, h long")
+    got = CU.box_cues(px, det).collect()
+    assert [q.did for q in got] == [1], "a box under four pixels wide is not measured"
+    q = got[0]
+    inside, window = np.zeros(shape, bool), np.zeros(shape, bool)
+    inside[6:15, 8:19] = True
+    window[max(0, 6 - 4):15 + 4, max(0, 8 - 5):19 + 5] = True
+    ring = window & ~inside
+    total = b + g + r + 1
+    gi, go = gray[inside], gray[ring]
+    iqr = max(np.percentile(go, 75) - np.percentile(go, 25), 1)
+    assert q.dark_p10 == pytest.approx((np.percentile(go, 10) - np.percentile(gi, 10)) / iqr)
+    assert q.dark == pytest.approx((np.median(go) - np.median(gi)) / iqr)
+    assert q.tex == pytest.approx(gi.std() / go.std())
+    assert q.grad == pytest.approx(gi.mean() / go.mean())
+    assert q.chroma == pytest.approx(100 * np.hypot(np.median((r / total)[inside]) - np.median((r / total)[ring]), np.median((g / total)[inside]) - np.median((g / total)[ring])))
+    assert q.aspect == pytest.approx(11 / 9) and q.rel_y == pytest.approx(10.5 / 26)
+
+
+def test_onroad_cues_by_brute_force(spark):
+    rng = np.random.default_rng(11)
+    shape = (24, 30)
+    v = rng.integers(60, 200, shape).astype(float)
+    maps = table(spark, {1: v}).selectExpr("*", "v AS smooth", "v * 2 AS ta", "v - 100 AS tb", "v + 7 AS tc", "v / 2 AS score", "v / 4 AS big")
+    det = spark.createDataFrame([(1, 1, 10.0, 8.0, 16.0, 11.0, 30, 24)], "image long, did long, x1 double, y1 double, x2 double, y2 double, w long, h long")
+    pts = [(8 + k // 3, 10 + k) for k in range(6)]
+    points = spark.createDataFrame([(1, 1, y, x) for y, x in pts], "image long, did long, y long, x long")
+    got = CU.onroad_cues(maps, points, det, strong=F.col("score") >= 60, big=["big"]).first()
+    ring = np.zeros(shape, bool)
+    ring[max(0, int(9.5 - 9)):int(9.5 + 9), max(0, 13 - 12):13 + 12] = True
+    ring[6:13, 8:18] = False
+    w, own = v[ring], np.array([v[p] for p in pts])
+    assert got.depth == pytest.approx((np.median(w) - own.mean()) / max(np.percentile(w, 75) - np.percentile(w, 25), 2))
+    a, b, c = (w * 2).sum(), (w - 100).sum(), (w + 7).sum()
+    xy = np.array([(x, y) for y, x in pts], float)
+    _, _, vt = np.linalg.svd(xy - xy.mean(0))
+    along = np.arctan2(vt[0, 1], vt[0, 0]) - (0.5 * np.arctan2(2 * b, a - c) + np.pi / 2)
+    assert got.streak == pytest.approx((np.hypot(a - c, 2 * b) / (a + c)) ** 2 * np.cos(along) ** 2)
+    assert got.strong == pytest.approx((own / 2 >= 60).mean()) and got.persist_big == pytest.approx(0.5)
+    assert got.snr == pytest.approx((own / 2).mean() / np.percentile(w / 2, 95))
+
+
+def test_rough_candidates_respect_the_area_limits(spark):
+    m = np.zeros((40, 40))
+    m[5:15, 5:15], m[20:22, 20:22], m[25:40, 0:39] = 1, 1, 1
+    got = CU.rough_candidates(table(spark, {1: m}), F.col("v") == 1, 0.02, 0.2).collect()
+    assert [(c.x1, c.y1, c.x2, c.y2, c.area) for c in got] == [(5.0, 5.0, 15.0, 15.0, 100)]

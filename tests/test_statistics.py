@@ -154,3 +154,18 @@ def test_verdict_table(spark):
     ]
     df = spark.createDataFrame(rows, "precision double, delta_recall double, recall_significant boolean, delta_precision double, precision_significant boolean, want string")
     assert all(r.got == r.want for r in df.withColumn("got", C.verdict()).collect())
+
+
+def test_grid_search_treats_hot_images_the_same(spark):
+    from boxlens.plans.stats_queries import GRID
+
+    i = Inputs(spark, FOLDER)
+    cands = i.det.filter("detector = 'D1'").selectExpr(
+        "CASE WHEN image % 3 = 0 THEN 7 ELSE image END AS image", "kind", "did", "x1", "y1", "x2", "y2", "double(did div 10 % 97) AS chroma",
+        "greatest(x2-x1, y2-y1)/least(x2-x1, y2-y1) AS aspect", "(y1+y2)/2/440.0D AS rel_y",
+    )
+    truth = i.truth.withColumn("image", F.expr("CASE WHEN image % 3 = 0 THEN 7 ELSE image END"))
+    parts = i.images.selectExpr("image", "CASE WHEN image % 10 < 7 THEN 'tune' ELSE 'val' END AS split")
+    grid = GRID[::9]
+    a, b = (sorted(map(tuple, X.grid_search(cands, truth, parts, grid, ["rel_y"], limit=n).collect())) for n in (1 << 40, 400))
+    assert a == b and len(a) == 2 * len(grid)
