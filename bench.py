@@ -14,7 +14,7 @@ from boxlens.session import build_session  # noqa: E402
 
 HEADLINE = [
     "C1_overlap_pairs", "C2_greedy_one_to_one", "C5_evaluate", "C8_separation", "C12_nearest_box", "C13_near_pairs", "D3_ledger_metrics", "D4_summarize",
-    "D13_shape_percentiles", "D18_threshold_sweep", "D19_grid_search", "E1_bootstrap_poisson", "E1_bootstrap_ci", "E2_bootstrap_compare", "E6_auc", "E8_cut_table",
+    "D13_shape_percentiles", "D18_threshold_sweep", "D19_grid_search", "E1_bootstrap_poisson", "E1_bootstrap_ci", "E6_auc", "E8_cut_table",
     "E13_calibrate_threshold", "E16_stratified_systematic_split", "R7_quality", "R14_components", "R17_cell_features", "R23_line_score", "R25_hysteresis", "R28_guided_filter",
     "R35_row_robust_z",
 ]

@@ -224,8 +224,8 @@ def evaluate(
     scored = images.filter("has_gt").select("image")
     by, truth_by = ["image", config, "kind"], ["image", "kind"]
     known = F.col("kind").isin(*KINDS)
-    det = det.filter(known).join(scored, "image", "left_semi")
-    truth = truth.filter(known).join(scored, "image", "left_semi")
+    # images without truth drop out in the final join; filtering boxes by image first would shuffle both tables once more
+    det, truth = det.filter(known), truth.filter(known)
 
     n_gt = truth.groupBy(*truth_by).agg(F.count("*").alias("_g"))
     if cut is None:

@@ -84,14 +84,19 @@ class Inputs:
     def table(self, name: str) -> DataFrame:
         return self.spark.read.parquet(f"{self.folder}/{name}.parquet")
 
+    def _spread(self, df: DataFrame) -> DataFrame:
+        """Deal a table that arrives in fewer splits than there are cores to all of them. Larger inputs pass unchanged."""
+        cores = self.spark.sparkContext.defaultParallelism
+        return df.repartition(cores, "image") if df.rdd.getNumPartitions() < cores else df
+
     @cached_property
     def lines(self) -> DataFrame:
-        return self.table("lineitem").select(
+        return self._spread(self.table("lineitem").select(
             F.col("l_orderkey").alias("image"), F.col("l_linenumber").cast("bigint").alias("ln"),
             F.col("l_partkey").alias("pk"), F.col("l_suppkey").alias("sk"), F.floor("l_quantity").cast("bigint").alias("q"),
             F.when(F.col("l_returnflag") == "A", "pothole").otherwise("crack").alias("kind"),
             F.expr("((l_linenumber*1000000L + l_partkey)*10000 + l_suppkey)*100 + bigint(floor(l_quantity))").alias("uid"),
-        )
+        ))
 
     @cached_property
     def truth(self) -> DataFrame:
@@ -164,6 +169,7 @@ class Inputs:
 
     @cached_property
     def pixels(self) -> DataFrame:
-        return self.table("embeddings").selectExpr("vec_id AS image", "posexplode(embedding) AS (i, e)").selectExpr(
+        vectors = self._spread(self.table("embeddings").selectExpr("vec_id AS image", "embedding"))
+        return vectors.selectExpr("image", "posexplode(embedding) AS (i, e)").selectExpr(
             "image", "bigint(floor(i/8)) AS y", "bigint(i%8) AS x", "double(floor((double(e)+1)*127.5)) AS v",
         )
