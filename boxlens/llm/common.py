@@ -67,17 +67,19 @@ def fresh(df: DataFrame, name: str) -> str:
     return name
 
 
-def rows_kept(df: DataFrame, key: Column, decided: DataFrame) -> DataFrame:
+def rows_kept(df: DataFrame, key: Column, decided: DataFrame, one_each: bool = True) -> DataFrame:
     """Rows of ``df`` by the decisions ``row_key, kept``: whole rows, one for each key that is kept.
 
-    A key without a kept row loses all its rows.  A key that occurs more than once and is kept is reduced to one row, with a
-    partial aggregation before the shuffle.
+    A key without a kept row loses all its rows.  A key that occurs more than once and is kept is reduced to one row
+    (``one_each``), with a partial aggregation before the shuffle, or else keeps all of them.
     """
     name = fresh(df, "row_key")
     keyed = df.withColumn(name, key)
     keys = decided.groupBy("row_key").agg(F.count(F.lit(1)).alias("n"), F.max("kept").alias("kept"))
-    special = staged(keys.filter(~F.col("kept") | (F.col("n") > 1)).select(F.col("row_key").alias(name), "kept"), "rows-kept")
+    special = staged(keys.filter(~F.col("kept") | (F.col("n") > 1) if one_each else ~F.col("kept")).select(F.col("row_key").alias(name), "kept"), "rows-kept")
     once = keyed.join(special.select(name), name, "left_anti")
+    if not one_each:
+        return once.select(*df.columns)
     repeated = keyed.join(special.filter("kept").select(name), name, "left_semi").dropDuplicates([name])
     return once.unionByName(repeated).select(*df.columns)
 
@@ -104,49 +106,34 @@ def range_of(col: Column, bounds: list[int]) -> Column:
     return F.coalesce(F.aggregate(steps, F.lit(0), at), F.lit(0))
 
 
-def prefix_until(df: DataFrame, group: str, rank: str, amount: str, limit: str, buckets: int = 4096) -> DataFrame:
-    """Rows of each group whose running ``amount`` in ascending ``rank`` comes nearest to ``limit``.
+def in_order(df: DataFrame, order: list, name: str, **options) -> DataFrame:
+    """``df`` written in ascending ``order`` and read back with ``file_no`` and ``row_index``, which together are that order.
 
-    ``rank`` lies in [0, 1) and spreads evenly, ``limit`` is constant in a group.  Only totals of ``buckets`` rank
-    ranges are summed in order; then the one range of each group in which the limit falls is ranked row by row, again by
-    ranges and then exactly.  No task sees more of a group than one range of a range.  Adds the boolean ``chosen``.
+    One range shuffle; a hot value of the first column splits where a later column differs.
+    """
+    path = new_path(df.sparkSession, name)
+    df.repartitionByRange(*order).sortWithinPartitions(*order).write.options(**options).parquet(path)
+    return read_in_order(df.sparkSession, path, df.schema)
+
+
+def read_in_order(spark: SparkSession, path: str, schema) -> DataFrame:
+    number = lambda i: F.regexp_extract("_metadata.file_name", r"^part-(\d+)-.*-c(\d+)", i).cast("bigint")
+    return spark.read.schema(schema).parquet(path).select("*", (number(1) * 1000000 + number(2)).alias("file_no"), F.col("_metadata.row_index").alias("row_index"))
+
+
+def with_amount_before(ordered: DataFrame, amount: Column, out: str, group: str | None = None, totals: DataFrame | None = None) -> DataFrame:
+    """Adds the bigint ``out``: the sum of ``amount`` over the rows before this one (of the same ``group``).
 
-    Rows of equal rank are taken in no fixed order among themselves.  A null limit or rank chooses nothing.
+    Each file is summed on its own and shifted by the totals of the files before it; only those totals, a row for each
+    file and group in it, meet in one place.  ``totals`` gives those (keys and ``_t``) where they are cheaper to have otherwise.
     """
-    b = F.least(F.floor(F.col(rank) * buckets), F.lit(buckets - 1)).cast("int")
-    fine = F.least(F.floor((F.col(rank) * buckets - b) * buckets), F.lit(buckets - 1)).cast("int")
-    rows = df.withColumns({"_b": b, "_f": fine})
-    before = lambda part, order: Window.partitionBy(*part).orderBy(order).rowsBetween(Window.unboundedPreceding, -1)
-
-    def edges(table: DataFrame, keys: list[str], key: str, start: Column) -> DataFrame:
-        totals = table.groupBy(*keys, key).agg(F.sum(amount).alias("_t"), F.min(limit).alias("_l"), F.min(start).alias("_s"))
-        run = totals.withColumn("_before", F.col("_s") + F.coalesce(F.sum("_t").over(before(keys, key)), F.lit(0)))
-        # the range in which the limit falls: the first that reaches it
-        return (
-            run.filter((F.col("_before") + F.col("_t") >= F.col("_l")) & (F.col("_t") > 0))
-            .groupBy(*keys).agg(F.min(F.struct(key, "_before")).alias("_e"))
-            .select(*[F.col(k).alias(f"_k{i}") for i, k in enumerate(keys)], F.col(f"_e.{key}").alias(f"_edge{key}"), F.col("_e._before").alias(f"_at{key}"))
-        )
-
-    coarse = edges(rows, [group], "_b", F.lit(0))
-    marked = rows.join(F.broadcast(coarse), F.col(group).eqNullSafe(F.col("_k0")), "left").drop("_k0")
-    inside = marked.filter(F.col("_b") == F.col("_edge_b"))
-    narrow = edges(inside, [group], "_f", F.col("_at_b"))
-    marked = marked.join(F.broadcast(narrow), F.col(group).eqNullSafe(F.col("_k0")), "left").drop("_k0")
-    hit = (F.col("_b") == F.col("_edge_b")) & (F.col("_f") == F.col("_edge_f"))
-    done = marked.filter(~F.coalesce(hit, F.lit(False))).withColumn(
-        "chosen",
-        F.when(F.col(rank).isNull() | F.col(limit).isNull(), False)
-        .when(F.col("_edge_b").isNull() | (F.col("_b") < F.col("_edge_b")), True)
-        .when(F.col("_b") > F.col("_edge_b"), False)
-        .otherwise(F.col("_f") < F.col("_edge_f")),
-    )
-    w = Window.partitionBy(group).orderBy(rank).rowsBetween(Window.unboundedPreceding, -1)
-    start = F.col("_at_f") + F.coalesce(F.sum(amount).over(w), F.lit(0))
-    last = (
-        marked.filter(hit).withColumn("_start", start)
-        # a row that would overshoot is taken if that comes nearer than leaving it out
-        .withColumn("chosen", F.coalesce((F.col(limit) - F.col("_start")) > (F.col("_start") + F.col(amount) - F.col(limit)), F.lit(False)))
-        .drop("_start")
-    )
-    return done.unionByName(last).drop("_b", "_f", "_edge_b", "_at_b", "_edge_f", "_at_f")
+    keys = ["file_no"] + ([group] if group else [])
+    rows = ordered.withColumn("_amount", amount.cast("bigint"))
+    totals = rows.groupBy(*keys).agg(F.sum("_amount").alias("_t")) if totals is None else totals
+    w = (Window.partitionBy(group) if group else Window.partitionBy()).orderBy("file_no").rowsBetween(Window.unboundedPreceding, -1)
+    starts = totals.select(*[F.col(k).alias(f"_k{i}") for i, k in enumerate(keys)], F.coalesce(F.sum("_t").over(w), F.lit(0)).alias("_start"))
+    same = F.lit(True)
+    for i, k in enumerate(keys):
+        same = same & F.col(k).eqNullSafe(F.col(f"_k{i}"))
+    inside = Window.partitionBy(*keys).orderBy("row_index").rowsBetween(Window.unboundedPreceding, -1)
+    return rows.join(starts, same).withColumn(out, F.col("_start") + F.coalesce(F.sum("_amount").over(inside), F.lit(0))).drop("_amount", "_start", *[f"_k{i}" for i in range(len(keys))])

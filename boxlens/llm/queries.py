@@ -4,11 +4,17 @@ from __future__ import annotations
 
 from collections.abc import Callable
 
+import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from .common import new_path
+from .common import new_path, staged
 from .exact_dedup import exact_dedup
+from .mixing import mix
+from .pieces import decode_pieces, encode_pieces
+from .pii import KINDS, count_of, scan, written
+from .quality import resample
+from .token_files import token_index, write_token_files
 from .warc import BASE32, read_archive, write_archive
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
@@ -60,3 +66,62 @@ def op6(spark: SparkSession, folder: str) -> DataFrame:
     return read_archive(spark, path).select(
         F.col("id").alias("page_id"), F.octet_length("payload").cast("bigint").alias("payload_bytes"), "payload_digest", F.col("type").alias("record_type"), "refers_to"
     )
+
+
+@query("op10_token_files")
+def op10(spark: SparkSession, folder: str) -> DataFrame:
+    """Every document as token ids in ordered files, and what the files say of it."""
+    path = new_path(spark, "tokens")
+    write_token_files(documents(spark, folder), path, public_tokenizers.path("byte_bpe_50k.json"))
+    return token_index(spark, path).withColumnRenamed("id", "doc_id")
+
+
+@query("op4_sentencepiece")
+def op4(spark: SparkSession, folder: str) -> DataFrame:
+    """Every document as pieces and back: its ids, and whether decoding gives the text again."""
+    path = public_tokenizers.path("piece_bpe_32k.model")
+    encoded = encode_pieces(documents(spark, folder), path)
+    back = decode_pieces(encoded, path, ("doc_id", "piece_text", "ids"))
+    return back.select("doc_id", "ids", F.size("ids").cast("bigint").alias("n_ids"), F.sha2("decoded", 256).alias("decoded_sha256"), (F.col("decoded") == F.translate("piece_text", "▁", " ")).alias("round_trip"))
+
+
+_HEX52 = "('0x' || substr(k, 1, 13))::BIGINT"
+_WORDS = "length(list_filter(string_split(translate(coalesce(text, ''), chr(9) || chr(10) || chr(11) || chr(12) || chr(13), '     '), ' '), lambda x: x <> ''))"
+
+
+@query("op7_mixing", f"""
+    WITH d AS (SELECT doc_id, source, {_WORDS}::BIGINT AS size, md5('mix|' || coalesce(doc_id::VARCHAR, '') || '|' || md5(coalesce(text, ''))) AS k FROM documents),
+         r AS (SELECT doc_id, source, size, ({_HEX52} + 0.5::DOUBLE) / 4503599627370496::DOUBLE AS u FROM d),
+         s AS (SELECT source, sum(size)::BIGINT AS source_size FROM r GROUP BY source),
+         w AS (SELECT source, source_size, 1 + (row_number() OVER (ORDER BY source NULLS LAST) - 1) % 3 AS weight FROM s),
+         l AS (SELECT *, (sum(source_size) OVER () - coalesce(sum(3 * source_size) OVER (o ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING), 0))::DOUBLE
+                      / sum(weight) OVER (o ROWS BETWEEN CURRENT ROW AND UNBOUNDED FOLLOWING)::DOUBLE AS level
+               FROM w WINDOW o AS (ORDER BY (3 * source_size)::DOUBLE / weight, source NULLS LAST)),
+         v AS (SELECT *, (SELECT level FROM l WHERE level * weight <= 3 * source_size ORDER BY (3 * source_size)::DOUBLE / weight, source NULLS LAST LIMIT 1) AS lam FROM l),
+         t AS (SELECT source, source_size, coalesce(least(lam * weight, (3 * source_size)::DOUBLE), (3 * source_size)::DOUBLE) AS target FROM v),
+         p AS (SELECT *, CASE WHEN source_size > 0 THEN floor(target / source_size) ELSE 0 END AS copies, CASE WHEN source_size > 0 THEN target / source_size - floor(target / source_size) ELSE 0 END AS p FROM t),
+         a AS (SELECT r.*, source_size, target, copies, p, (u / (1 - u)) / (p / (1 - p)) AS pareto, target - copies * source_size AS rest
+               FROM r JOIN p ON r.source IS NOT DISTINCT FROM p.source),
+         b AS (SELECT *, coalesce(sum(size) OVER (PARTITION BY source ORDER BY pareto ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING), 0) AS ahead FROM a WHERE p > 0 AND size > 0),
+         c AS (SELECT source, max(u) AS cut FROM b WHERE ahead + size::DOUBLE / 2 < rest GROUP BY source)
+    SELECT doc_id, size, a.source_size, target, ((copies::BIGINT + CASE WHEN u <= coalesce(cut, -1) THEN 1 ELSE 0 END) * size)::BIGINT AS taken
+    FROM a LEFT JOIN c ON a.source IS NOT DISTINCT FROM c.source
+""")
+def op7(spark: SparkSession, folder: str) -> DataFrame:
+    """How many words of each document a mix of all sources takes."""
+    return mix(documents(spark, folder)).select(F.col("id").alias("doc_id"), "size", "source_size", "target", "taken")
+
+
+@query("op8_pii")
+def op8(spark: SparkSession, folder: str) -> DataFrame:
+    """Personal data in every document: base matches and those learned from their surroundings."""
+    found = scan(documents(spark, folder))
+    counts = [count_of(k, F.col("base")).alias(f"n_{k}") for k in KINDS]
+    return found.select(F.col("id").alias("doc_id"), *counts, F.sha2(written(F.col("base")), 256).alias("base_sha256"), written(F.col("spans")).alias("spans"))
+
+
+@query("op9_quality")
+def op9(spark: SparkSession, folder: str) -> DataFrame:
+    """The importance weight of every document and whether the resampling keeps it."""
+    labels = spark.read.parquet(f"{folder}/labels.parquet")
+    return resample(documents(spark, folder), labels).select(F.col("id").alias("doc_id"), "log_weight", "n_features", "gumbel", "kept")
