@@ -95,15 +95,16 @@ def _rebuilt(headers: DataFrame, payloads: DataFrame, hot_groups: int = 1000, sa
     # an address used by more than a thousandth of the records is dealt to ``salts`` copies of its one payload
     least = payloads.agg((F.sum("n") / hot_groups).alias("least"))
     hot = F.broadcast(staged(payloads.filter("n > 1").select("digest", "n").join(F.broadcast(least), F.col("n") > F.col("least")).select("digest", F.lit(True).alias("hot")), "warc-hot"))
-    twice = payloads.groupBy("digest").agg(F.count(F.lit(1)).alias("times")).filter("times > 1").select("digest")
+    if payloads.groupBy("digest").agg(F.count(F.lit(1)).alias("times")).filter("times > 1").limit(1).count():
+        raise ValueError("the archive stores an address twice")
     right = F.unhex(F.sha2("payload", 256)) == F.col("digest")
     store = (
-        payloads.join(twice, "digest", "left_anti").join(hot, "digest", "left")
+        payloads.join(hot, "digest", "left")
         .select("digest", F.when(right, F.col("payload")).otherwise(F.raise_error(F.lit("payload does not match its digest")).cast("binary")).alias("payload"), F.explode(F.when(F.col("hot"), F.sequence(F.lit(0), F.lit(salts - 1))).otherwise(F.array(F.lit(0)))).alias("salt"))
     )
     dealt = headers.join(hot, "digest", "left").withColumn("salt", F.when(F.col("hot"), F.pmod("row_no", F.lit(salts)).cast("int")).otherwise(F.lit(0)))
     joined = dealt.join(store, ["digest", "salt"], "left")
-    payload = F.coalesce(F.col("payload"), F.raise_error(F.lit("payload missing or stored twice")).cast("binary"))
+    payload = F.coalesce(F.col("payload"), F.raise_error(F.lit("payload missing")).cast("binary"))
     text = F.col("header").cast("string")
     kind = _field(text, "WARC-Type")
     block = F.when(kind == "revisit", F.lit(b"")).otherwise(F.col("payload"))
