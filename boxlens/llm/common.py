@@ -84,15 +84,28 @@ def rows_kept(df: DataFrame, key: Column, decided: DataFrame, one_each: bool = T
     return once.unionByName(repeated).select(*df.columns)
 
 
+def join_groups(rows: DataFrame, groups: DataFrame, key: str, size: str, hot_groups: int = 1000) -> DataFrame:
+    """``rows`` joined with ``groups``, one row for each ``key`` with its number of rows in ``size``.
+
+    Keys with more than one in ``hot_groups`` of all rows, of which there are at most ``hot_groups``, are joined by
+    broadcast where their rows lie; all others by a shuffle on the key.
+    """
+    least = groups.agg((F.sum(size) / hot_groups).alias("_least"))
+    hot = staged(groups.filter(F.col(size) > 1).join(F.broadcast(least), F.col(size) > F.col("_least")).drop("_least"), "hot-groups")
+    names = F.broadcast(hot.select(key))
+    cold = rows.join(names, key, "left_anti").join(groups.join(names, key, "left_anti"), key)
+    return rows.join(F.broadcast(hot), key).unionByName(cold)
+
+
 def range_bounds(df: DataFrame, order: str, n: int) -> list[int]:
-    """Up to ``n`` values of the bigint column ``order`` that cut it into ranges of about equal row counts, the least value first."""
-    if n < 2:
-        probs = [0.0]
-    else:
-        probs = [i / n for i in range(n)]
-    found = df.approxQuantile(order, probs, min(0.05, 0.25 / max(n, 1)))
-    least = df.agg(F.min(order)).first()[0]
-    return sorted({int(v) for v in found} | ({least} if least is not None else set()))
+    """Up to ``n`` values of the bigint column ``order``, ascending from its least, that cut it into ranges of about equal row counts.
+
+    Each bound is the least value in its range, exactly.
+    """
+    quantiles = df.agg(F.percentile_approx(order, [i / n for i in range(n)], max(10_000, 20 * n)).alias("q")).first().q or []
+    rough = sorted(set(quantiles))
+    least = df.groupBy(range_of(F.col(order), rough).alias("r")).agg(F.min(order).alias("v")).collect()
+    return sorted({r.v for r in least if r.v is not None})
 
 
 def range_of(col: Column, bounds: list[int]) -> Column:

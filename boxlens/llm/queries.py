@@ -10,6 +10,7 @@ from pyspark.sql import functions as F
 
 from .common import new_path, staged
 from .exact_dedup import exact_dedup
+from . import fingerprints
 from .mixing import mix
 from .pieces import decode_pieces, encode_pieces
 from .pii import KINDS, count_of, scan, written
@@ -125,3 +126,11 @@ def op9(spark: SparkSession, folder: str) -> DataFrame:
     """The importance weight of every document and whether the resampling keeps it."""
     labels = spark.read.parquet(f"{folder}/labels.parquet")
     return resample(documents(spark, folder), labels).select(F.col("id").alias("doc_id"), "log_weight", "n_features", "gumbel", "kept")
+
+
+@query("op1_fingerprints")
+def op1(spark: SparkSession, folder: str) -> DataFrame:
+    """Fingerprints of every document and of its text with the second half replaced, and how alike they are."""
+    found = fingerprints.compared(documents(spark, folder))
+    hexed = [fingerprints.written(F.col(c)).alias(c) for c in ("fingerprint", "edited_fingerprint")]
+    return found.select(F.col("id").alias("doc_id"), "n_chars", "edited_sha256", *hexed, "near_edited", "near_next")
