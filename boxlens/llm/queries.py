@@ -12,6 +12,7 @@ from .common import new_path, staged
 from .exact_dedup import exact_dedup
 from . import fingerprints
 from .mixing import mix
+from .near_dedup import near_dedup
 from .pieces import decode_pieces, encode_pieces
 from .pii import KINDS, count_of, scan, written
 from .quality import resample
@@ -134,3 +135,9 @@ def op1(spark: SparkSession, folder: str) -> DataFrame:
     found = fingerprints.compared(documents(spark, folder))
     hexed = [fingerprints.written(F.col(c)).alias(c) for c in ("fingerprint", "edited_fingerprint")]
     return found.select(F.col("id").alias("doc_id"), "n_chars", "edited_sha256", *hexed, "near_edited", "near_next")
+
+
+@query("op5_minhash")
+def op5(spark: SparkSession, folder: str) -> DataFrame:
+    """Every document with its component of near duplicates: three-word shingles, similarity 0.85."""
+    return near_dedup(documents(spark, folder), width=3, share=(85, 100)).select(F.col("id").alias("doc_id"), "n_shingles", "component_id", "kept")
