@@ -84,17 +84,33 @@ def rows_kept(df: DataFrame, key: Column, decided: DataFrame, one_each: bool = T
     return once.unionByName(repeated).select(*df.columns)
 
 
-def join_groups(rows: DataFrame, groups: DataFrame, key: str, size: str, hot_groups: int = 1000) -> DataFrame:
-    """``rows`` joined with ``groups``, one row for each ``key`` with its number of rows in ``size``.
+def join_groups(rows: DataFrame, groups: DataFrame, keys: str | list[str], size: str, hot_groups: int = 1000) -> DataFrame:
+    """``rows`` joined with ``groups``, one row for each value of ``keys`` with its number of rows in ``size``.
 
-    Keys with more than one in ``hot_groups`` of all rows, of which there are at most ``hot_groups``, are joined by
-    broadcast where their rows lie; all others by a shuffle on the key.
+    Values with more than one in ``hot_groups`` of all rows, of which there are at most ``hot_groups``, are joined by
+    broadcast where their rows lie; all others by a shuffle on the keys.
     """
+    keys = [keys] if isinstance(keys, str) else keys
     least = groups.agg((F.sum(size) / hot_groups).alias("_least"))
     hot = staged(groups.filter(F.col(size) > 1).join(F.broadcast(least), F.col(size) > F.col("_least")).drop("_least"), "hot-groups")
-    names = F.broadcast(hot.select(key))
-    cold = rows.join(names, key, "left_anti").join(groups.join(names, key, "left_anti"), key)
-    return rows.join(F.broadcast(hot), key).unionByName(cold)
+    names = F.broadcast(hot.select(*keys))
+    cold = rows.join(names, keys, "left_anti").join(groups.join(names, keys, "left_anti"), keys)
+    return rows.join(F.broadcast(hot), keys).unionByName(cold)
+
+
+#: slots of the filter below: its broadcast never exceeds so many numbers
+SLOTS = 1 << 20
+
+
+def maybe_in(rows: DataFrame, key: str, wanted: DataFrame) -> DataFrame:
+    """``rows`` without most of those whose ``key`` is not in ``wanted``: a filter of bounded size in front of a join.
+
+    Keys fall into a fixed number of slots, and rows of slots without a wanted key are left behind before the shuffle.
+    None that is wanted is lost; with very many wanted keys all slots fill and nothing is saved.
+    """
+    slot = lambda: F.pmod(F.xxhash64(key), F.lit(SLOTS)).cast("int").alias("_slot")
+    slots = wanted.select(slot()).distinct()
+    return rows.withColumn("_slot", slot()).join(F.broadcast(slots), "_slot", "left_semi").drop("_slot")
 
 
 def range_bounds(df: DataFrame, order: str, n: int) -> list[int]:

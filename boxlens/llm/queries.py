@@ -16,6 +16,7 @@ from .near_dedup import near_dedup
 from .pieces import decode_pieces, encode_pieces
 from .pii import KINDS, count_of, scan, written
 from .quality import resample
+from .suffix_dedup import suffix_dedup
 from .token_files import token_index, write_token_files
 from .warc import BASE32, read_archive, write_archive
 
@@ -141,3 +142,10 @@ def op1(spark: SparkSession, folder: str) -> DataFrame:
 def op5(spark: SparkSession, folder: str) -> DataFrame:
     """Every document with its component of near duplicates: three-word shingles, similarity 0.85."""
     return near_dedup(documents(spark, folder), width=3, share=(85, 100)).select(F.col("id").alias("doc_id"), "n_shingles", "component_id", "kept")
+
+
+@query("op3_suffix_array")
+def op3(spark: SparkSession, folder: str) -> DataFrame:
+    """What is left of every document without the 200-byte strings that also start anywhere else."""
+    found = suffix_dedup(documents(spark, folder), length=200, first_stays=False)
+    return found.select(F.col("id").alias("doc_id"), "n_bytes", "n_removed", F.size("spans").cast("bigint").alias("n_spans"), "kept_sha256")
