@@ -12,12 +12,12 @@ def hash_key(seed, *parts) -> Column:
 
 
 def hash_int(key: Column, start: int = 1) -> Column:
-    """32 bits of the md5 as a bigint."""
-    return F.conv(F.substring(key, start, 8), 16, 10).cast("bigint")
+    """52 bits of the md5 as a bigint: every one of them is exact in a double."""
+    return F.conv(F.substring(key, start, 13), 16, 10).cast("bigint")
 
 
 def hash_uniform(key: Column, start: int = 1) -> Column:
-    return hash_int(key, start) / F.lit(4294967296.0)
+    return hash_int(key, start) / F.lit(4503599627370496.0)
 
 
 def hash_bucket(key: Column, digits: int) -> Column:

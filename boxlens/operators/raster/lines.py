@@ -97,15 +97,16 @@ def guided_filter(pixels: DataFrame, col: str = "gray", r: int = 4, eps: str | f
     return out.withColumn(name, F.col("_ma") * F.col(col) + F.col("_mb")).drop("_sq", "_eps", "_m", "_ms", "_a", "_b", "_ma", "_mb")
 
 
-def sample_normals(points: DataFrame, samples: int, radius: int, seed=0) -> DataFrame:
-    """Hash-drawn pixels of every component with the local direction across it.
+def sample_normals(points: DataFrame, radius: int, samples: int | None = None, seed=0) -> DataFrame:
+    """Pixels of every component with the local direction across it: all of them, or ``samples`` of each drawn by hash.
 
     A sample looks only at its own component within ``radius``: its surrounding cells are generated and looked up, so a
     long component is not paired with itself.
     """
-    h = hash_key(seed, "image", "label", "y", "x")
-    pick = Window.partitionBy("image", "label").orderBy("_h")
-    drawn = points.withColumn("_h", h).withColumn("_r", F.row_number().over(pick)).filter(F.col("_r") <= samples)
+    drawn = points
+    if samples is not None:
+        pick = Window.partitionBy("image", "label").orderBy(hash_key(seed, "image", "label", "y", "x"))
+        drawn = points.withColumn("_r", F.row_number().over(pick)).filter(F.col("_r") <= samples)
     disk = [(dy, dx) for dy, dx in G.square_offsets(radius) if dy * dy + dx * dx <= radius * radius]
     moves = F.array(*[F.struct(F.lit(dy).alias("dy"), F.lit(dx).alias("dx")) for dy, dx in disk])
     near = drawn.select("image", "label", F.col("y").alias("sy"), F.col("x").alias("sx"), F.inline(moves)).select(
@@ -118,10 +119,10 @@ def sample_normals(points: DataFrame, samples: int, radius: int, seed=0) -> Data
     return g.select("image", "label", "sy", "sx", (-F.sin(along)).alias("nx"), F.cos(along).alias("ny"))
 
 
-def valley_score(pixels: DataFrame, points: DataFrame, widths: DataFrame, gray: str = "gray", gap: float = 2.0, samples: int = 40, radius: int = 7, seed=0) -> DataFrame:
-    """How evenly both sides of a component are brighter than it: median over samples of the weaker over the stronger
+def valley_score(pixels: DataFrame, points: DataFrame, widths: DataFrame, gray: str = "gray", gap: float = 2.0, radius: int = 7, samples: int | None = None, seed=0) -> DataFrame:
+    """How evenly both sides of a component are brighter than it: median over its pixels of the weaker over the stronger
     side, 0 when a side is not brighter, 1 when nothing could be measured. ``widths`` has image, label, width."""
-    s = sample_normals(points, samples, radius, seed).join(widths.select("image", "label", "width"), ["image", "label"])
+    s = sample_normals(points, radius, samples, seed).join(widths.select("image", "label", "width"), ["image", "label"])
     d = F.col("width") / 2 + gap
     side = F.inline(F.array(*[
         F.struct(F.lit(sg).alias("sg"), F.bround(F.col("sx") + F.col("nx") * d * sg, 0).cast("bigint").alias("x"), F.bround(F.col("sy") + F.col("ny") * d * sg, 0).cast("bigint").alias("y"))

@@ -259,6 +259,11 @@ def largest_share(components: DataFrame) -> DataFrame:
     return components.groupBy("image").agg((F.max("size") / F.sum("size")).alias("share"))
 
 
+def median_share(shares: DataFrame, by: list[str]) -> DataFrame:
+    """Median over images of the biggest component's share, with the number of images."""
+    return exact_percentiles(shares, by, "share", [0.5], ["share"])
+
+
 def quality_change(initial: DataFrame, final: DataFrame, metrics: list[str]) -> DataFrame:
     j = initial.select("image", *[F.col(m).alias(f"_a_{m}") for m in metrics]).join(
         final.select("image", *[F.col(m).alias(f"_b_{m}") for m in metrics]), "image"

@@ -627,3 +627,10 @@ def _(spark, sf):
 @query("D21_largest_share", with_views("fx_pixels", f", {COMP.format(cond='v > 130', near=NEAR8)}, s AS (SELECT image, label, count(*) AS n FROM lab GROUP BY ALL) SELECT image, round(max(n)/sum(n), 6) AS share FROM s GROUP BY image", recursive=True))
 def _(spark, sf):
     return rounded(D.largest_share(CC.component_sizes(labelled_of(Inputs(spark, sf)))), "share")
+
+
+@query("D21_median_share", with_views("fx_pixels", f""", {COMP.format(cond='v > 130', near=NEAR8)}, s AS (SELECT image, label, count(*) AS n FROM lab GROUP BY ALL),
+    p AS (SELECT image, max(n)/sum(n) AS share FROM s GROUP BY image) SELECT image % 5 AS part, round(median(share), 6) AS share, count(*) AS n FROM p GROUP BY 1""", recursive=True))
+def _(spark, sf):
+    shares = D.largest_share(CC.component_sizes(labelled_of(Inputs(spark, sf)))).selectExpr("image % 5 AS part", "share")
+    return rounded(D.median_share(shares, ["part"]), "share")

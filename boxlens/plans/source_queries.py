@@ -77,11 +77,13 @@ def _(spark, sf):
     return T.truth_json_boxes(docs).drop("gid")
 
 
-@query("A7_find_truth", with_views("fx_truth", """SELECT image, kind, gid, x1 + CASE WHEN image % 2 = 0 THEN 0 ELSE 100 END AS x1, CASE WHEN image % 2 = 0 THEN 0 ELSE 2 END AS source_rank FROM fx_truth WHERE image % 2 = 0 OR image % 3 = 0"""))
+@query("A7_find_truth", with_views("fx_truth fx_images", """SELECT i.image, kind, gid, x1 + CASE WHEN i.image % 2 = 0 THEN 0 ELSE 100 END AS x1, CASE WHEN i.image % 2 = 0 THEN 0 ELSE 2 END AS source_rank
+    FROM fx_images i LEFT JOIN fx_truth t ON t.image = i.image AND (i.image % 2 = 1 OR i.image % 4 = 0)"""))
 def _(spark, sf):
-    t = Inputs(spark, sf).truth
-    first, last = t.filter("image % 2 = 0"), t.filter("image % 3 = 0").withColumn("x1", F.col("x1") + 100)
-    return T.find_truth([first, None, last]).select("image", "kind", "gid", "x1", "source_rank")
+    """The first source lists even images, half of them as undamaged; the last one stands for all the rest."""
+    i = Inputs(spark, sf)
+    first = (i.images.filter("image % 2 = 0"), i.truth.filter("image % 4 = 0"))
+    return T.find_truth(i.images, [first, None, (None, i.truth.withColumn("x1", F.col("x1") + 100))]).select("image", "kind", "gid", "x1", "source_rank")
 
 
 @query("A8_attach_viewpoint", with_views("fx_images", "SELECT image, CASE WHEN image % 5 = 0 THEN '' ELSE viewpoint END AS viewpoint FROM fx_images"))

@@ -1,7 +1,8 @@
 """Detection-shaped views over the given tables.
 
 Every view is a deterministic function of whole tables. ``Inputs`` builds them as DataFrames, ``with_views`` prepends
-the same definitions, as CTE text, to an oracle query.
+the same definitions, as CTE text, to an oracle query. Rows of ``fx_lines`` with (pk + sk) % 3 = 0 stand for detections without a
+truth box, so ``fx_truth`` has none for them.
 """
 
 from __future__ import annotations
@@ -44,8 +45,8 @@ SQL = {
         UNION ALL SELECT doc_id, real, 'f_words', f_words FROM fx_features""",
     "fx_cells": """SELECT CAST(floor(event_id / 500) AS BIGINT) AS image, CAST(floor(user_id / 15) AS BIGINT) AS r, user_id % 15 AS c,
         avg(value) AS mean_v, stddev_pop(value) AS std_v, count(*) AS n FROM events GROUP BY 1, 2, 3""",
-    "fx_points": """SELECT l_suppkey % 20 AS image, ((l_orderkey*1000000 + l_partkey)*10000 + l_suppkey)*100 + CAST(floor(l_quantity) AS BIGINT) AS pid, (l_partkey*37) % 2000 AS x, (l_orderkey*53) % 2000 AS y,
-        l_partkey % 50 AS label FROM lineitem WHERE l_linenumber = 1""",
+    "fx_points": """SELECT l_orderkey % 400 AS image, (l_orderkey*1000000 + l_partkey)*1000 + l_linenumber*100 + CAST(floor(l_quantity) AS BIGINT) AS pid, (l_partkey*37) % 2000 AS x,
+        (l_suppkey*53 + l_linenumber*211) % 2000 AS y, l_partkey % 50 AS label FROM lineitem""",
     "fx_pixels": """SELECT vec_id AS image, CAST(floor((i-1)/8) AS BIGINT) AS y, (i-1)%8 AS x, floor((CAST(e AS DOUBLE)+1)*127.5) AS v
         FROM (SELECT vec_id, unnest(embedding) AS e, unnest(range(1,65)) AS i FROM embeddings)""",
 }
@@ -162,9 +163,9 @@ class Inputs:
 
     @cached_property
     def points(self) -> DataFrame:
-        return self.table("lineitem").filter("l_linenumber = 1").selectExpr(
-            "l_suppkey % 20 AS image", "((l_orderkey*1000000 + l_partkey)*10000 + l_suppkey)*100 + bigint(floor(l_quantity)) AS pid", "(l_partkey*37) % 2000 AS x",
-            "(l_orderkey*53) % 2000 AS y", "l_partkey % 50 AS label",
+        return self.table("lineitem").selectExpr(
+            "l_orderkey % 400 AS image", "(l_orderkey*1000000 + l_partkey)*1000 + l_linenumber*100 + bigint(floor(l_quantity)) AS pid", "(l_partkey*37) % 2000 AS x",
+            "(l_suppkey*53 + l_linenumber*211) % 2000 AS y", "l_partkey % 50 AS label",
         )
 
     @cached_property

@@ -38,7 +38,7 @@ TAGS = """tagged AS (SELECT image, unnest(list_concat(['all'], string_split(tags
 BOOT = f"""{TAGS},
 placed AS (SELECT tag, image, row_number() OVER (PARTITION BY tag ORDER BY md5('20261006|' || image), image) - 1 AS ordinal,
     count(*) OVER (PARTITION BY tag) AS n FROM tagged),
-drawn AS (SELECT p.tag, b, CAST(floor((('0x' || substr(md5('20261006|' || p.tag || '|' || b || '|' || k), 1, 8))::UBIGINT / 4294967296.0e0) * n) AS BIGINT) AS ordinal
+drawn AS (SELECT p.tag, b, CAST(floor((('0x' || substr(md5('20261006|' || p.tag || '|' || b || '|' || k), 1, 13))::UBIGINT / 4503599627370496.0e0) * n) AS BIGINT) AS ordinal
     FROM (SELECT tag, max(n) AS n FROM placed GROUP BY tag) p, range(1, {N_BOOT + 1}) t(b), range(0, n) u(k)),
 times AS (SELECT tag, b, ordinal, count(*) AS times FROM drawn GROUP BY ALL
     UNION ALL SELECT tag, 0, ordinal, 1 FROM placed),
@@ -66,12 +66,12 @@ def _(spark, sf):
     return E.replicates(scores_of(i), groups_of(i), INSIDE_CONFIGS, N_BOOT).withColumn("b", F.col("b").cast("bigint"))
 
 
-_STEPS = enumerate(accumulate(exp(-1) / factorial(k) for k in range(12)))
-_POISSON = "CASE " + " ".join(f"WHEN u < {t!r} THEN {k}" for k, t in _STEPS) + " ELSE 12 END"
+_STEPS = enumerate(accumulate(exp(-1) / factorial(k) for k in range(20)))
+_POISSON = "CASE " + " ".join(f"WHEN u < {t!r} THEN {k}" for k, t in _STEPS) + " ELSE 20 END"
 
 
 @query("E1_bootstrap_poisson", with_views("fx_det fx_truth fx_images", f""", {SCORES}, {TAGS},
-times AS (SELECT image, b, {_POISSON} AS times FROM (SELECT image, b, ('0x' || substr(md5('20261006|' || image || '|' || b), 1, 8))::UBIGINT / 4294967296.0e0 AS u
+times AS (SELECT image, b, {_POISSON} AS times FROM (SELECT image, b, ('0x' || substr(md5('20261006|' || image || '|' || b), 1, 13))::UBIGINT / 4503599627370496.0e0 AS u
     FROM fx_images, range(1, {N_BOOT + 1}) t(b) WHERE has_gt) UNION ALL SELECT image, 0, 1 FROM fx_images WHERE has_gt)
 SELECT g.tag, t.b, s.detector, s.kind, s.criterion, CAST(sum(s.tp*times) AS BIGINT) AS tp, CAST(sum(s.fp*times) AS BIGINT) AS fp,
     CAST(sum(s.fn*times) AS BIGINT) AS fn, CAST(sum(s.n_det*times) AS BIGINT) AS n_det
@@ -98,17 +98,17 @@ PARTS = f"""tagged AS (SELECT image, unnest([part, part || ':' || CASE WHEN tags
     FROM (SELECT image, tags, CASE WHEN image % 10 < 7 THEN 'tune' ELSE 'val' END AS part, image % 4 = 0 AS listed FROM fx_images WHERE has_gt))"""
 
 COMPARED = f"""{SCORES}, {BOOT.replace(TAGS, PARTS)}, {F1S},
-j AS (SELECT a.*, a.r - q.r AS dr, a.p - q.p AS dp FROM f1s a JOIN f1s q USING (tag, kind, criterion, b) WHERE a.criterion='in50' AND q.detector='D1'),
+j AS (SELECT a.*, a.r - q.r AS dr, a.p - q.p AS dp, a.fp - q.fp AS df FROM f1s a JOIN f1s q USING (tag, kind, criterion, b) WHERE a.criterion='in50' AND q.detector='D1'),
 compared AS (SELECT tag, detector, kind, max(r) FILTER (b=0) AS recall, max(p) FILTER (b=0) AS "precision", max(f1) FILTER (b=0) AS f1,
     max(tp) FILTER (b=0) AS hits, max(dr) FILTER (b=0) AS delta_recall, quantile_cont(dr, 0.025) FILTER (b>0) AS delta_recall_lo,
     quantile_cont(dr, 0.975) FILTER (b>0) AS delta_recall_hi, max(dp) FILTER (b=0) AS delta_precision,
     quantile_cont(dp, 0.025) FILTER (b>0) AS delta_precision_lo, quantile_cont(dp, 0.975) FILTER (b>0) AS delta_precision_hi,
-    max(n_det) FILTER (b=0) AS nd, max(fp) FILTER (b=0) AS nf FROM j GROUP BY ALL),
+    max(n_det) FILTER (b=0) AS nd, max(fp) FILTER (b=0) AS nf, max(df) FILTER (b=0) AS ndf FROM j GROUP BY ALL),
 sizes AS (SELECT tag, count(*) AS n_images FROM tagged GROUP BY ALL),
 compare AS (SELECT tag, detector, kind, round(recall, 6) AS recall, round("precision", 6) AS "precision", round(f1, 6) AS f1, hits, round(delta_recall, 6) AS delta_recall,
     round(delta_recall_lo, 6) AS delta_recall_lo, round(delta_recall_hi, 6) AS delta_recall_hi, round(delta_precision, 6) AS delta_precision,
     round(delta_precision_lo, 6) AS delta_precision_lo, round(delta_precision_hi, 6) AS delta_precision_hi, n_images,
-    round(nd / n_images, 6) AS cands_per_img, round(nf / n_images, 6) AS fake_per_img, round((nd - nf) / nullif(hits, 0), 6) AS frag_per_hit,
+    round(nd / n_images, 6) AS cands_per_img, round(nf / n_images, 6) AS fake_per_img, round(ndf / n_images, 6) AS delta_fake_per_img, round((nd - nf) / nullif(hits, 0), 6) AS frag_per_hit,
     delta_recall_lo > 0 OR delta_recall_hi < 0 AS recall_significant, delta_precision_lo > 0 OR delta_precision_hi < 0 AS precision_significant
     FROM compared JOIN sizes USING (tag))"""
 
@@ -127,7 +127,7 @@ def compared_of(i: Inputs):
 
 
 FLOATS = ["recall", "precision", "f1", "delta_recall", "delta_recall_lo", "delta_recall_hi", "delta_precision", "delta_precision_lo",
-          "delta_precision_hi", "cands_per_img", "fake_per_img", "frag_per_hit"]
+          "delta_precision_hi", "cands_per_img", "fake_per_img", "delta_fake_per_img", "frag_per_hit"]
 
 
 @query("E3_compare_runs", with_views("fx_det fx_truth fx_images", f", {COMPARED} SELECT * FROM compare WHERE detector <> 'D1'", recursive=True))
@@ -151,7 +151,7 @@ _SAMPLES = "samples AS (SELECT doc_id AS key, real = 1 AS side, f_len AS a, f_wo
 @query("E5_bootstrap_two_sample", with_views("fx_features", f""", {_SAMPLES},
 placed AS (SELECT *, row_number() OVER (PARTITION BY side ORDER BY md5('20261006|' || key), key) - 1 AS ordinal FROM samples),
 n AS (SELECT side, count(*) AS n FROM samples GROUP BY ALL),
-drawn AS (SELECT side, b, CAST(floor((('0x' || substr(md5('20261006|' || side || '|' || b || '|' || k), 1, 8))::UBIGINT / 4294967296.0e0) * n) AS BIGINT) AS ordinal
+drawn AS (SELECT side, b, CAST(floor((('0x' || substr(md5('20261006|' || side || '|' || b || '|' || k), 1, 13))::UBIGINT / 4503599627370496.0e0) * n) AS BIGINT) AS ordinal
     FROM n, range(1, {N_BOOT + 1}) t(b), range(0, n) u(k)),
 rows_ AS (SELECT d.b, p.side, p.a, p.c FROM drawn d JOIN placed p USING (side, ordinal) UNION ALL SELECT 0, side, a, c FROM samples),
 long AS (SELECT b, side, 'a' AS m, a AS v FROM rows_ UNION ALL SELECT b, side, 'c', c FROM rows_),
@@ -279,7 +279,7 @@ def _(spark, sf):
     return rounded(out, "p50", "p90", "p97")
 
 
-SPLIT = """u AS (SELECT ('0x' || substr(md5('20261006|start'), 1, 8))::UBIGINT / 4294967296.0e0 AS u),
+SPLIT = """u AS (SELECT ('0x' || substr(md5('20261006|start'), 1, 13))::UBIGINT / 4503599627370496.0e0 AS u),
 pos AS (SELECT *, row_number() OVER (ORDER BY source, grp, has_damage, md5('20261006|' || image), image) AS n FROM fx_strata),
 split AS (SELECT image, source, grp, has_damage, CASE WHEN floor(u + n * 0.3e0) > floor(u + (n - 1) * 0.3e0) THEN 'test' ELSE 'dev' END AS split FROM pos, u)"""
 
@@ -322,7 +322,7 @@ def _(spark, sf):
 
 
 VERDICT = """CASE WHEN "precision" < 0.108 THEN 'below_precision_floor' WHEN recall_significant AND delta_recall < 0 THEN 'recall_loss'
-    WHEN (recall_significant AND delta_recall > 0) OR (precision_significant AND delta_precision > 0) THEN 'improvement' ELSE 'no_difference' END"""
+    WHEN (recall_significant AND delta_recall > 0) OR (precision_significant AND delta_precision > 0 AND delta_fake_per_img <= 0) THEN 'improvement' ELSE 'no_difference' END"""
 
 
 @query("E21_verdict", with_views("fx_det fx_truth fx_images", f", {COMPARED} SELECT tag, detector, kind, {VERDICT} AS verdict FROM compare WHERE detector <> 'D1'", recursive=True))

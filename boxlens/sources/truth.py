@@ -90,15 +90,21 @@ def read_truth_json(spark: SparkSession, path: str) -> DataFrame:
     return truth_json_boxes(spark.read.text(path, wholetext=True))
 
 
-def find_truth(sources: list[DataFrame | None]) -> DataFrame:
-    """Truth of each image from the first source that lists it. Sources come in order of priority, absent ones as None;
-    each has image, kind and corners."""
-    present = [s.withColumn("_rank", F.lit(i)) for i, s in enumerate(sources) if s is not None]
+def find_truth(images: DataFrame, sources: list[tuple[DataFrame | None, DataFrame] | None]) -> DataFrame:
+    """Truth of each image from the first source responsible for it, with ``source_rank``.
+
+    Sources come in order of priority, absent ones as None: the images a source lists (None: all of them) and its boxes.
+    An image belongs to the first source that lists it, also if that has no boxes for it: then it is undamaged and keeps one
+    row without a box. Boxes of later sources are never mixed in. An image that no source lists has no truth and no row.
+    """
+    present = [(i, *s) for i, s in enumerate(sources) if s is not None]
     if not present:
         raise ValueError("no truth source given")
-    rows = reduce(lambda a, b: a.unionByName(b, allowMissingColumns=True), present)
-    best = rows.groupBy("image").agg(F.min("_rank").alias("_rank"))
-    return rows.join(best, ["image", "_rank"]).withColumnRenamed("_rank", "source_rank")
+    names = images.select("image").distinct()
+    lists = [(names if listed is None else listed.select("image").distinct()).select("image", F.lit(i).alias("source_rank")) for i, listed, _ in present]
+    owner = names.join(reduce(DataFrame.unionByName, lists).groupBy("image").agg(F.min("source_rank").alias("source_rank")), "image")
+    rows = reduce(lambda a, b: a.unionByName(b, allowMissingColumns=True), [boxes.withColumn("source_rank", F.lit(i)) for i, _, boxes in present])
+    return owner.join(rows, ["image", "source_rank"], "left")
 
 
 def detections_boxes(docs: DataFrame, text: str = "value") -> DataFrame:
