@@ -87,15 +87,16 @@ def separation(images: DataFrame, det: DataFrame, truth: DataFrame, frame: DataF
     control = control_box_side(truth.join(scored, "image", "left_semi"), frame, tile).join(
         sized.select("image", "kind", "gid"), ["image", "kind", "gid"], "left_semi"
     )
-    both = as_truth(sized).join(control, ["image", "kind", "gid"])
-    real = has_member(det, both.select("image", "kind", "gid", *B.TRUTH_BOX), ["image", "kind"], ["gid", config], tile=tile)
-    fake = has_member(det, both.select("image", "kind", "gid", *CTL), ["image", "kind"], ["gid", config], box=CTL, tile=tile)
+    # read by the sizes and by the overlap join: stored, so the search for control boxes runs once
+    both = checkpoint(as_truth(sized).join(control, ["image", "kind", "gid"]).select("image", "kind", "gid", *B.TRUTH_BOX, *CTL))
+    sides = F.array(F.struct(F.lit(True).alias("is_truth"), *B.TRUTH_BOX), F.struct(F.lit(False).alias("is_truth"), *[F.col(c).alias(g) for c, g in zip(CTL, B.TRUTH_BOX)]))
+    regions = both.select("image", "kind", "gid", F.inline(sides))
     by = ["image", "kind"]
-    n = control.groupBy(*by).agg(F.count("*").alias("n"))
-    hit = real.groupBy(*by, config).agg(F.count("*").alias("hit"))
-    fhit = fake.groupBy(*by, config).agg(F.count("*").alias("fhit"))
+    n = both.groupBy(*by).agg(F.count("*").alias("n"))
+    found = has_member(det, regions, by, ["gid", "is_truth", config], tile=tile)
+    hits = found.groupBy(*by, config).agg(F.count_if("is_truth").alias("hit"), F.count_if(~F.col("is_truth")).alias("fhit"))
     base = spread(spread(scored, "kind", KINDS), config, configs).join(n, by, "left")
-    return base.join(hit, [*by, config], "left").join(fhit, [*by, config], "left").fillna(0)
+    return base.join(hits, [*by, config], "left").fillna(0)
 
 
 def region_max(det: DataFrame, truth: DataFrame, frame: DataFrame, value: str = "elong", frac: float = INSIDE_SHARE, tile: float = TILE) -> DataFrame:
@@ -105,7 +106,7 @@ def region_max(det: DataFrame, truth: DataFrame, frame: DataFrame, value: str =
     control = control_box_side(truth, frame, tile).join(sized.select("image", "kind", "gid"), ["image", "kind", "gid"], "left_semi")
     real = as_truth(sized).join(control.select("image", "kind", "gid"), ["image", "kind", "gid"]).select("image", "kind", "gid", F.lit(True).alias("is_truth"), *B.TRUTH_BOX)
     fake = control.select("image", "kind", "gid", F.lit(False).alias("is_truth"), *[F.col(c).alias(g) for c, g in zip(CTL, B.TRUTH_BOX)])
-    regions = real.unionByName(fake)
+    regions = checkpoint(real.unionByName(fake))
     inside = members(det.select("image", F.col("kind").alias("det_kind"), value, *B.DET_BOX), regions, ["image"], frac, tile=tile)
     best = inside.groupBy("image", "kind", "gid", "is_truth").agg(
         F.max(value).alias("best"), F.bool_or(F.col("det_kind") == F.col("kind")).alias("hit")

@@ -1,8 +1,8 @@
 """Order statistics of large groups: running totals, exact percentiles, k-th values, AUC, best thresholds.
 
 A window over a whole group would put the group in one task. Here values are first reduced to distinct values with counts
-(hot values collapse map-side), then spread over range buckets; only a bucket is ever sorted in one task, and the buckets'
-totals, a few dozen rows per group, are summed to carry the running total across.
+(hot values collapse map-side), then sorted into ranges over group and value, so a large group spreads over many of them; only a
+range is ever summed in one task, and the ranges' totals, a row for each group in each range, carry the running total across.
 """
 
 from __future__ import annotations
@@ -13,54 +13,54 @@ from pyspark.sql import functions as F
 from ..functions.hashing import hash_bucket, hash_key
 from ..session import checkpoint
 
-BUCKETS = 64
-
 
 def _same(by: list[str]) -> tuple[list[str], bool]:
     return (by, False) if by else (["_all"], True)
 
 
-def running_totals(df: DataFrame, by: list[str], value: str, sums: dict[str, Column], buckets: int = BUCKETS) -> DataFrame:
-    """One row per (by, value): each named sum for that value (``name``) and up to and including it (``cum_name``).
+def running_totals(df: DataFrame, by: list[str], value: str, sums: dict[str, Column], buckets: int | None = None) -> DataFrame:
+    """One row per (by, value): each named sum for that value (``name``), up to and including it (``cum_name``) and over the
+    whole group (``all_name``).
 
-    Bucket borders come from approximate percentiles, stored once so that every branch of the plan and every retry sees
-    the same borders. They only balance the work; the totals are exact for any borders.
+    Distinct values are cut into ``buckets`` ranges of (by, value), as many as there are shuffle partitions if not given.
+    The ranges are stored, so every branch of the plan and every retry sees the same ones, and the input is read once.
+    Nothing is joined or windowed on the group alone but the ranges' totals.
     """
     keys, whole = _same(by)
     if whole:
         df = df.withColumn("_all", F.lit(0))
     rows = df.filter(F.col(value).isNotNull()).groupBy(*keys, value).agg(*[c.alias(n) for n, c in sums.items()])
-    marks = F.array(*[F.lit(i / buckets) for i in range(1, buckets)])
-    borders = checkpoint(
-        df.filter(F.col(value).isNotNull()).groupBy(*keys).agg(F.percentile_approx(value, marks, 1000).alias("_borders"))
-    )
-    placed = rows.join(borders, keys).withColumn(
-        "_bucket", F.size(F.filter("_borders", lambda b: b < F.col(value)))
-    ).drop("_borders")
+    n = buckets or int(df.sparkSession.conf.get("spark.sql.shuffle.partitions"))
+    placed = checkpoint(rows.repartitionByRange(n, *keys, value).withColumn("_bucket", F.spark_partition_id()))
     inside = Window.partitionBy(*keys, "_bucket").orderBy(value).rowsBetween(Window.unboundedPreceding, Window.currentRow)
     before = Window.partitionBy(*keys).orderBy("_bucket").rowsBetween(Window.unboundedPreceding, -1)
+    group = Window.partitionBy(*keys)
     totals = placed.groupBy(*keys, "_bucket").agg(*[F.sum(n).alias(f"_t_{n}") for n in sums])
-    offsets = totals.select(*keys, "_bucket", *[F.coalesce(F.sum(f"_t_{n}").over(before), F.lit(0)).alias(f"_o_{n}") for n in sums])
+    offsets = totals.select(
+        *[F.col(k).alias(f"_k{i}") for i, k in enumerate(keys)], F.col("_bucket").alias("_b"),
+        *[F.coalesce(F.sum(f"_t_{n}").over(before), F.lit(0)).alias(f"_o_{n}") for n in sums], *[F.sum(f"_t_{n}").over(group).alias(f"all_{n}") for n in sums],
+    )
+    same = F.col("_bucket") == F.col("_b")
+    for i, k in enumerate(keys):
+        same = same & F.col(k).eqNullSafe(F.col(f"_k{i}"))
     local = placed.withColumns({f"_c_{n}": F.sum(n).over(inside) for n in sums})
-    out = local.join(offsets, [*keys, "_bucket"])
-    return out.select(*by, value, *sums, *[(F.col(f"_c_{n}") + F.col(f"_o_{n}")).alias(f"cum_{n}") for n in sums])
+    out = local.join(offsets, same)
+    return out.select(*by, value, *sums, *[(F.col(f"_c_{n}") + F.col(f"_o_{n}")).alias(f"cum_{n}") for n in sums], *[f"all_{n}" for n in sums])
 
 
 def exact_percentiles(df: DataFrame, by: list[str], value: str, qs: list[float], names: list[str] | None = None) -> DataFrame:
     """Linearly interpolated percentiles per group, one column per q. Groups may be arbitrarily large."""
     names = names or [f"p{round(q * 100):g}" for q in qs]
-    cum = running_totals(df, by, value, {"n": F.count("*")})
+    ranked = running_totals(df, by, value, {"n": F.count("*")})
     keys, whole = _same(by)
     if whole:
-        cum = cum.withColumn("_all", F.lit(0))
-    size = cum.groupBy(*keys).agg(F.max("cum_n").alias("_n"))
-    ranked = cum.join(size, keys)
+        ranked = ranked.withColumn("_all", F.lit(0))
     aggs = []
     for i, q in enumerate(qs):
-        pos = (F.col("_n") - 1) * F.lit(float(q))
+        pos = (F.col("all_n") - 1) * F.lit(float(q))
         aggs.append(F.min(F.when(F.col("cum_n") > F.floor(pos), F.col(value))).alias(f"_lo{i}"))
         aggs.append(F.min(F.when(F.col("cum_n") > F.ceil(pos), F.col(value))).alias(f"_hi{i}"))
-    g = ranked.groupBy(*keys).agg(F.max("_n").alias("_n"), *aggs)
+    g = ranked.groupBy(*keys).agg(F.max("all_n").alias("_n"), *aggs)
     cols = []
     for i, (q, name) in enumerate(zip(qs, names)):
         pos = (F.col("_n") - 1) * F.lit(float(q))
@@ -70,9 +70,9 @@ def exact_percentiles(df: DataFrame, by: list[str], value: str, qs: list[float],
 
 def kth_largest(df: DataFrame, value: str, k: int) -> DataFrame:
     """One row: the k-th largest value (NULL when there are fewer)."""
-    total = df.filter(F.col(value).isNotNull()).count()
     cum = running_totals(df, [], value, {"n": F.count("*")})
-    return cum.agg(F.min(F.when((F.col("cum_n") > total - k) & F.lit(1 <= k <= total), F.col(value))).alias("threshold"))
+    reached = (F.col("cum_n") > F.col("all_n") - k) & (F.col("all_n") >= k) & F.lit(k >= 1)
+    return cum.agg(F.min(F.when(reached, F.col(value))).alias("threshold"))
 
 
 def auc(df: DataFrame, by: list[str], value: str, positive: Column) -> DataFrame:
@@ -99,9 +99,8 @@ def best_threshold(df: DataFrame, score: str, label: str, decimals: int = 1) ->
     values = df.select(F.col(score).alias("t"), F.when(y, 1).otherwise(0).alias("p"), F.when(~y, 1).otherwise(0).alias("q"), F.lit(0).alias("c"))
     cuts = df.select(F.bround(F.col(score), decimals).alias("t"), F.lit(0).alias("p"), F.lit(0).alias("q"), F.lit(1).alias("c"))
     cum = running_totals(values.unionByName(cuts), [], "t", {"p": F.sum("p"), "q": F.sum("q"), "c": F.max("c")})
-    n_pos, n_neg = df.filter(F.col(score).isNotNull()).agg(F.count_if(y), F.count_if(~y)).first()
     rows = cum.filter("c = 1").withColumns({
-        "_P": F.lit(n_pos), "_Q": F.lit(n_neg), "hit": F.col("cum_p") - F.col("p"), "false_hit": F.col("cum_q") - F.col("q"),
+        "_P": F.col("all_p"), "_Q": F.col("all_q"), "hit": F.col("cum_p") - F.col("p"), "false_hit": F.col("cum_q") - F.col("q"),
     })
     rows = rows.withColumns({
         "agreement": (F.col("hit") + F.col("_Q") - F.col("false_hit")) / (F.col("_P") + F.col("_Q")),
