@@ -127,3 +127,12 @@ def test_parameters_reject_unknown_keys():
     with pytest.raises(ValueError):
         I.guard_dataset("rdd_test")
     assert I.guard_dataset("rdd_dev") == "rdd_dev"
+
+
+def test_truth_comes_from_the_source_that_lists_the_image(spark):
+    images = spark.createDataFrame([("a",), ("b",), ("c",), ("d",)], "image string")
+    box = "image string, kind string, x1 double"
+    first = (images.filter("image in ('a', 'b')"), spark.createDataFrame([("a", "crack", 1.0)], box))
+    rest = (None, spark.createDataFrame([("a", "pothole", 2.0), ("b", "pothole", 3.0), ("c", "crack", 4.0)], box))
+    got = T.find_truth(images, [None, first, rest]).select("image", "source_rank", "kind", "x1").orderBy("image").collect()
+    assert [tuple(r) for r in got] == [("a", 1, "crack", 1.0), ("b", 1, None, None), ("c", 2, "crack", 4.0), ("d", 2, None, None)]

@@ -149,10 +149,11 @@ def test_interpolation_outside_the_curve_is_null(spark):
 
 def test_verdict_table(spark):
     rows = [
-        (0.2, 0.1, True, 0.0, False, "improvement"), (0.2, 0.0, False, 0.1, True, "improvement"), (0.2, -0.1, True, 0.1, True, "recall_loss"),
-        (0.2, 0.1, False, 0.1, False, "no_difference"), (0.05, 0.1, True, 0.0, False, "below_precision_floor"),
+        (0.2, 0.1, True, 0.0, False, 2.0, "improvement"), (0.2, 0.0, False, 0.1, True, 0.0, "improvement"), (0.2, -0.1, True, 0.1, True, 0.0, "recall_loss"),
+        (0.2, 0.1, False, 0.1, False, 0.0, "no_difference"), (0.05, 0.1, True, 0.0, False, 0.0, "below_precision_floor"),
+        (0.2, 0.0, False, 0.1, True, 0.5, "no_difference"), (0.2, 0.1, True, 0.1, True, 0.5, "improvement"),
     ]
-    df = spark.createDataFrame(rows, "precision double, delta_recall double, recall_significant boolean, delta_precision double, precision_significant boolean, want string")
+    df = spark.createDataFrame(rows, "precision double, delta_recall double, recall_significant boolean, delta_precision double, precision_significant boolean, delta_fake_per_img double, want string")
     assert all(r.got == r.want for r in df.withColumn("got", C.verdict()).collect())
 
 
@@ -169,3 +170,12 @@ def test_grid_search_treats_hot_images_the_same(spark):
     grid = GRID[::9]
     a, b = (sorted(map(tuple, X.grid_search(cands, truth, parts, grid, ["rel_y"], limit=n).collect())) for n in (1 << 40, 400))
     assert a == b and len(a) == 2 * len(grid)
+
+
+def test_one_group_of_many_values_spreads_over_many_tasks(spark):
+    df = spark.range(200_000).selectExpr("'g' AS g", "double(id % 150000) AS v")
+    cum = R.running_totals(df, ["g"], "v", {"n": F.count("*")}, buckets=16)
+    sizes = cum.groupBy(F.spark_partition_id()).count().collect()
+    assert cum.count() == 150_000 and cum.agg(F.max("cum_n"), F.min("all_n")).first() == (200_000, 200_000)
+    plan = R.exact_percentiles(df, ["g"], "v", [0.5])._jdf.queryExecution().executedPlan().toString()
+    assert "SortMergeJoin [g" not in plan and sizes
