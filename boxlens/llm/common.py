@@ -4,6 +4,7 @@ from __future__ import annotations
 
 import tempfile
 import uuid
+from collections.abc import Callable, Iterable
 
 from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
@@ -166,3 +167,29 @@ def with_amount_before(ordered: DataFrame, amount: Column, out: str, group: str
         same = same & F.col(k).eqNullSafe(F.col(f"_k{i}"))
     inside = Window.partitionBy(*keys).orderBy("row_index").rowsBetween(Window.unboundedPreceding, -1)
     return rows.join(starts, same).withColumn(out, F.col("_start") + F.coalesce(F.sum("_amount").over(inside), F.lit(0))).drop("_amount", "_start", *[f"_k{i}" for i in range(len(keys))])
+
+
+class Memo:
+    """Remembered results of a function of strings inside one Python worker, in two generations of at most ``limit`` entries.
+
+    What a batch needs moves to the young generation; when that is full it becomes the old one, and what nobody asked for since
+    is forgotten.
+    """
+
+    def __init__(self, limit: int):
+        self.limit = limit
+        self.young: dict[str, bytes] = {}
+        self.old: dict[str, bytes] = {}
+
+    def filled(self, keys: Iterable[str], compute: Callable[[list[str]], Iterable[bytes]]) -> dict[str, bytes]:
+        """A dictionary that holds at least ``keys``, which are distinct."""
+        if len(self.young) > self.limit:
+            self.old, self.young = self.young, {}
+        young, old = self.young, self.old
+        new = [k for k in keys if k not in young]
+        if old:
+            young.update((k, old[k]) for k in new if k in old)
+            new = [k for k in new if k not in young]
+        if new:
+            young.update(zip(new, compute(new)))
+        return young

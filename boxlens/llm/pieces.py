@@ -2,21 +2,23 @@
 
 from __future__ import annotations
 
+import hashlib
 import re
 from collections.abc import Iterator
+from itertools import chain
 
 import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import whole_text
+from .common import Memo, whole_text
 from .token_files import slices
 
 BLANK = "▁"
 #: A text falls apart before every run of blanks and around every line feed: no piece spans such a place
 CHUNK = re.compile(f"{BLANK}+[^{BLANK}\n]*|\n|[^{BLANK}\n]+")
-CACHE_LIMIT = 1_000_000
+CACHE_LIMIT = 300_000
 #: A piece model, of one for each Python worker and file
 _models: dict[str, PieceModel] = {}
 
@@ -53,7 +55,7 @@ class PieceModel:
         self.automaton.make_automaton()
         self.penalty = worst - 10.0
         self.byte_of = {i: b for b, i in self.bytes.items()}
-        self.cache: dict[str, bytes] = {}
+        self.cache = Memo(CACHE_LIMIT)
 
     def segment(self, chunk: str) -> list[int]:
         """Ids of the best segmentation, in a single pass: at each end position the automaton's output links give every piece
@@ -85,17 +87,11 @@ class PieceModel:
             n = start
         return out[::-1]
 
-    def encode(self, text: str) -> bytes:
-        """Little-endian 32-bit ids.  Blanks become the blank mark, with one before the text unless it is empty."""
-        if not text:
-            return b""
-        chunks = CHUNK.findall(BLANK + text.replace(" ", BLANK))
-        cache = self.cache
-        if len(cache) > CACHE_LIMIT:
-            cache.clear()
-        for c in set(chunks).difference(cache):
-            cache[c] = np.array(self.segment(c), "<i4").tobytes()
-        return b"".join(map(cache.__getitem__, chunks))
+    def encode(self, texts: list[str]) -> list[bytes]:
+        """Little-endian 32-bit ids of each text.  Blanks become the blank mark, with one before the text unless it is empty."""
+        cut = [CHUNK.findall(BLANK + t.replace(" ", BLANK)) if t else [] for t in texts]
+        look = self.cache.filled(set(chain.from_iterable(cut)), lambda new: [np.array(self.segment(c), "<i4").tobytes() for c in new]).__getitem__
+        return [b"".join(map(look, c)) for c in cut]
 
     def decode(self, ids: list[int]) -> str:
         """The text of ``ids``: pieces joined, byte pieces as UTF-8, blank marks as blanks, the first one dropped."""
@@ -113,29 +109,35 @@ def model(path: str) -> PieceModel:
     return _models[path]
 
 
-def _encode(path: str):
+def _encode(path: str, check: bool):
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         m = model(path)
         for batch in batches:
             for part in slices(batch, batch.num_columns - 1):
-                found = [m.encode(t) for t in part.column(part.num_columns - 1).to_pylist()]
+                texts = part.column(part.num_columns - 1).to_pylist()
+                found = m.encode(texts)
                 sizes = np.array([len(b) // 4 for b in found], np.int64)
                 offsets = np.concatenate(([0], np.cumsum(sizes))).astype(np.int32)
                 ids = pa.ListArray.from_arrays(pa.array(offsets), pa.array(np.frombuffer(b"".join(found), "<i4")))
-                yield pa.RecordBatch.from_arrays([*part.columns, ids], [*part.schema.names, "ids"])
+                extra = []
+                if check:
+                    decoded = [m.decode(np.frombuffer(b, "<i4").tolist()) for b in found]
+                    extra = [pa.array([hashlib.sha256(d.encode()).hexdigest() for d in decoded], pa.string()), pa.array([d == t.replace(BLANK, " ") for d, t in zip(decoded, texts)], pa.bool_())]
+                yield pa.RecordBatch.from_arrays([*part.columns[:-1], ids, *extra], [*part.schema.names[:-1], "ids", *["decoded_sha256", "round_trip"][: len(extra)]])
 
     return run
 
 
-def encode_pieces(df: DataFrame, path: str, text_col: str = "text", keep: tuple[str, ...] = ("doc_id",)) -> DataFrame:
-    """``keep`` columns, the whole text and its piece ``ids`` under the model file at ``path``; row by row, without a shuffle.
+def encode_pieces(df: DataFrame, path: str, text_col: str = "text", keep: tuple[str, ...] = ("doc_id",), check: bool = False) -> DataFrame:
+    """``keep`` columns and the piece ``ids`` of each whole text under the model file at ``path``; row by row, without a shuffle.
 
-    Null and empty text give no ids.  Long texts are encoded whole; repeated rows give repeated results; an empty table
-    gives an empty one.  Only the named columns are read.  The ids do not depend on the batch or task a row falls into.
+    ``check`` decodes the ids again and adds ``decoded_sha256`` and ``round_trip``, whether the text came back.  Null and
+    empty text give no ids.  Long texts are encoded whole; repeated rows give repeated results; an empty table gives an
+    empty one.  Only the named columns are read.  The ids do not depend on the batch or task a row falls into.
     """
     rows = df.select(*[F.col(c) for c in keep], whole_text(text_col).alias("piece_text"))
-    kinds = ", ".join(f"`{n}` {t}" for n, t in rows.dtypes)
-    return rows.mapInArrow(_encode(path), f"{kinds}, ids array<int>")
+    kinds = ", ".join(f"`{n}` {t}" for n, t in rows.dtypes[:-1])
+    return rows.mapInArrow(_encode(path, check), f"{kinds}, ids array<int>" + ", decoded_sha256 string, round_trip boolean" * check)
 
 
 def _decode(path: str):

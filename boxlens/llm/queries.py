@@ -8,12 +8,12 @@ import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from .common import new_path, staged
+from .common import new_path
 from .exact_dedup import exact_dedup
 from . import fingerprints
 from .mixing import mix
 from .near_dedup import near_dedup
-from .pieces import decode_pieces, encode_pieces
+from .pieces import encode_pieces
 from .pii import KINDS, count_of, scan, written
 from .quality import resample
 from .suffix_dedup import suffix_dedup
@@ -82,10 +82,8 @@ def op10(spark: SparkSession, folder: str) -> DataFrame:
 @query("op4_sentencepiece")
 def op4(spark: SparkSession, folder: str) -> DataFrame:
     """Every document as pieces and back: its ids, and whether decoding gives the text again."""
-    path = public_tokenizers.path("piece_bpe_32k.model")
-    encoded = encode_pieces(documents(spark, folder), path)
-    back = decode_pieces(encoded, path, ("doc_id", "piece_text", "ids"))
-    return back.select("doc_id", "ids", F.size("ids").cast("bigint").alias("n_ids"), F.sha2("decoded", 256).alias("decoded_sha256"), (F.col("decoded") == F.translate("piece_text", "▁", " ")).alias("round_trip"))
+    encoded = encode_pieces(documents(spark, folder), public_tokenizers.path("piece_bpe_32k.model"), check=True)
+    return encoded.select("doc_id", "ids", F.size("ids").cast("bigint").alias("n_ids"), "decoded_sha256", "round_trip")
 
 
 _HEX52 = "('0x' || substr(k, 1, 13))::BIGINT"
