@@ -62,7 +62,7 @@ def greedy_filters(rows: DataFrame, features: list[str], cap: float = 0.10, min_
         size = narrowed.agg(F.count_if(F.col(real).cast("boolean")).alias("r"), F.count_if(~F.col(real).cast("boolean")).alias("f")).first()
         if 1 - size["r"] / total > cap:
             break
-        kept = narrowed
+        kept = checkpoint(narrowed)  # the chain of filters stays one filter long
         left.remove(best["feature"])
         steps.append({
             "step": len(steps) + 1, "feature": best["feature"], "drop_low": best["drop_low"], "threshold": float(t),

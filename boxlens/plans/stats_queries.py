@@ -197,10 +197,31 @@ def _(spark, sf):
     return rounded(X.cut_table(Inputs(spark, sf).long_features), "auc", "threshold_5", "threshold_10", "cut_5", "cut_10")
 
 
-@query("E9_greedy_filters")
+FILTERS = ["f_len", "f_tie", "f_words"]
+
+
+def greedy_sql(cap: float, min_gain: float, loss: float = 0.05) -> str:
+    """The rounds of the greedy filter written out, one for each feature: each holds the documents left by the one before."""
+    parts, order = ["d0 AS (SELECT doc_id, real FROM fx_features)", "total AS (SELECT sum(real) AS n FROM d0)"], " ".join(f"WHEN '{f}' THEN {i}" for i, f in enumerate(FILTERS))
+    for r in range(1, len(FILTERS) + 1):
+        used = " ".join(f"AND feature NOT IN (SELECT feature FROM s{k})" for k in range(1, r))
+        before = f"AND EXISTS (SELECT 1 FROM s{r - 1})" if r > 1 else ""
+        parts.append(f"""l{r} AS (SELECT f.doc_id, f.real, feature, value FROM fx_long f JOIN d{r - 1} USING (doc_id) WHERE true {used}),
+a{r} AS (SELECT feature, (sum(rk) FILTER (real = 1) - sum(real)*(sum(real)+1)/2.0e0) / (sum(real)*(count(*)-sum(real))) AS auc FROM
+    (SELECT feature, real, rank() OVER (PARTITION BY feature ORDER BY value) + (count(*) OVER (PARTITION BY feature, value) - 1)/2.0e0 AS rk FROM l{r}) GROUP BY feature),
+t{r} AS (SELECT feature, auc >= 0.5 AS drop_low, CASE WHEN auc >= 0.5 THEN quantile_cont(value, {loss}) ELSE quantile_cont(value, {1 - loss}) END AS t FROM l{r} JOIN a{r} USING (feature) WHERE real = 1 GROUP BY feature, auc),
+b{r} AS (SELECT feature, drop_low, t, avg(CASE WHEN drop_low THEN (value < t)::INT ELSE (value > t)::INT END) AS gain FROM l{r} JOIN t{r} USING (feature) WHERE real = 0 {before}
+    GROUP BY feature, drop_low, t HAVING gain >= {min_gain} ORDER BY gain DESC, CASE feature {order} END LIMIT 1),
+d{r} AS (SELECT l.doc_id, l.real FROM l{r} l JOIN b{r} b ON l.feature = b.feature WHERE CASE WHEN drop_low THEN value >= t ELSE value <= t END),
+s{r} AS (SELECT {r} AS step, feature, drop_low, t AS threshold, gain, n_real, n_fake FROM b{r}, total,
+    (SELECT CAST(count(*) FILTER (real = 1) AS BIGINT) AS n_real, CAST(count(*) FILTER (real = 0) AS BIGINT) AS n_fake FROM d{r}) WHERE 1 - n_real / n <= {cap})""")
+    return ", " + ",\n".join(parts) + " " + " UNION ALL ".join(f"SELECT * FROM s{r}" for r in range(1, len(FILTERS) + 1))
+
+
+@query("E9_greedy_filters", with_views("fx_features fx_long", greedy_sql(0.15, 0.02)))
 def _(spark, sf):
     rows = Inputs(spark, sf).features
-    steps = X.greedy_filters(rows, ["f_len", "f_tie", "f_words"], cap=0.15, min_gain=0.02)
+    steps = X.greedy_filters(rows, FILTERS, cap=0.15, min_gain=0.02)
     return spark.createDataFrame(steps, "step int, feature string, drop_low boolean, threshold double, gain double, n_real long, n_fake long")
 
 
