@@ -484,10 +484,14 @@ def _(spark, sf):
 
 
 @query("R34_structure_tensor", with_views("fx_pixels", f""", {PX}, {conv_sql('gx', 'v', G.DIFF, G.SMOOTH)}, {conv_sql('gy', 'v', G.SMOOTH, G.DIFF)}, pr AS (SELECT image, y, x, gx.s*gx.s AS a, gx.s*gy.s AS b, gy.s*gy.s AS c FROM gx JOIN gy USING (image, y, x)),
-    {conv_sql('ta', 'a', GK, GK, 'pr')}, {conv_sql('tb', 'b', GK, GK, 'pr')}, {conv_sql('tc', 'c', GK, GK, 'pr')} SELECT image, y, x, round(ta.s, 3) AS ta, round(tb.s, 3) AS tb, round(tc.s, 3) AS tc, round(ta.s + tc.s, 3) AS trace FROM ta JOIN tb USING (image, y, x) JOIN tc USING (image, y, x)"""))
-def _(spark, sf):
-    t = CU.structure_tensor(coloured(Inputs(spark, sf)), sigma=1.0, radius=3).withColumn("trace", F.col("ta") + F.col("tc"))
-    return rounded(t.select("image", "y", "x", "ta", "tb", "tc", "trace"), "ta", "tb", "tc", "trace", digits=3)
+    {conv_sql('ta', 'a', GK, GK, 'pr')}, {conv_sql('tb', 'b', GK, GK, 'pr')}, {conv_sql('tc', 'c', GK, GK, 'pr')}, st AS (SELECT image, y, x, ta.s AS a, tb.s AS b, tc.s AS c, sqrt((ta.s-tc.s)*(ta.s-tc.s) + 4*tb.s*tb.s) AS root FROM ta JOIN tb USING (image, y, x) JOIN tc USING (image, y, x)),
+    ev AS (SELECT *, (a+c+root)/2 AS l1, greatest((a+c-root)/2, 0) AS l2 FROM st)
+    SELECT image, y, x, round(a, 3) AS ta, round(b, 3) AS tb, round(c, 3) AS tc, round(l1 + l2, 3) AS energy, round(l2, 3) AS l2,
+        round(CASE WHEN l1 + l2 > 1e-6 THEN ((l1-l2)/(l1+l2)) * ((l1-l2)/(l1+l2)) ELSE 0 END, 5) AS coherence FROM ev"""))
+def _(spark, sf):
+    t = CU.structure_tensor(coloured(Inputs(spark, sf)), sigma=1.0, radius=3)
+    t = rounded(t.select("image", "y", "x", "ta", "tb", "tc", "energy", "coherence", "l2"), "ta", "tb", "tc", "energy", "l2", digits=3)
+    return rounded(t, "coherence", digits=5)
 
 
 @query("R35_row_robust_z", with_views("fx_pixels", f""", md AS (SELECT image, y, median(v) AS m FROM fx_pixels GROUP BY ALL), ma AS (SELECT image, y, any_value(m) AS m, median(abs(v-m))*1.4826e0+1e-3 AS s FROM fx_pixels JOIN md USING (image, y) GROUP BY ALL),
