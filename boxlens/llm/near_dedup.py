@@ -16,7 +16,7 @@ from .token_files import slices
 
 ROWS = 5
 #: a bucket of so few unlinked sets is compared pair by pair at once; larger ones go on by leaders
-SMALL = 16
+SMALL = 128
 
 
 def bands_for(similarity: float, rows: int = ROWS, miss: float = 1e-6) -> int:
@@ -65,6 +65,29 @@ def _verify(width: int, share: tuple[int, int]):
     return run
 
 
+def _elements(width: int):
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            for part in slices(batch, 0, 1_000_000):
+                elements, starts = shingle_sets(part.column(0), width)
+                owner = np.repeat(np.asarray(part.column(1)), np.diff(starts))
+                yield pa.RecordBatch.from_arrays([pa.array(elements.astype(np.int64)), pa.array(owner)], ["element", "owner"])
+
+    return run
+
+
+def shared_sizes(texts: DataFrame, wanted: DataFrame, width: int) -> DataFrame:
+    """``owner, lone``: how many shingles of each wanted set lie in no other wanted set; sets without such shingles are absent.
+
+    ``owner`` is a 64-bit hash of the set id.  Should two sets share it, their sum is split over nobody: such owners are left
+    out too, which only makes them look more shared.
+    """
+    rows = texts.join(wanted, "set_id", "left_semi").select("text", F.xxhash64("set_id").alias("owner")).mapInArrow(_elements(width), "element bigint, owner bigint")
+    lone = rows.groupBy("element").agg(F.count(F.lit(1)).alias("n"), F.min("owner").alias("owner")).filter("n = 1").groupBy("owner").agg(F.count(F.lit(1)).alias("lone"))
+    twins = wanted.groupBy(F.xxhash64("set_id").alias("owner")).agg(F.count(F.lit(1)).alias("n")).filter("n > 1").select("owner")
+    return lone.join(twins, "owner", "left_anti")
+
+
 def verified(pairs: DataFrame, texts: DataFrame, width: int, share: tuple[int, int]) -> DataFrame:
     """``a, b, linked`` of pairs of set ids, decided on the full shingle sets of both texts."""
     left = texts.select(F.col("set_id").alias("a"), F.col("text").alias("text_a"))
@@ -98,41 +121,55 @@ def components(labels: DataFrame, links: DataFrame) -> DataFrame:
     return labels.join(moved, "label", "left").select("set_id", F.coalesce("to", "label").alias("label"))
 
 
+def several_labels(rest: DataFrame, labels: DataFrame) -> DataFrame:
+    """``rest`` with label, size and size of the label's part of each bucket, without buckets of one label."""
+    marked = rest.drop("label", "members", "of_label").join(labels, "set_id")
+    sizes = marked.groupBy("bucket", "label").agg(F.count(F.lit(1)).alias("of_label"))
+    mixed = sizes.groupBy("bucket").agg(F.sum("of_label").alias("members"), F.count(F.lit(1)).alias("labels")).filter("labels > 1").drop("labels")
+    return marked.join(mixed, "bucket").join(sizes, ["bucket", "label"])
+
+
 def linked_sets(mates: DataFrame, sets: DataFrame, texts: DataFrame, width: int, share: tuple[int, int]) -> DataFrame:
     """``set_id, label``: the components of the sets under verified links.
 
     ``mates`` (bucket, set_id, copies) lists buckets of two or more sets.  First each member of a bucket is compared with its leader,
-    the set with most copies; that joins large groups in linear time.  Then only buckets that still hold sets of
-    different components are gone through: small ones pair by pair, in larger ones an eighth of the members lead in turn,
+    the set with most copies; that joins large groups in linear time.  Sets left in buckets of several components lose
+    what none of them shares with another; with the rest of their shingles most of them can be similar enough to nobody,
+    which settles them without a partner.  Then only buckets that still hold sets of
+    different components are gone through: small ones pair by pair, in larger ones about half of the members lead in turn,
     those of small components first, and are compared with every member of another component.  It ends when each pair that shares a
-    bucket is linked, in one component, or refuted.
+    bucket is linked, in one component, or refuted (by sizes alone, of the sets or their shared parts, where those do not allow it).
     """
-    leader = mates.groupBy("bucket").agg(F.min(F.struct(-F.col("copies"), F.col("set_id"))).alias("lead")).select("bucket", F.col("lead.set_id").alias("a"))
-    pairs = staged(mates.join(leader, "bucket").filter("a <> set_id").select("a", F.col("set_id").alias("b")).distinct(), "near-pairs")
+    fits = share[1] * F.least("n", "n_a") >= share[0] * F.greatest("n", "n_a")  # sets of other sizes cannot be similar enough
+    leader = mates.groupBy("bucket").agg(F.min(F.struct(-F.col("copies"), F.col("set_id"), F.col("n"))).alias("lead")).select("bucket", F.col("lead.set_id").alias("a"), F.col("lead.n").alias("n_a"))
+    pairs = staged(mates.join(leader, "bucket").filter("a <> set_id").filter(fits).select("a", F.col("set_id").alias("b")).distinct(), "near-pairs")
     done = staged(verified(pairs, texts, width, share), "near-verified")
     labels = staged(components(sets.select("set_id", F.col("set_id").alias("label")), done.filter("linked")), "near-labels")
     seen = done.filter("NOT linked").select("a", "b")
     seen = seen.unionByName(seen.select(F.col("b").alias("a"), F.col("a").alias("b")))
-    rest = mates.select("bucket", "set_id").join(leader.select("bucket", F.col("a").alias("set_id")), ["bucket", "set_id"], "left_anti")
+    rest = mates.select("bucket", "set_id", "n").join(leader.select("bucket", F.col("a").alias("set_id")), ["bucket", "set_id"], "left_anti")
+    rest = staged(several_labels(rest, labels), "near-open")
+    lone = shared_sizes(texts, rest.select("set_id").distinct(), width)
+    rest = rest.withColumn("owner", F.xxhash64("set_id")).join(lone, "owner", "left").withColumn("c", F.col("n") - F.coalesce("lone", F.lit(0)))
+    rest = rest.filter(share[1] * F.col("c") >= share[0] * F.col("n")).select("bucket", "set_id", "n", "c")
+    # two sets share at most what the smaller of their shared parts holds
+    fits = (share[0] + share[1]) * F.least("c", "c_a") >= share[0] * (F.col("n") + F.col("n_a"))
     while True:
-        marked = rest.join(labels, "set_id")
-        sizes = marked.groupBy("bucket", "label").agg(F.count(F.lit(1)).alias("of_label"))
-        mixed = sizes.groupBy("bucket").agg(F.sum("of_label").alias("members"), F.count(F.lit(1)).alias("labels")).filter("labels > 1")
-        rest = staged(marked.join(mixed, "bucket").join(sizes, ["bucket", "label"]).select("bucket", "set_id", "label", "members", "of_label"), "near-open")
+        rest = staged(several_labels(rest, labels), "near-open")
         if rest.limit(1).count() == 0:
             return labels
-        # the rank of a member is drawn from its hash; about one in eight of a large bucket leads, and always its first
+        # who leads is drawn by hash, about every other member of a large bucket, and always its first
         first = rest.groupBy("bucket").agg(F.min(F.struct("of_label", "set_id")).alias("first")).select("bucket", F.col("first.set_id").alias("first_id"))
-        drawn = (F.col("members") <= SMALL) | (F.pmod(F.xxhash64("set_id", "bucket", F.col("members")), F.lit(8)) == 0) & (F.col("of_label") * 2 <= F.col("members"))
-        leads = rest.join(first, "bucket").filter(drawn | (F.col("set_id") == F.col("first_id"))).select("bucket", F.col("set_id").alias("a"), F.col("label").alias("label_a"))
+        drawn = (F.col("members") <= SMALL) | (F.pmod(F.xxhash64("set_id", "bucket", F.col("members")), F.lit(2)) == 0) & (F.col("of_label") * 2 <= F.col("members"))
+        leads = rest.join(first, "bucket").filter(drawn | (F.col("set_id") == F.col("first_id"))).select("bucket", F.col("set_id").alias("a"), F.col("n").alias("n_a"), F.col("c").alias("c_a"), F.col("label").alias("label_a"))
         leads = staged(leads, "near-leads")
-        pairs = rest.join(leads, "bucket").filter("label <> label_a").select(F.least("a", "set_id").alias("a"), F.greatest("a", "set_id").alias("b")).distinct()
+        pairs = rest.join(leads, "bucket").filter("label <> label_a").filter(fits).select(F.least("a", "set_id").alias("a"), F.greatest("a", "set_id").alias("b")).distinct()
         new = staged(pairs.join(seen, ["a", "b"], "left_anti"), "near-pairs")
         done = staged(verified(new, texts, width, share), "near-verified")
         labels = staged(components(labels, done.filter("linked")), "near-labels")
         out = done.filter("NOT linked").select("a", "b")
         seen = seen.unionByName(out).unionByName(out.select(F.col("b").alias("a"), F.col("a").alias("b")))
-        rest = rest.select("bucket", "set_id").join(leads.select("bucket", F.col("a").alias("set_id")), ["bucket", "set_id"], "left_anti")
+        rest = rest.select("bucket", "set_id", "n", "c").join(leads.select("bucket", F.col("a").alias("set_id")), ["bucket", "set_id"], "left_anti")
 
 
 def near_dedup(df: DataFrame, id_col: str = "doc_id", text_col: str = "text", width: int = 5, share: tuple[int, int] = (80, 100)) -> DataFrame:
@@ -154,11 +191,11 @@ def near_dedup(df: DataFrame, id_col: str = "doc_id", text_col: str = "text", wi
     members = staged(docs.mapInArrow(_sketch(width, bands, ROWS), "id bigint, row_key binary, n_shingles bigint, set_id binary, bands array<bigint>"), "near-members")
     order = F.struct(F.col("id").isNull().alias("no_id"), F.col("id").alias("id"), F.col("row_key").alias("row_key"))
     filled = members.filter("n_shingles > 0")
-    sets = staged(filled.groupBy("set_id").agg(F.min(order).alias("first"), F.count(F.lit(1)).alias("copies")), "near-sets")
-    chosen = sets.select("set_id", F.col("first.row_key").alias("row_key"), "copies")
+    sets = staged(filled.groupBy("set_id").agg(F.min(order).alias("first"), F.count(F.lit(1)).alias("copies"), F.min("n_shingles").alias("n")), "near-sets")
+    chosen = sets.select("set_id", F.col("first.row_key").alias("row_key"), "copies", "n")
     one_each = filled.select("row_key", "set_id", "bands").join(chosen, ["row_key", "set_id"])
     # rows that repeat id and text come twice here
-    placed = one_each.select("set_id", "copies", F.explode("bands").alias("bucket")).groupBy("bucket", "set_id").agg(F.max("copies").alias("copies"))
+    placed = one_each.select("set_id", "copies", "n", F.explode("bands").alias("bucket")).groupBy("bucket", "set_id").agg(F.max("copies").alias("copies"), F.max("n").alias("n"))
     crowded = staged(placed, "near-buckets")
     shared = crowded.groupBy("bucket").agg(F.count(F.lit(1)).alias("n")).filter("n > 1").select("bucket")
     mates = staged(crowded.join(shared, "bucket"), "near-mates")
