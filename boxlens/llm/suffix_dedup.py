@@ -26,6 +26,8 @@ RUN = 512
 #: strings that share a gram beyond which they are compared window by window over the cluster
 HOT = 256
 BATCH_BYTES = 1_000_000
+#: bytes of strings put into suffix order at once; each of their windows takes its length in memory, several times over
+MATCH_BYTES = 150_000
 
 
 def prefix_sums(data: np.ndarray) -> np.ndarray:
@@ -167,7 +169,7 @@ def _matched(length: int, first_stays: bool):
 
         for batch in batches:
             for row in batch.to_pylist():
-                if held > BATCH_BYTES and row["gram"] != group[-1]["gram"]:
+                if held > MATCH_BYTES and row["gram"] != group[-1]["gram"]:
                     yield flush(group)
                     group, held = [], 0
                 group.append(row)
