@@ -9,6 +9,8 @@ from collections.abc import Callable, Iterable
 from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
+#: slots of the filters in front of joins: their broadcasts never exceed so many numbers
+SLOTS = 1 << 20
 SPACE = "\\x20\\x09-\\x0D"
 WORD = f"[^{SPACE}]+"
 
@@ -78,10 +80,15 @@ def rows_kept(df: DataFrame, key: Column, decided: DataFrame, one_each: bool = T
     keyed = df.withColumn(name, key)
     keys = decided.groupBy("row_key").agg(F.count(F.lit(1)).alias("n"), F.max("kept").alias("kept"))
     special = staged(keys.filter(~F.col("kept") | (F.col("n") > 1) if one_each else ~F.col("kept")).select(F.col("row_key").alias(name), "kept"), "rows-kept")
-    once = keyed.join(special.select(name), name, "left_anti")
+    # most rows share a slot with no special key and stay where they are; only the others are shuffled
+    slot = fresh(keyed, "slot")
+    dealt = keyed.withColumn(slot, F.pmod(F.xxhash64(name), F.lit(SLOTS)).cast("int"))
+    slots = F.broadcast(special.select(F.pmod(F.xxhash64(name), F.lit(SLOTS)).cast("int").alias(slot)).distinct())
+    free, near = dealt.join(slots, slot, "left_anti").drop(slot), dealt.join(slots, slot, "left_semi").drop(slot)
+    once = free.unionByName(near.join(special.select(name), name, "left_anti"))
     if not one_each:
         return once.select(*df.columns)
-    repeated = keyed.join(special.filter("kept").select(name), name, "left_semi").dropDuplicates([name])
+    repeated = near.join(special.filter("kept").select(name), name, "left_semi").dropDuplicates([name])
     return once.unionByName(repeated).select(*df.columns)
 
 
@@ -99,10 +106,6 @@ def join_groups(rows: DataFrame, groups: DataFrame, keys: str | list[str], size:
     return rows.join(F.broadcast(hot), keys).unionByName(cold)
 
 
-#: slots of the filter below: its broadcast never exceeds so many numbers
-SLOTS = 1 << 20
-
-
 def maybe_in(rows: DataFrame, key: str, wanted: DataFrame) -> DataFrame:
     """``rows`` without most of those whose ``key`` is not in ``wanted``: a filter of bounded size in front of a join.
 

@@ -18,7 +18,7 @@ from .token_files import slices
 BLANK = "▁"
 #: A text falls apart before every run of blanks and around every line feed: no piece spans such a place
 CHUNK = re.compile(f"{BLANK}+[^{BLANK}\n]*|\n|[^{BLANK}\n]+")
-CACHE_LIMIT = 300_000
+CACHE_LIMIT = 150_000
 #: A piece model, of one for each Python worker and file
 _models: dict[str, PieceModel] = {}
 

@@ -19,7 +19,7 @@ TOKEN = re.compile(r"\w+|[^\w\s]+")
 BUCKETS = 16_384
 #: labelled rows that train the target model and the cut, at most: those of least hash
 LABELLED = 50_000
-CACHE_LIMIT = 1_000_000
+CACHE_LIMIT = 200_000
 
 
 class _Hashes(dict):

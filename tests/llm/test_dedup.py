@@ -99,7 +99,7 @@ def chain(n, step):
 
 def test_near_chains_and_crowds_are_followed(spark, monkeypatch):
     monkeypatch.setattr(near, "SMALL", 3)
-    rows = chain(40, 12) + [(100 + i, " ".join([f"t{k}" for k in range(200)] + [f"u{i}_{k}" for k in range(i % 60)]), "s") for i in range(60)]
+    rows = chain(20, 12) + [(100 + i, " ".join([f"t{k}" for k in range(200)] + [f"u{i}_{k}" for k in range(2 * i)]), "s") for i in range(30)]
     got = near.near_dedup(documents(spark, rows), width=3, share=(85, 100)).collect()
     assert collections.Counter((r.id, r.n_shingles, r.component_id) for r in got) == near_by_force(rows, 3, (85, 100))
 
