@@ -5,6 +5,7 @@ from __future__ import annotations
 import re
 import zlib
 from collections.abc import Iterator
+from itertools import chain
 
 import numpy as np
 import pyarrow as pa
@@ -12,13 +13,14 @@ import pyarrow.compute as pc
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from .common import read_in_order, whole_text, with_amount_before
+from .common import Memo, read_in_order, whole_text, with_amount_before
 
 SCHEMA = "id bigint, n_tokens bigint, ids array<int>"
-#: white space other than the blank and the line feed: texts that hold it are cut more carefully
-OTHER_SPACE = re.compile("[\t\v\f\r\x1c-\x1f\x85\xa0  -     　]")
+#: texts with other or adjacent white space, or white space at an end, are cut more carefully
+ODD = "[\\t\\v\\f\\r\\x1c-\\x1f\\x{85}\\x{a0}\\x{1680}\\x{2000}-\\x{200a}\\x{2028}\\x{2029}\\x{202f}\\x{205f}\\x{3000}]|[ \\n][ \\n]|^[ \\n]|[ \\n]$"
 CUT = re.compile(r"(?<=\S)(?=[ \n]\S)")
-CACHE_LIMIT = 1_000_000
+CACHE_LIMIT = 400_000
+MARKS = ".,;:!?"
 #: One encoder for each Python worker and vocabulary file
 _encoders: dict[str, Encoder] = {}
 
@@ -32,45 +34,86 @@ class Encoder:
 
         self.tokenizer = Tokenizer.from_file(path)
         self.tokenizer.encode_special_tokens = True  # their strings in a text are ordinary text
-        self.line = self.tokenizer.encode("\n", add_special_tokens=False).ids
-        self.cache: dict[str, bytes] = {}
+        self.line = self.ids_of("\n")
+        self.marks = {m: self.bytes_of(m) for m in MARKS}
+        self.cache, self.stems = Memo(CACHE_LIMIT), Memo(CACHE_LIMIT)
 
     def pieces(self, text: str) -> list[str]:
-        """The text cut into pieces; a line feed between two words is a piece of its own."""
-        plain = "  " not in text and "\n\n" not in text and " \n" not in text and "\n " not in text
-        if plain and text[:1] not in " \n" and text[-1:] not in " \n" and not OTHER_SPACE.search(text):
-            # each cut becomes a line feed; a line feed of the text becomes an empty piece between two cuts
-            return text.replace("\n", "\n\n").replace(" ", "\n ").split("\n")
+        """The text cut into pieces; a line feed between two words is a piece of its own, written as the empty string."""
         out = []
         for piece in CUT.split(text):
             out += ["", piece[1:]] if piece[:1] == "\n" and len(piece) > 1 and not piece[1:2].isspace() else [piece]
         return out
 
-    def learn(self, pieces: set[str]) -> None:
-        if len(self.cache) > CACHE_LIMIT:
-            self.cache.clear()
-        self.cache[""] = np.array(self.line, "<u4").tobytes()
-        new = [p for p in pieces if p not in self.cache]
-        lines = [p for p in new if len(self.line) == 1 and "\n" not in p and not p[-1:].isspace() and not p[:2].isspace()]
-        for p in set(new).difference(lines):
-            self.cache[p] = np.array(self.tokenizer.encode(p, add_special_tokens=False).ids, "<u4").tobytes()
-        for at in range(0, len(lines), 20_000):
-            # many pieces in one call: a line feed before each new one is an id of its own
-            part = lines[at : at + 20_000]
-            ids = np.array(self.tokenizer.encode("\n".join(part) + "\n", add_special_tokens=False).ids, "<u4")
-            ends = np.flatnonzero(ids == self.line[0])
-            starts = np.concatenate(([0], ends[:-1] + 1))
-            raw = ids.tobytes()
-            self.cache.update((p, raw[s:e]) for p, s, e in zip(part, (starts * 4).tolist(), (ends * 4).tolist(), strict=True))
-
-    def encode(self, texts: list[str]) -> list[bytes]:
-        cut = [self.pieces(t) if t else [] for t in texts]
-        self.learn(set().union(*cut))
-        look = self.cache.__getitem__
-        return [b"".join(map(look, c)) for c in cut]
-
+    def learn(self, pieces: list[str]) -> list[bytes]:
+        """Ids of pieces never met.  A mark after a letter or digit is a token of its own, so it is split off first."""
+        out = []
+        stems = [p[:-1] if len(p) > 1 and p[-1] in MARKS and p[-2].isalnum() else p for p in pieces]
+        known = self.stems.filled(dict.fromkeys(stems), self.fresh)
+        for p, stem in zip(pieces, stems):
+            out.append(known[stem] if p is stem else known[stem] + self.marks[p[-1]])
+        return out
 
-def slices(batch: pa.RecordBatch, column: int, size: int = 4_000_000) -> Iterator[pa.RecordBatch]:
+    def fresh(self, pieces: list[str]) -> list[bytes]:
+        # many pieces in one call: a line feed before each new one is an id of its own
+        joined = [len(self.line) == 1 and bool(p) and "\n" not in p and not p[-1].isspace() and not p[:2].isspace() for p in pieces]
+        lines = [p for p, j in zip(pieces, joined) if j]
+        found: list[bytes] = []
+        for at in range(0, len(lines), 5_000):
+            ids = np.array(self.ids_of("\n".join(lines[at : at + 5_000]) + "\n"), "<u4")
+            ends = np.flatnonzero(ids == self.line[0])
+            raw, starts = ids.tobytes(), np.concatenate(([0], ends[:-1] + 1))
+            found += [raw[s:e] for s, e in zip((starts * 4).tolist(), (ends * 4).tolist())]
+        rest = iter(found)
+        return [next(rest) if j else self.bytes_of(p) if p else self.bytes_of("\n") for p, j in zip(pieces, joined)]
+
+    def ids_of(self, text: str) -> list[int]:
+        return self.tokenizer.encode_batch_fast([text], add_special_tokens=False)[0].ids
+
+    def bytes_of(self, text: str) -> bytes:
+        return np.array(self.ids_of(text), "<u4").tobytes()
+
+    def encode(self, texts: pa.Array) -> tuple[np.ndarray, np.ndarray]:
+        """The ids of all texts, one after the other, and how many each has.
+
+        Cutting and finding the distinct pieces run over the whole array at once; Python sees each distinct piece once.
+        """
+        odd = pc.match_substring_regex(texts, ODD).to_numpy(zero_copy_only=False)
+        if odd.any():
+            return self.encode_odd(texts, odd)
+        cut = pc.split_pattern(pc.replace_substring(pc.replace_substring(texts, "\n", "\n\n"), " ", "\n "), "\n")
+        words = cut.values.dictionary_encode()
+        pieces = words.dictionary.to_pylist()
+        look = self.cache.filled(pieces, self.learn)
+        known = [look[p] for p in pieces]
+        sizes = np.fromiter(map(len, known), np.int32, len(known)) // 4
+        ids = np.frombuffer(b"".join(known), "<i4")
+        index = words.indices.to_numpy(zero_copy_only=False)
+        each = sizes[index]
+        ends = np.cumsum(each, dtype=np.int64)
+        # a slice has far fewer than 2^31 ids, so positions fit 32 bits
+        place = np.repeat(((np.cumsum(sizes) - sizes)[index] - (ends - each)).astype(np.int32), each)
+        place += np.arange(len(place), dtype=np.int32)
+        flat = ids[place]
+        offsets = cut.offsets.to_numpy()
+        run = np.concatenate(([0], ends))
+        counts = run[offsets[1:]] - run[offsets[:-1]]
+        # an empty text is cut into one empty piece, which stands for a line feed elsewhere
+        empty = pc.equal(pc.binary_length(texts), 0).to_numpy(zero_copy_only=False)
+        return (flat, counts) if not empty.any() else (flat[~np.repeat(empty, counts)], np.where(empty, 0, counts))
+
+    def encode_odd(self, texts: pa.Array, odd: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+        """As above where some texts hold other or adjacent white space: those are cut one by one."""
+        plain = self.encode(texts.filter(pa.array(~odd))) if not odd.all() else (np.zeros(0, np.int32), np.zeros(0, np.int64))
+        cut = [[""] if t == "\n" else self.pieces(t) for t in texts.filter(pa.array(odd)).to_pylist()]
+        look = self.cache.filled(set(chain.from_iterable(cut)), self.learn).__getitem__
+        found = iter([np.frombuffer(b"".join(map(look, c)), "<i4") for c in cut])
+        rest = iter(np.split(plain[0], np.cumsum(plain[1])[:-1]) if len(plain[1]) else [])
+        parts = [next(found) if o else next(rest) for o in odd]
+        return np.concatenate(parts), np.array([len(x) for x in parts], np.int64)
+
+
+def slices(batch: pa.RecordBatch, column: int, size: int = 2_000_000) -> Iterator[pa.RecordBatch]:
     """The batch in slices of about ``size`` bytes of text, whatever the length of its rows."""
     lengths = pc.binary_length(batch.column(column)).fill_null(0).to_numpy(zero_copy_only=False)
     part = np.cumsum(lengths) // size
@@ -86,12 +129,15 @@ def _encode(path: str, end_id: int):
         if path not in _encoders:
             _encoders[path] = Encoder(path)
         encoder = _encoders[path]
-        tail = np.array([end_id], "<u4").tobytes()
         for batch in batches:
-            for part in slices(batch, 1):
-                found = encoder.encode(part.column(1).to_pylist())
-                sizes = np.array([len(b) // 4 + 1 for b in found], np.int64)
-                values = np.frombuffer(b"".join(x for b in found for x in (b, tail)), "<i4")
+            for part in slices(batch, 1, 4_000_000):
+                flat, counts = encoder.encode(part.column(1))
+                sizes = counts + 1
+                values = np.empty(len(flat) + len(sizes), np.int32)
+                last = np.cumsum(sizes) - 1
+                own = np.ones(len(values), bool)
+                own[last] = False
+                values[own], values[last] = flat, end_id
                 offsets = np.concatenate(([0], np.cumsum(sizes))).astype(np.int32)
                 ids = pa.ListArray.from_arrays(pa.array(offsets), pa.array(values))
                 yield pa.RecordBatch.from_arrays([part.column(0), pa.array(sizes), ids], ["id", "n_tokens", "ids"])
