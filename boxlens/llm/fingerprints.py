@@ -34,18 +34,37 @@ def _sum(items: Column, term, keep: int) -> Column:
     return F.aggregate(items, F.lit(0).cast("bigint"), lambda a, x: (a + term(x)).bitwiseAND(F.lit(keep)))
 
 
+def _let(value: Column, body) -> Column:
+    """``body(value)`` with ``value`` evaluated once, however often the body uses it."""
+    return F.get(F.transform(F.array(value), lambda v: body(v)), F.lit(0))
+
+
 def fingerprint(text: Column) -> Column:
     """The fingerprint of a text, null counting as empty.  An empty text is one empty paragraph."""
     text = whole_text(text)
-    paragraphs, sentences = F.split(text, "\n", -1), F.split(text, SENTENCE, -1)
-    lanes = [F.size(sentences).cast("bigint").bitwiseAND(F.lit((1 << FIELD) - 1))]
-    for seed in range(4):
-        hashes = F.transform(paragraphs, lambda p, seed=seed: F.xxhash64(p, F.lit(seed)))
-        lanes += [_sum(hashes, lambda h: h.bitwiseAND(F.lit(LOW32)), LOW32), _sum(hashes, lambda h: F.shiftrightunsigned(h, 32), LOW32)]
-    for seed in (4, 5):
-        hashes = F.transform(sentences, lambda s, seed=seed: F.xxhash64(s, F.lit(seed)))
-        lanes += [_sum(hashes, lambda h, i=i: F.shiftrightunsigned(h, i).bitwiseAND(F.lit(FEET)), KEEP) for i in range(SHIFTS)]
-    return F.array(*lanes)
+
+    def halves(h: Column) -> Column:
+        return F.array(_sum(h, lambda x: x.bitwiseAND(F.lit(LOW32)), LOW32), _sum(h, lambda x: F.shiftrightunsigned(x, 32), LOW32))
+
+    def fields(h: Column) -> Column:
+        return F.array(*[_sum(h, lambda x, i=i: F.shiftrightunsigned(x, i).bitwiseAND(F.lit(FEET)), KEEP) for i in range(SHIFTS)])
+
+    def of_sentences(s: Column) -> Column:
+        return F.concat(F.array(F.size(s).cast("bigint").bitwiseAND(F.lit((1 << FIELD) - 1))), *[_let(_hashes(s, seed), fields) for seed in (4, 5)])
+
+    def of_paragraphs(p: Column) -> Column:
+        return F.concat(*[_let(_hashes(p, seed), halves) for seed in range(4)])
+
+    def joined(parts: Column) -> Column:
+        signs, sums = parts["signs"], parts["sums"]
+        return F.concat(F.slice(signs, 1, 1), sums, F.slice(signs, 2, 2 * SHIFTS))
+
+    signs, sums = _let(F.split(text, SENTENCE, -1), of_sentences), _let(F.split(text, "\n", -1), of_paragraphs)
+    return _let(F.struct(signs.alias("signs"), sums.alias("sums")), joined)
+
+
+def _hashes(items: Column, seed: int) -> Column:
+    return F.transform(items, lambda x: F.xxhash64(x, F.lit(seed)))
 
 
 def _lane_modulus(i: Column) -> Column:
@@ -77,10 +96,12 @@ def likeness(a: Column, b: Column) -> Column:
         return F.transform(each, lambda v: centred(2 * v - n).cast("double"))
 
     dot = lambda x, y: F.aggregate(F.zip_with(x, y, lambda p, q: p * q), F.lit(0.0), lambda s, v: s + v)
-    x, y = signs(a), signs(b)
-    norm = F.sqrt(dot(x, x) * dot(y, y))
-    cosine = F.when(norm > 0, F.least(F.greatest(dot(x, y) / norm, F.lit(0.0)), F.lit(0.999999))).otherwise(F.lit(0.0))
-    return F.when(a == b, F.lit(1.0)).otherwise(cosine)
+    def cosine(pair: Column) -> Column:
+        x, y = pair["x"], pair["y"]
+        norm = F.sqrt(dot(x, x) * dot(y, y))
+        return F.when(norm > 0, F.least(F.greatest(dot(x, y) / norm, F.lit(0.0)), F.lit(0.999999))).otherwise(F.lit(0.0))
+
+    return F.when(a == b, F.lit(1.0)).otherwise(_let(F.struct(signs(a).alias("x"), signs(b).alias("y")), cosine))
 
 
 def written(lanes: Column) -> Column:
