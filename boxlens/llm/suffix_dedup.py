@@ -23,8 +23,9 @@ from .token_files import slices
 GRAM = 24
 #: windows in one string at most
 RUN = 512
-#: strings that share a gram beyond which they are compared window by window over the cluster
-HOT = 256
+#: windows under one gram, all their different strings together, up to which they are put into suffix order in one task (each takes its
+#: length in memory, several times over); beyond, they are compared window by window over the cluster
+HOT = 300_000
 BATCH_BYTES = 1_000_000
 #: bytes of strings put into suffix order at once; each of their windows takes its length in memory, several times over
 MATCH_BYTES = 150_000
@@ -262,7 +263,7 @@ def suffix_dedup(df: DataFrame, id_col: str = "doc_id", text_col: str = "text",
     strings = staged(
         met.groupBy("gram", "string", "windows").agg(F.count(F.lit(1)).alias("times"), F.min(place).alias("first"), F.max("again").alias("again")), "suffix-distinct"
     )
-    crowds = strings.groupBy("gram").agg(F.count(F.lit(1)).alias("crowd"), F.max("again").alias("any_again")).filter("crowd > 1 OR any_again")
+    crowds = strings.groupBy("gram").agg(F.count(F.lit(1)).alias("n"), F.sum("windows").alias("crowd"), F.max("again").alias("any_again")).filter("n > 1 OR any_again")
     # a string met once, or one whose first copy may stay, has to be looked into; the rest of its gram is what it is held against
     open_strings = strings.join(crowds.select("gram", "crowd"), "gram").select("gram", "string", "windows", F.col("first.id").alias("id"), F.col("first.row_key").alias("row_key"), F.col("first.start").alias("start"), "crowd")
     ranges = staged(repeated_runs(open_strings, docs.select("row_key", "text"), length, first_stays), "suffix-ranges")
