@@ -185,6 +185,27 @@ def test_quality_keeps_clean_text(spark):
     assert stay.columns == table(spark, rows).columns and {r.doc_id for r in stay.collect()} == kept
 
 
+@pytest.mark.parametrize("half", [0, 1])
+def test_quality_keeps_good_text_not_labelled(spark, half):
+    docs, labels = (spark.read.parquet(f"/root/testdata/sf0.001/{name}.parquet") for name in ("documents", "labels"))
+    hidden = {x.doc_id: x.quality for x in labels.filter(F.expr(f"pmod(xxhash64(doc_id), 2) = {half}")).collect()}
+    rows = {x.id: x for x in quality.resample(docs, labels.filter(F.expr(f"pmod(xxhash64(doc_id), 2) <> {half}"))).collect()}
+    good = [rows[i] for i in hidden if i in rows and hidden[i] == 1]
+    assert len(good) >= 25 and max(x.n_features for x in good) > 4000 and all(x.kept for x in good)
+    bad = [rows[i] for i in hidden if i in rows and hidden[i] == 0]
+    assert len(bad) >= 3 and sum(x.kept for x in bad) <= len(bad) / 2
+
+
+def test_quality_scores_labels_unseen():
+    table = np.array([[4.0, 2.0, 0.0, 7.0], [5.0, 9.0, 3.0, 9.0]])
+    found = np.array([0, 0, 3])
+    rest = table - np.array([[2.0, 0, 0, 1.0], [0, 0, 0, 0]]) * 2
+    assert quality.unseen_sum(found, 2, table, quality.log_ratios(table)) == pytest.approx(quality.log_ratios(rest)[found].sum())
+    sizes = np.array([10, 1000, 10, 1000])
+    rate, cut = quality.best_line(np.array([-1.0, -100, -5, -500]), sizes, np.array([True, True, False, False]))
+    assert -0.5 < rate < -0.1 and cut <= 0
+
+
 def test_quality_by_force_and_empty(spark):
     rows = [(i, prose(30, i), "s") for i in range(40)]
     labels = spark.createDataFrame([(i, int(i % 4 > 0)) for i in range(20)], "doc_id bigint, quality int")
