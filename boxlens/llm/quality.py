@@ -110,18 +110,21 @@ def labelled_rows(labels: DataFrame, limit: int = LABELLED) -> DataFrame:
 
 
 def best_cut(scores: np.ndarray, good: np.ndarray, miss_cost: float = 20.0) -> float:
-    """The score between two labelled ones that costs least, a good row below it costing ``miss_cost`` bad ones above."""
-    if not len(scores) or good.all():
+    """The score between two labelled ones that costs least, a good row below it costing ``miss_cost`` bad ones above.
+
+    Nothing is cut without rows of both kinds, and never every good row.
+    """
+    if good.all() or not good.any():
         return -np.inf
     order = np.argsort(scores, kind="stable")
     s, g = scores[order], good[order]
     lost = np.concatenate(([0], np.cumsum(g))) * miss_cost
     passed = (~g).sum() - np.concatenate(([0], np.cumsum(~g)))
     cost = lost + passed
-    # only between different scores
-    free = np.concatenate(([True], s[1:] > s[:-1], [True]))
+    # only between different scores, with a good row above
+    free = np.concatenate(([True], s[1:] > s[:-1], [True])) & (lost < lost[-1])
     at = int(np.flatnonzero(free & (cost == cost[free].min()))[0])
-    return -np.inf if at == 0 else np.inf if at == len(s) else float((s[at - 1] + s[at]) / 2)
+    return -np.inf if at == 0 else float((s[at - 1] + s[at]) / 2)
 
 
 def best_line(scores: np.ndarray, sizes: np.ndarray, good: np.ndarray, miss_cost: float = 20.0) -> tuple[float, float]:
@@ -132,7 +135,7 @@ def best_line(scores: np.ndarray, sizes: np.ndarray, good: np.ndarray, miss_cost
     are tried between those of the labelled rows; of equally good ones the middle one is taken.
     """
     full = sizes > 0
-    if good.all() or not full.any():
+    if good.all() or not good.any() or not full.any():
         return 0.0, -np.inf
     seen = np.unique(np.quantile(scores[full] / sizes[full], np.linspace(0, 1, 257)))
     rates = np.sort(np.concatenate((seen, (seen[1:] + seen[:-1]) / 2)))

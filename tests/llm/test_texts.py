@@ -206,6 +206,18 @@ def test_quality_scores_labels_unseen():
     assert -0.5 < rate < -0.1 and cut <= 0
 
 
+def test_quality_cut_leaves_good_rows(spark):
+    s, one = np.arange(101.0), np.arange(101) == 0
+    assert quality.best_cut(s, np.zeros(101, bool)) == -np.inf and quality.best_cut(s, one) == -np.inf
+    assert quality.best_cut(s, one[::-1]) == 99.5
+    assert quality.best_cut(s, np.isin(s, [0, 50])) < 50
+    rows = [(i, prose(30, i), "s") for i in range(40)]
+    for few in (0, 1):
+        labels = spark.createDataFrame([(i, int(i < few)) for i in range(30)], "doc_id bigint, quality int")
+        kept = {x.id for x in quality.resample(documents(spark, rows), labels).filter("kept").collect()}
+        assert len(kept) == 40 if few == 0 else 0 in kept
+
+
 def test_quality_by_force_and_empty(spark):
     rows = [(i, prose(30, i), "s") for i in range(40)]
     labels = spark.createDataFrame([(i, int(i % 4 > 0)) for i in range(20)], "doc_id bigint, quality int")
