@@ -129,12 +129,27 @@ def find(df: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> DataF
     return rows.mapInArrow(_find, f"id {kind}, row_no bigint, found {OCCURRENCE}")
 
 
+def fits(instance: Column, kind: Column) -> Column:
+    """Whether an instance could be of a kind by its looks: written another way than the base patterns ask, or mistyped."""
+    n_digits = F.length(F.regexp_replace(instance, "[^0-9]", ""))
+    looks = (
+        instance.rlike("@|[^a-z0-9]at[^a-z0-9]"),
+        instance.rlike(r"^[0-9a-fx*]*([.:][0-9a-fx*]*){3,}(/[0-9]+)?$"),
+        instance.rlike(r"^[0-9 .-]+$") & n_digits.between(12, 19),
+        instance.rlike(r"^[0-9 ()+./-]+$") & n_digits.between(7, 15),
+    )
+    return F.coalesce(*(F.when(kind == k, look) for k, look in enumerate(looks)), F.lit(False))
+
+
 def bootstrap(found: DataFrame, rounds: int = 3, min_support: int = 5, min_confidence: float = 0.8) -> DataFrame:
     """``pattern, kind, confidence`` of the patterns that a bootstrap trusts.
 
     Edges join distinct instances with the patterns they occur in.  Base instances belong to their kind for good;
-    others start at zero.  Each round scores a pattern for a kind by the mean score of its distinct instances, shrunk
-    by one unknown, and trusts it from ``min_confidence`` on if ``min_support`` distinct base instances of the kind lie in it; then an
+    others start at zero.  Each round scores a pattern for a kind by what speaks for it, the sum of the scores of its
+    distinct instances, against what speaks against it, shrunk by one unknown: base instances of other kinds, and
+    instances not of the base that do not look like the kind or also lie in a contradicting pattern (``min_support``
+    instances or more, none of them of the kind).  Other instances not met by the base patterns are no evidence, however many.
+    A pattern is trusted from ``min_confidence`` on if ``min_support`` distinct base instances of the kind lie in it; then an
     instance takes the probability that not all of its trusted patterns are wrong, and counts in the next round.
 
     A pattern around a very common word is one key with many edges: edges are made distinct and summed by partial
@@ -142,19 +157,32 @@ def bootstrap(found: DataFrame, rounds: int = 3, min_support: int = 5, min_confi
     """
     each = found.select(F.explode("found").alias("o")).select("o.kind", "o.instance", F.explode("o.patterns").alias("pattern"))
     edges = staged(each.groupBy("pattern", "instance").agg(F.max("kind").alias("kind")), "pii-edges")
-    support = edges.filter("kind >= 0").groupBy("pattern", "kind").agg(F.count(F.lit(1)).alias("support")).filter(F.col("support") >= min_support)
-    support = staged(support, "pii-support")
-    sizes = staged(edges.join(support.select("pattern").distinct(), "pattern", "left_semi").groupBy("pattern").agg(F.count(F.lit(1)).alias("size")), "pii-sizes")
-    open_edges = staged(edges.filter("kind < 0").join(sizes.select("pattern"), "pattern", "left_semi").select("pattern", "instance"), "pii-open")
+    based = staged(edges.filter("kind >= 0").groupBy("pattern", "kind").agg(F.count(F.lit(1)).alias("support")), "pii-based")
+    support = staged(based.filter(F.col("support") >= min_support), "pii-support")
+    others = based.groupBy("pattern").agg(F.sum("support").alias("known"))
+    # instances not of the base in each supported pattern, once for each kind it is supported for
+    open_edges = staged(edges.filter("kind < 0").drop("kind").join(support.select("pattern", "kind"), "pattern").withColumn("alike", fits(F.col("instance"), F.col("kind"))), "pii-open")
+    # of those that look like the kind, the ones in large patterns that hold none of the kind
+    asked = open_edges.filter("alike").select("instance", F.col("kind").alias("asked")).distinct()
+    large = edges.groupBy("pattern").agg(F.count(F.lit(1)).alias("size")).filter(F.col("size") >= min_support).select("pattern")
+    around = edges.filter("kind < 0").drop("kind").join(large, "pattern").join(asked, "instance")
+    denied = around.join(based.select("pattern", F.col("kind").alias("asked")), ["pattern", "asked"], "left_anti").select("instance", F.col("asked").alias("kind")).distinct()
+    open_edges = open_edges.join(denied.withColumn("denied", F.lit(True)), ["instance", "kind"], "left")
+    open_edges = staged(open_edges.select("pattern", "instance", "kind", (~F.col("alike") | F.coalesce("denied", F.lit(False))).alias("wrong")), "pii-judged")
+    wrong = open_edges.filter("wrong").groupBy("pattern", "kind").agg(F.count(F.lit(1)).alias("wrong"))
+    sizes = support.join(others, "pattern").join(wrong, ["pattern", "kind"], "left")
+    sizes = staged(sizes.select("pattern", "kind", "support", (F.col("known") - F.col("support") + F.coalesce("wrong", F.lit(0))).alias("against")), "pii-sizes")
 
     def trusted(extra: DataFrame | None) -> DataFrame:
-        score = support if extra is None else support.join(extra, ["pattern", "kind"], "left").withColumn("support", F.col("support") + F.coalesce("extra", F.lit(0.0)))
-        return score.join(sizes, "pattern").withColumn("confidence", F.col("support") / (F.col("size") + 1)).filter(F.col("confidence") >= min_confidence).select("pattern", "kind", "confidence")
+        score = sizes.withColumn("extra", F.lit(0.0)) if extra is None else sizes.join(extra, ["pattern", "kind"], "left")
+        # what an instance counts for a pattern it no longer counts against it
+        held, back = F.col("support") + F.coalesce("extra", F.lit(0.0)), F.coalesce("back", F.lit(0.0)) if extra is not None else F.lit(0.0)
+        return score.withColumn("confidence", held / (held + F.col("against") - back + 1)).filter(F.col("confidence") >= min_confidence).select("pattern", "kind", "confidence")
 
     patterns = staged(trusted(None), "pii-patterns")
     for _ in range(rounds - 1):
-        instances = open_edges.join(patterns, "pattern").groupBy("instance", "kind").agg((1 - F.exp(F.sum(F.log(1 - F.col("confidence"))))).alias("score"))
-        extra = open_edges.join(instances, "instance").groupBy("pattern", "kind").agg(F.sum("score").alias("extra"))
+        instances = open_edges.join(patterns, ["pattern", "kind"]).groupBy("instance", "kind").agg((1 - F.exp(F.sum(F.log(1 - F.col("confidence"))))).alias("score"))
+        extra = open_edges.join(instances, ["instance", "kind"]).groupBy("pattern", "kind").agg(F.sum("score").alias("extra"), F.sum(F.when(F.col("wrong"), F.col("score"))).alias("back"))
         patterns = staged(trusted(extra), "pii-patterns")
     return patterns
 

@@ -160,6 +160,26 @@ def test_bootstrap_learns_from_context(spark):
     assert r and all(got[i].count(",") == 0 and got[i].startswith("email:") for i in range(40))
 
 
+@pytest.mark.parametrize("base,unseen", [(60, 40), (5, 1), (20, 20), (10, 5)])
+def test_bootstrap_finds_many_unseen(spark, base, unseen):
+    number = lambda i: f"{210 + i}555{1000 + 37 * i}"
+    rows = [(i, f"{prose(9, i)} my phone: {'+1' if i < base else ''}{number(i)} today {prose(9, 900 + i)}", "s") for i in range(base + unseen)]
+    # as many words between which numbers of all sorts lie, only some of them found by the base patterns
+    rows += [(1000 + i, f"{prose(9, i)} about the +1{number(300 + i)} rest", "s") for i in range(base)]
+    rows += [(2000 + i, f"{prose(9, i)} about the {1900 + i} rest", "s") for i in range(base)]
+    got = {x.id: x.s for x in pii.scan(documents(spark, rows)).select("id", pii.written(F.col("spans")).alias("s")).collect()}
+    assert all(got[i].startswith("phone:") and "," not in got[i] for i in range(base + unseen))
+    assert not any(got[2000 + i] for i in range(base))
+
+
+def test_bootstrap_heeds_contradicting_patterns(spark):
+    number = lambda i: f"{210 + i}555{1000 + 37 * i}"
+    rows = [(i, f"we saw +1{number(i)} there", "s") for i in range(8)]
+    rows += [(100 + i, f"we saw {number(50 + i)} there", "s") for i in range(8)] + [(200 + i, f"the order {number(50 + i)} came", "s") for i in range(8)]
+    got = {x.id: x.s for x in pii.scan(documents(spark, rows)).select("id", pii.written(F.col("spans")).alias("s")).collect()}
+    assert all(got[i].startswith("phone:") for i in range(8)) and not any(got[100 + i] or got[200 + i] for i in range(8))
+
+
 def test_pii_awkward_rows(spark):
     assert pii.scan(table(spark)).count() == len(TEXTS) and pii.scan(table(spark).limit(0)).count() == 0
 
