@@ -20,7 +20,10 @@ CARD = re.compile(r"[0-9](?:[\x20-]?[0-9])+")
 PHONE = re.compile(r"\+[0-9][\x20().0-9-]+[0-9]")
 SIGN = re.compile(r"[0-9@]")
 RUN = re.compile(r"[0-9@]+")
+#: groups of digits, some in brackets, joined by single blanks, dots and hyphens
+GROUPS = re.compile(r"\+?(?:\([0-9]+\)|[0-9]+)(?:[\x20.-]?\([0-9]+\)|[\x20.-][0-9]+|(?<=\))[0-9]+)+")
 BLANK = " \t\n\v\f\r"
+OPENS = "=:\"'<>()[]{}|"
 TRIM = ".,;:!?\"'()[]{}<>|*#$%&"
 
 
@@ -86,16 +89,43 @@ def contexts(text: str, start: int, end: int) -> list[str]:
     return found + ([f"=|{label}"] if len(label) > 2 else [])
 
 
+def group_spans(text: str) -> list[tuple[int, int]]:
+    """(start, end) of digit groups that make one number together: 19 digits at most, apart from other words.
+
+    Where each part between blanks has seven digits or more, the parts are numbers of their own.
+    """
+    out = []
+    for m in GROUPS.finditer(text):
+        start, end = m.span()
+        parts = [sum(c.isdigit() for c in p) for p in m.group().split(" ")]
+        if (len(parts) == 1 and "(" not in m.group()) or sum(parts) > 19 or (len(parts) > 1 and min(parts) >= 7):
+            continue
+        rest = end
+        while rest < len(text) and text[rest] in TRIM:
+            rest += 1
+        if (start == 0 or text[start - 1] in BLANK or text[start - 1] in OPENS) and (rest == len(text) or text[rest] in BLANK):
+            out.append((start, end))
+    return out
+
+
 def occurrences(text: str, base: list[tuple[int, int, int]]) -> Iterator[tuple[int, int, int, str, list[str]]]:
-    """(start, end, kind or -1, instance, patterns) of the base spans and of every other word with a digit or an at sign."""
+    """(start, end, kind or -1, instance, patterns) of the base spans, and of every other number in groups or word with a digit or an at sign."""
     for start, end, kind in base:
         yield start, end, kind, text[start:end].lower(), contexts(text, start, end)
-    done = 0
+    groups = [g for g in group_spans(text) if not any(s < g[1] and g[0] < e for s, e, _ in base)]
+    done = at = 0
     for m in RUN.finditer(text):
         if m.start() < done:
             continue
+        while at < len(groups) and groups[at][1] <= m.start():
+            at += 1
+        if at < len(groups) and done <= groups[at][0] <= m.start():
+            start, done = groups[at]
+            if done - start >= 4:
+                yield start, done, -1, text[start:done].lower(), contexts(text, start, done)
+            continue
         start, end = m.start(), m.end()
-        while start > done and text[start - 1] not in BLANK and text[start - 1] not in "=:\"'<>()[]{}|":
+        while start > done and text[start - 1] not in BLANK and text[start - 1] not in OPENS:
             start -= 1
         while end < len(text) and text[end] not in BLANK:
             end += 1

@@ -172,6 +172,23 @@ def test_bootstrap_finds_many_unseen(spark, base, unseen):
     assert not any(got[2000 + i] for i in range(base))
 
 
+@pytest.mark.parametrize("text,found", [
+    ("phone 212 555 0187 now", ["212 555 0187"]), ("at (212) 555-0187, or (212)555.0187.", ["(212) 555-0187", "(212)555.0187"]),
+    ("tel:212 (555) 0187", ["212 (555) 0187"]), ("(212 555 0187)", ["212 555 0187"]), ("4711-x 2020 z9 12", ["4711-x", "2020"]),
+    ("2125550187 4155550100", ["2125550187", "4155550100"]), ("4111 1111 1111 1112!", ["4111 1111 1111 1112"]),
+    ("x212 555 0187y 12345", ["x212", "0187y", "12345"]), ("1 " * 30 + "2020", ["2020"]),
+])
+def test_candidates_in_groups(text, found):
+    assert [o[3] for o in pii.occurrences(text, pii.base_spans(text))] == found
+
+
+def test_bootstrap_finds_grouped_numbers(spark):
+    rows = [(i, f"{prose(9, i)} my phone +1 {210 + i} 555 {1000 + i} today", "s") for i in range(20)]
+    rows += [(100 + i, f"my phone {310 + i} 555 {2000 + i} today", "s") for i in range(9)] + [(200 + i, f"my phone ({410 + i}) 555-{3000 + i} today", "s") for i in range(9)]
+    got = {x.id: x.s for x in pii.scan(documents(spark, rows)).select("id", pii.written(F.col("spans")).alias("s")).collect()}
+    assert all(got[100 + i] == "phone:9:21" and got[200 + i] == "phone:9:23" for i in range(9))
+
+
 def test_bootstrap_heeds_contradicting_patterns(spark):
     number = lambda i: f"{210 + i}555{1000 + 37 * i}"
     rows = [(i, f"we saw +1{number(i)} there", "s") for i in range(8)]
