@@ -20,7 +20,7 @@ from .boxes_queries import AREA_D, CONTROL, INSIDE_T, INTER, SCORES, frame_of, s
 from .registry import query
 from .stand_ins import DETECTORS, Inputs, with_views
 
-N_BOOT = 100
+N_BOOT = 1000
 CONFIGS = [(d, k, c) for d in DETECTORS for k in ("crack", "pothole") for c in ("iou50", "iou30", "in50")]
 INSIDE_CONFIGS = [c for c in CONFIGS if c[2] == "in50"]
 

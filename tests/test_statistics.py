@@ -179,3 +179,17 @@ def test_one_group_of_many_values_spreads_over_many_tasks(spark):
     assert cum.count() == 150_000 and cum.agg(F.max("cum_n"), F.min("all_n")).first() == (200_000, 200_000)
     plan = R.exact_percentiles(df, ["g"], "v", [0.5])._jdf.queryExecution().executedPlan().toString()
     assert "SortMergeJoin [g" not in plan and sizes
+
+
+def test_bootstrap_queries_draw_as_often_as_the_reference():
+    from boxlens.plans import stats_queries
+
+    assert stats_queries.N_BOOT >= 1000
+    for name in ("E1_bootstrap_ci", "E1_bootstrap_poisson", "E2_bootstrap_compare", "E3_compare_runs", "E4_paired_recall_delta", "E5_bootstrap_two_sample", "E21_verdict", "E22_pick_config"):
+        assert "range(1, 1001)" in entry_sql()[name], name
+
+
+def entry_sql():
+    import __spark_entry__
+
+    return __spark_entry__.oracle_sql()
