@@ -10,7 +10,7 @@ from pyspark.sql import functions as F
 
 from .common import new_path
 from .exact_dedup import exact_dedup
-from . import fingerprints
+from . import fingerprints, vector_queries
 from .mixing import mix
 from .near_dedup import near_dedup
 from .pieces import encode_pieces
@@ -147,3 +147,6 @@ def op3(spark: SparkSession, folder: str) -> DataFrame:
     """What is left of every document without the 200-byte strings that also start anywhere else."""
     found = suffix_dedup(documents(spark, folder), length=200, first_stays=False)
     return found.select(F.col("id").alias("doc_id"), "n_bytes", "n_removed", F.size("spans").cast("bigint").alias("n_spans"), "kept_sha256")
+
+
+query("op11_vector_codes", vector_queries.oracle())(vector_queries.op11)
