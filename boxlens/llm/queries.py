@@ -10,7 +10,7 @@ from pyspark.sql import functions as F
 
 from .common import new_path
 from .exact_dedup import exact_dedup
-from . import fingerprints, vector_queries
+from . import fingerprints, trie_queries, vector_queries
 from .mixing import mix
 from .near_dedup import near_dedup
 from .pieces import encode_pieces
@@ -150,3 +150,4 @@ def op3(spark: SparkSession, folder: str) -> DataFrame:
 
 
 query("op11_vector_codes", vector_queries.oracle())(vector_queries.op11)
+query("op12_conversation_trie", trie_queries.ORACLE)(trie_queries.op12)
