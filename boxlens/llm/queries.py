@@ -11,6 +11,7 @@ from pyspark.sql import functions as F
 from .common import new_path
 from .exact_dedup import exact_dedup
 from . import fingerprints, trie_queries, vector_queries
+from .language_model import score_texts
 from .mixing import mix
 from .near_dedup import near_dedup
 from .pieces import encode_pieces
@@ -151,3 +152,10 @@ def op3(spark: SparkSession, folder: str) -> DataFrame:
 
 query("op11_vector_codes", vector_queries.oracle())(vector_queries.op11)
 query("op12_conversation_trie", trie_queries.ORACLE)(trie_queries.op12)
+
+
+@query("op13_language_model")
+def op13(spark: SparkSession, folder: str) -> DataFrame:
+    """The log probability of every document under a word model of the training documents, and under its base."""
+    scored, model = score_texts(documents(spark, folder))
+    return scored.select(F.col("id").alias("doc_id"), "held_out", "n_tokens", "n_known", F.lit(model["tokens"]).cast("bigint").alias("train_tokens"), "base_score", "score")
