@@ -1,7 +1,7 @@
 """A word model by deleted interpolation: maximum-likelihood estimates mixed by context frequency, weights learned on documents set aside.
 
 Counts cover all training documents and are never held in one place.  Texts are coded in blocks of bounded size; a block asks for the corpus-wide counts of
-its distinct words and word pairs, one row each, gets back those that others share, and then scores its texts on its own.
+its distinct words and word pairs, and then scores its texts on its own.
 """
 
 from __future__ import annotations
@@ -13,7 +13,7 @@ import numpy as np
 import pyarrow as pa
 import pyarrow.compute as pc
 from pyspark import TaskContext
-from pyspark.sql import Column, DataFrame, Window
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from .common import staged, whole_text
@@ -25,8 +25,34 @@ HELD, FIT, TUNE = 0, 1, 2
 ROUNDS = 12
 BUCKETS = 65
 _HASH_PAIR = np.uint64(0x9FB21C651E98DF25)
-BLOCK_SCHEMA = "block bigint, ids array<bigint>, parts array<int>, sizes array<int>, codes binary, words array<string>"
-FACT_SCHEMA = "ids array<bigint>, parts array<int>, sizes array<int>, codes binary, pairs binary, word_counts binary, pair_counts binary, tried array<struct<both:bigint,context:bigint,word:bigint,n:bigint>>"
+BLOCK_SCHEMA = "block bigint, ids array<bigint>, parts array<int>, sizes array<int>, codes binary, words binary"
+ASK_SCHEMA = "bucket bigint, block bigint, words binary, word_counts binary, keys binary, pair_counts binary"
+TOLD_SCHEMA = "block bigint, bucket bigint, words binary, pairs binary"
+TRIED = "both bigint, context bigint, word bigint, n bigint"
+FACT_SCHEMA = f"block bigint, ids array<bigint>, parts array<int>, sizes array<int>, codes binary, words binary, word_counts binary, pair_counts binary, fit bigint, tokens bigint, types bigint, tried array<struct<{TRIED.replace(' bigint', ':bigint')}>>"
+
+
+def packed(values: np.ndarray) -> bytes:
+    """64-bit numbers by byte planes, compressed: small numbers cost little."""
+    wide = np.ascontiguousarray(values).reshape(-1).view(np.uint8).reshape(-1, 8).T
+    return len(wide.T).to_bytes(8, "little") + pa.compress(wide.tobytes(), "zstd", asbytes=True)
+
+
+def unpacked(data: bytes, kind=np.int64) -> np.ndarray:
+    n = int.from_bytes(data[:8], "little")
+    planes = np.frombuffer(pa.decompress(data[8:], 8 * n, "zstd", asbytes=True), np.uint8).reshape(8, n)
+    return np.ascontiguousarray(planes.T).reshape(-1).view(kind)
+
+
+def packed_words(words: list[str]) -> bytes:
+    """Words, which hold no line feeds, one to a line."""
+    raw = "\n".join(words).encode("utf-8", "surrogatepass")
+    return len(raw).to_bytes(8, "little") + pa.compress(raw, "zstd", asbytes=True)
+
+
+def unpacked_words(data: bytes) -> list[str]:
+    raw = pa.decompress(data[8:], int.from_bytes(data[:8], "little"), "zstd", asbytes=True)
+    return raw.decode("utf-8", "surrogatepass").split("\n")
 
 
 def _coded(texts: pa.Array) -> tuple[np.ndarray, np.ndarray, pa.Array]:
@@ -41,8 +67,11 @@ def _coded(texts: pa.Array) -> tuple[np.ndarray, np.ndarray, pa.Array]:
     numbers, n = np.asarray(words.indices), len(texts)
     sizes = np.diff(before)
     codes = np.full(len(numbers) + n, len(words.dictionary), np.int32)
-    codes[np.arange(len(numbers)) + np.repeat(np.arange(n), sizes)] = numbers
-    return codes, (sizes + 1).astype(np.int32), words.dictionary
+    order = np.argsort(-np.bincount(numbers, minlength=len(words.dictionary)), kind="stable")  # frequent words have small numbers
+    rank = np.empty(len(order), np.int32)
+    rank[order] = np.arange(len(order), dtype=np.int32)
+    codes[np.arange(len(numbers)) + np.repeat(np.arange(n), sizes)] = rank[numbers]
+    return codes, (sizes + 1).astype(np.int32), words.dictionary.take(pa.array(order))
 
 
 def _blocks(limit: int):
@@ -57,7 +86,7 @@ def _blocks(limit: int):
             codes, sizes, words = _coded(table.column(2).combine_chunks())
             one = lambda values: pa.ListArray.from_arrays(pa.array([0, len(values)], pa.int32()), values)
             ids, parts = (table.column(i).combine_chunks() for i in range(2))
-            return pa.RecordBatch.from_arrays([pa.array([number], pa.int64()), one(ids), one(parts), one(pa.array(sizes)), pa.array([codes.tobytes()], pa.binary()), one(words)], names)
+            return pa.RecordBatch.from_arrays([pa.array([number], pa.int64()), one(ids), one(parts), one(pa.array(sizes)), pa.array([packed(codes.astype(np.int64))], pa.binary()), pa.array([packed_words([*words.to_pylist(), ""])], pa.binary())], names)
 
         held, size = [], 0
         for batch in batches:
@@ -79,22 +108,29 @@ def _blocks(limit: int):
 
 
 class Block:
-    """The tokens of one block: numbers of words and of the words before them, and the distinct pairs in ascending order of their keys."""
+    """The tokens of one block: numbers of words and of the words before them, and the distinct pairs in ascending order of their keys.
+
+    The last word is the empty one, the end.
+    """
 
     def __init__(self, row: dict):
-        self.ids, self.parts, self.sizes = row["ids"], np.array(row["parts"], np.int64), np.array(row["sizes"], np.int64)
-        self.codes = np.frombuffer(row["codes"], np.int32)
-        self.words = [*row["words"], ""]
+        self.row, self.parts, self.sizes = row, np.array(row["parts"], np.int64), np.array(row["sizes"], np.int64)
+        self.codes, self.words = unpacked(row["codes"]), unpacked_words(row["words"])
         self.part = np.repeat(self.parts, self.sizes)
         self.before = before_each(self.codes, self.sizes, len(self.words))
-        digest = np.frombuffer(b"".join(hashlib.blake2b(w.encode("utf-8", "surrogatepass"), digest_size=8).digest() for w in [*self.words, "\n"]), "<u8")
-        keys = mix(digest[self.before] * _HASH_PAIR + mix(digest[self.codes], 7), 8)
-        self.keys, self.pairs = np.unique(keys, return_inverse=True)
+        self.digest = np.frombuffer(b"".join(hashlib.blake2b(w.encode("utf-8", "surrogatepass"), digest_size=8).digest() for w in [*self.words, "\n"]), "<u8")
+        self.keys, self.pairs = np.unique(mix(self.digest[self.before] * _HASH_PAIR + mix(self.digest[self.codes], 7), 8), return_inverse=True)
 
     def counts(self, of: np.ndarray, size: int) -> np.ndarray:
         """How often each number comes in documents to fit on and in documents set aside."""
         return np.stack([np.bincount(of[self.part == p], minlength=size) for p in (FIT, TUNE)])
 
+    def dealt(self, buckets: int) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
+        """Words and pairs in the order of their buckets, and the buckets."""
+        of_words, of_pairs = (x % np.uint64(buckets) for x in (self.digest[:-1], self.keys))
+        words, pairs = np.argsort(of_words, kind="stable"), np.argsort(of_pairs, kind="stable")
+        return words, of_words[words], pairs, of_pairs[pairs]
+
 
 def before_each(codes: np.ndarray, sizes: np.ndarray, start: int) -> np.ndarray:
     """The token before each one; the first of a text has the number ``start`` before it."""
@@ -103,48 +139,80 @@ def before_each(codes: np.ndarray, sizes: np.ndarray, start: int) -> np.ndarray:
     return before
 
 
-def _words(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    for batch in batches:
-        for row in batch.to_pylist():
-            b = Block(row)
-            n = b.counts(b.codes, len(b.words))
-            yield pa.RecordBatch.from_arrays([pa.array(b.words, pa.string()), pa.array(np.full(len(b.words), row["block"])), pa.array(np.arange(len(b.words))), pa.array(n[0]), pa.array(n[1])], ["word", "block", "at", "fit", "tune"])
+def _asks(buckets: int):
+    """What each block counts itself, a row for each bucket that one of its words or pairs falls into."""
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            for row in batch.to_pylist():
+                b = Block(row)
+                words, of_words, pairs, of_pairs = b.dealt(buckets)
+                word_counts, pair_counts = b.counts(b.codes, len(b.words))[:, words], b.counts(b.pairs, len(b.keys))[:, pairs]
+                used = np.union1d(of_words, of_pairs)
+                bounds = [np.append(np.searchsorted(x, used), len(x)) for x in (of_words, of_pairs)]
+                rows = []
+                for i, bucket in enumerate(used.tolist()):
+                    (s, e), (t, f) = ((x[i], x[i + 1]) for x in bounds)
+                    keys = b.keys[pairs[t:f]]
+                    rows.append((bucket, row["block"], packed_words([b.words[k] for k in words[s:e]]) if e > s else None, packed(word_counts[:, s:e]), packed(np.diff(keys, prepend=np.uint64(0))), packed(pair_counts[:, t:f])))
+                    if len(rows) == 256 or i + 1 == len(used):
+                        yield pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(zip(*rows), [pa.int64()] * 2 + [pa.binary()] * 4)], ["bucket", "block", "words", "word_counts", "keys", "pair_counts"])
+                        rows = []
 
+    return run
 
-def _pairs(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    for batch in batches:
-        for row in batch.to_pylist():
-            b = Block(row)
-            n = b.counts(b.pairs, len(b.keys))
-            for s in range(0, len(b.keys), 100_000):
-                e = min(len(b.keys), s + 100_000)
-                yield pa.RecordBatch.from_arrays([pa.array(b.keys[s:e].view(np.int64)), pa.array(np.full(e - s, row["block"])), pa.array(n[0, s:e]), pa.array(n[1, s:e])], ["key", "block", "fit", "tune"])
 
+def _told(asked: pa.Table) -> pa.Table:
+    """Of one bucket: the counts of its words and pairs over all blocks, back to each block in the order it asked.
 
-def _facts(asked: pa.Table, told: pa.Table) -> pa.Table:
+    Words also say whether this block is the one that counts them as a type.
+    """
+    rows = asked.to_pylist()
+
+    def totals(numbers: np.ndarray, counts: np.ndarray) -> np.ndarray:
+        return np.stack([np.bincount(numbers, weights=c).astype(np.int64)[numbers] if len(numbers) else c for c in counts])
+
+    words = [unpacked_words(r["words"]) if r["words"] is not None else [] for r in rows]
+    keys = [np.cumsum(unpacked(r["keys"], np.uint64), dtype=np.uint64) for r in rows]
+    named = pa.array([w for ws in words for w in ws], pa.string()).dictionary_encode()
+    numbers = np.asarray(named.indices)
+    own = lambda c, sizes: np.concatenate([unpacked(r[c]).reshape(2, n) for r, n in zip(rows, sizes)], axis=1)
+    word_totals = totals(numbers, own("word_counts", [len(w) for w in words]))
+    first = np.zeros((1, len(numbers)), np.int64)
+    first[0, np.unique(numbers, return_index=True)[1]] = 1
+    _, pair_numbers = np.unique(np.concatenate(keys), return_inverse=True)
+    pair_totals = totals(pair_numbers, own("pair_counts", [len(k) for k in keys]))
+    word_cuts, pair_cuts = (np.cumsum([len(x) for x in xs])[:-1] for xs in (words, keys))
+    return pa.table({
+        "block": asked.column("block"), "bucket": asked.column("bucket"),
+        "words": pa.array([packed(x) for x in np.split(np.concatenate((word_totals, first)), word_cuts, axis=1)], pa.binary()), "pairs": pa.array([packed(x) for x in np.split(pair_totals, pair_cuts, axis=1)], pa.binary()),
+    })
+
+
+def _facts(buckets: int):
     """A block with the counts of its words and pairs over all blocks, and what its documents set aside try on the others' estimates."""
-    rows = []
-    for row in asked.to_pylist():
-        b = Block(row)
-        kind = told.column("kind").to_numpy()
-        ref, fit, tune = (told.column(c).to_numpy() for c in ("ref", "fit", "tune"))
-        words, pairs = np.zeros((2, len(b.words)), np.int64), b.counts(b.pairs, len(b.keys)).astype(np.int64)
-        at = ref[kind == 0]
-        words[:, at] = fit[kind == 0], tune[kind == 0]
-        at = np.searchsorted(b.keys, ref[kind == 1].view(np.uint64))
-        pairs[:, at] = fit[kind == 1], tune[kind == 1]
+
+    def run(blocks: pa.Table, told: pa.Table) -> pa.Table:
+        b, told = Block(blocks.to_pylist()[0]), told.sort_by("bucket")
+        word_order, _, pair_order, _ = b.dealt(buckets)
+        words, pairs = np.zeros((3, len(b.words)), np.int64), np.zeros((2, len(b.keys)), np.int64)
+        back = lambda c, n: np.concatenate([unpacked(x).reshape(n, -1) for x in told.column(c).to_pylist()], axis=1)
+        words[:, word_order], pairs[:, pair_order] = back("words", 3), back("pairs", 2)
         # as many texts begin as end
         context = np.append(words[0], words[0, -1])
         mine = b.part == TUNE
         tried, n = np.unique(np.stack([pairs[0][b.pairs[mine]], context[b.before[mine]], words[0][b.codes[mine]]], axis=1), axis=0, return_counts=True)
-        rows.append({
-            "ids": row["ids"], "parts": row["parts"], "sizes": row["sizes"], "codes": row["codes"], "pairs": b.pairs.astype(np.int32).tobytes(), "word_counts": words.sum(axis=0).tobytes(),
-            "pair_counts": pairs.sum(axis=0).tobytes(), "tried": [dict(zip(("both", "context", "word", "n"), (*t, c))) for t, c in zip(tried.tolist(), n.tolist())],
+        count = pa.int64()
+        one = lambda x: pa.ListArray.from_arrays(pa.array([0, len(x)], pa.int32()), x)
+        of = lambda *x: pa.array(x, pa.binary())
+        seen = words[0] + words[1]
+        return pa.table({
+            **{c: blocks.column(c) for c in ("block", "ids", "parts", "sizes", "codes", "words")}, "word_counts": of(packed(seen)), "pair_counts": of(packed(pairs.sum(axis=0))),
+            "fit": pa.array([int((b.part == FIT).sum())], count), "tokens": pa.array([int((b.part != HELD).sum())], count), "types": pa.array([int(((seen > 0) & (words[2] > 0)).sum())], count),
+            "tried": one(pa.StructArray.from_arrays([*(pa.array(c) for c in tried.T), pa.array(n)], ["both", "context", "word", "n"])),
         })
-    count = pa.int64()
-    tried = pa.list_(pa.struct([("both", count), ("context", count), ("word", count), ("n", count)]))
-    schema = pa.schema([("ids", pa.list_(count)), ("parts", pa.list_(pa.int32())), ("sizes", pa.list_(pa.int32())), *[(c, pa.binary()) for c in ("codes", "pairs", "word_counts", "pair_counts")], ("tried", tried)])
-    return pa.Table.from_pylist(rows, schema=schema)
+
+    return run
 
 
 def mixed(both: np.ndarray, context: np.ndarray, word: np.ndarray, tokens: int, types: int, weights: np.ndarray) -> np.ndarray:
@@ -158,9 +226,9 @@ def _scores(tokens: int, types: int, weights: np.ndarray):
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             for row in batch.to_pylist():
-                sizes, codes, pairs = np.array(row["sizes"], np.int64), np.frombuffer(row["codes"], np.int32), np.frombuffer(row["pairs"], np.int32)
-                words, both = np.frombuffer(row["word_counts"], np.int64), np.frombuffer(row["pair_counts"], np.int64)
-                context = np.append(words, words[-1])[before_each(codes, sizes, len(words))]
+                b = Block(row)
+                words, both = unpacked(row["word_counts"]), unpacked(row["pair_counts"])
+                sizes, codes, pairs, context = b.sizes, b.codes, b.pairs, np.append(words, words[-1])[b.before]
                 word = words[codes]
                 known = (word > 0).astype(np.int64)
                 score = np.log10(mixed(both[pairs], context, word, tokens, types, weights))
@@ -211,23 +279,19 @@ def score_texts(df: DataFrame, id_col: str = "doc_id", text_col: str = "text", b
     their own.  An empty table gives an empty result.  A very long text is a block of its own.  Other columns are not read.
 
     Words are compared as strings.  Pairs are named by 64 bits of BLAKE2b digests: of n distinct pairs, each shares its count with a
-    strange one with a probability of n / 2^64, below one in a million up to 10^13 pairs.  A word or pair comes once from each block, so no key is hot.
+    strange one with a probability of n / 2^64, below one in a million up to 10^13 pairs.  A word or pair comes once from each block, so none is hot:
+    blocks send theirs to buckets in compressed rows, and get sums back in the order they asked.
     """
     rows = df.select(F.col(id_col).cast("bigint").alias("id"), part_of(F.col(id_col).cast("bigint")).alias("part"), whole_text(text_col).alias("text"))
-    blocks = staged(rows.mapInArrow(_blocks(block), BLOCK_SCHEMA), "model-blocks", compression="zstd")
-    words = staged(blocks.mapInArrow(_words, "word string, block bigint, at bigint, fit bigint, tune bigint"), "model-words", compression="zstd")
-    sizes = words.groupBy("word").agg(F.sum("fit").alias("fit"), F.sum("tune").alias("tune")).agg(F.sum("fit").alias("fit"), F.sum(F.col("fit") + F.col("tune")).alias("n"), F.count_if(F.col("fit") + F.col("tune") > 0).alias("v")).first()
-    tokens, types = sizes.n or 0, sizes.v or 0
-    pairs = blocks.mapInArrow(_pairs, "key bigint, block bigint, fit bigint, tune bigint")
-    total = lambda c, w: F.sum(c).over(w)
-    one, two = Window.partitionBy("word"), Window.partitionBy("key")
-    of_words = words.select("block", F.lit(0).alias("kind"), F.col("at").alias("ref"), total("fit", one).alias("fit"), total("tune", one).alias("tune"))
-    # a block knows its own counts: only pairs that others count too are told
-    of_pairs = pairs.select("block", F.lit(1).alias("kind"), F.col("key").alias("ref"), total("fit", two).alias("fit"), total("tune", two).alias("tune"), (F.col("fit") + F.col("tune")).alias("own"))
-    of_pairs = of_pairs.filter(F.col("fit") + F.col("tune") > F.col("own")).drop("own")
-    told = of_words.unionByName(of_pairs)
-    facts = staged(blocks.groupBy("block").cogroup(told.groupBy("block")).applyInArrow(_facts, FACT_SCHEMA), "model-facts", compression="zstd")
+    blocks = staged(rows.mapInArrow(_blocks(block), BLOCK_SCHEMA), "model-blocks")
+    # as many buckets as blocks: a bucket holds about as many words and pairs as a block
+    buckets = max(1, blocks.count())
+    told = blocks.mapInArrow(_asks(buckets), ASK_SCHEMA).groupBy("bucket").applyInArrow(_told, TOLD_SCHEMA)
+    facts = staged(blocks.groupBy("block").cogroup(told.groupBy("block")).applyInArrow(_facts(buckets), FACT_SCHEMA), "model-facts")
+    sizes = facts.agg(F.sum("fit").alias("fit"), F.sum("tokens").alias("tokens"), F.sum("types").alias("types")).first()
+    tokens, types = sizes.tokens or 0, sizes.types or 0
     tried = staged(facts.select(F.explode("tried").alias("t")).groupBy("t.both", "t.context", "t.word").agg(F.sum("t.n").alias("n")), "model-tried")
     weights = learned_weights(tried, sizes.fit or 0, types, rounds)
-    scored = facts.drop("tried").mapInArrow(_scores(tokens, types, weights), "id bigint, held_out boolean, n_tokens bigint, n_known bigint, base_score double, score double")
+    coded = facts.select("ids", "parts", "sizes", "codes", "words", "word_counts", "pair_counts")
+    scored = coded.mapInArrow(_scores(tokens, types, weights), "id bigint, held_out boolean, n_tokens bigint, n_known bigint, base_score double, score double")
     return scored, {"tokens": tokens, "types": types, "weights": weights}
