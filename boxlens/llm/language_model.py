@@ -20,7 +20,7 @@ from .common import staged, whole_text
 from .shingles import mix
 
 #: characters of text in one block, but for a longer single text
-BLOCK = 16_000_000
+BLOCK = 10_000_000
 HELD, FIT, TUNE = 0, 1, 2
 ROUNDS = 12
 BUCKETS = 65
@@ -115,11 +115,12 @@ class Block:
 
     def __init__(self, row: dict):
         self.row, self.parts, self.sizes = row, np.array(row["parts"], np.int64), np.array(row["sizes"], np.int64)
-        self.codes, self.words = unpacked(row["codes"]), unpacked_words(row["words"])
-        self.part = np.repeat(self.parts, self.sizes)
+        self.codes, self.words = unpacked(row["codes"]).astype(np.int32), unpacked_words(row["words"])
+        self.part = np.repeat(self.parts.astype(np.int8), self.sizes)
         self.before = before_each(self.codes, self.sizes, len(self.words))
         self.digest = np.frombuffer(b"".join(hashlib.blake2b(w.encode("utf-8", "surrogatepass"), digest_size=8).digest() for w in [*self.words, "\n"]), "<u8")
-        self.keys, self.pairs = np.unique(mix(self.digest[self.before] * _HASH_PAIR + mix(self.digest[self.codes], 7), 8), return_inverse=True)
+        self.keys, pairs = np.unique(mix(self.digest[self.before] * _HASH_PAIR + mix(self.digest, 7)[self.codes], 8), return_inverse=True)
+        self.pairs = pairs.astype(np.int32)
 
     def counts(self, of: np.ndarray, size: int) -> np.ndarray:
         """How often each number comes in documents to fit on and in documents set aside."""
@@ -128,13 +129,14 @@ class Block:
     def dealt(self, buckets: int) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
         """Words and pairs in the order of their buckets, and the buckets."""
         of_words, of_pairs = (x % np.uint64(buckets) for x in (self.digest[:-1], self.keys))
-        words, pairs = np.argsort(of_words, kind="stable"), np.argsort(of_pairs, kind="stable")
+        spelt = np.argsort(np.array(self.words, object), kind="stable")
+        words, pairs = spelt[np.argsort(of_words[spelt], kind="stable")], np.argsort(of_pairs, kind="stable")
         return words, of_words[words], pairs, of_pairs[pairs]
 
 
 def before_each(codes: np.ndarray, sizes: np.ndarray, start: int) -> np.ndarray:
     """The token before each one; the first of a text has the number ``start`` before it."""
-    before = np.concatenate(([start], codes[:-1])) if len(codes) else codes
+    before = np.concatenate((np.full(1, start, codes.dtype), codes[:-1]))
     before[np.cumsum(sizes) - sizes] = start
     return before
 
@@ -153,7 +155,7 @@ def _asks(buckets: int):
                 rows = []
                 for i, bucket in enumerate(used.tolist()):
                     (s, e), (t, f) = ((x[i], x[i + 1]) for x in bounds)
-                    keys = b.keys[pairs[t:f]]
+                    keys = b.keys[pairs[t:f]] // np.uint64(buckets)  # the rest is the bucket
                     rows.append((bucket, row["block"], packed_words([b.words[k] for k in words[s:e]]) if e > s else None, packed(word_counts[:, s:e]), packed(np.diff(keys, prepend=np.uint64(0))), packed(pair_counts[:, t:f])))
                     if len(rows) == 256 or i + 1 == len(used):
                         yield pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(zip(*rows), [pa.int64()] * 2 + [pa.binary()] * 4)], ["bucket", "block", "words", "word_counts", "keys", "pair_counts"])
@@ -228,13 +230,14 @@ def _scores(tokens: int, types: int, weights: np.ndarray):
             for row in batch.to_pylist():
                 b = Block(row)
                 words, both = unpacked(row["word_counts"]), unpacked(row["pair_counts"])
-                sizes, codes, pairs, context = b.sizes, b.codes, b.pairs, np.append(words, words[-1])[b.before]
-                word = words[codes]
-                known = (word > 0).astype(np.int64)
-                score = np.log10(mixed(both[pairs], context, word, tokens, types, weights))
-                base = np.log10((word + 0.1) / (tokens + 0.1 * (types + 1)))
+                sizes, codes, pairs, context = b.sizes, b.codes, b.pairs, np.append(words, words[-1])
+                score = np.empty(len(codes))
+                for s in range(0, len(codes), 100_000):
+                    part = slice(s, s + 100_000)
+                    score[part] = np.log10(mixed(both[pairs[part]], context[b.before[part]], words[codes[part]], tokens, types, weights))
+                base = np.log10((words + 0.1) / (tokens + 0.1 * (types + 1)))
                 starts = np.cumsum(sizes) - sizes
-                sums = [np.add.reduceat(x, starts) for x in (known, base, score)]
+                sums = [np.add.reduceat(x, starts) for x in ((words > 0).astype(np.int64)[codes], base[codes], score)]
                 columns = [pa.array(row["ids"], pa.int64()), pa.array(np.array(row["parts"]) == HELD), pa.array(sizes), *map(pa.array, sums)]
                 yield pa.RecordBatch.from_arrays(columns, ["id", "held_out", "n_tokens", "n_known", "base_score", "score"])
 
@@ -285,9 +288,9 @@ def score_texts(df: DataFrame, id_col: str = "doc_id", text_col: str = "text", b
     rows = df.select(F.col(id_col).cast("bigint").alias("id"), part_of(F.col(id_col).cast("bigint")).alias("part"), whole_text(text_col).alias("text"))
     blocks = staged(rows.mapInArrow(_blocks(block), BLOCK_SCHEMA), "model-blocks")
     # as many buckets as blocks: a bucket holds about as many words and pairs as a block
-    buckets = max(1, blocks.count())
+    buckets = max(1, blocks.select("block").count())
     told = blocks.mapInArrow(_asks(buckets), ASK_SCHEMA).groupBy("bucket").applyInArrow(_told, TOLD_SCHEMA)
-    facts = staged(blocks.groupBy("block").cogroup(told.groupBy("block")).applyInArrow(_facts(buckets), FACT_SCHEMA), "model-facts")
+    facts = staged(blocks.groupBy("block").cogroup(told.groupBy("block")).applyInArrow(_facts(buckets), FACT_SCHEMA), "model-facts", compression="zstd")
     sizes = facts.agg(F.sum("fit").alias("fit"), F.sum("tokens").alias("tokens"), F.sum("types").alias("types")).first()
     tokens, types = sizes.tokens or 0, sizes.types or 0
     tried = staged(facts.select(F.explode("tried").alias("t")).groupBy("t.both", "t.context", "t.word").agg(F.sum("t.n").alias("n")), "model-tried")
