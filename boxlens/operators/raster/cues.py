@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+import numpy as np
+import pandas as pd
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
@@ -229,11 +231,57 @@ def percolate(pixels: DataFrame, points: DataFrame, det: DataFrame, gray: str =
     return shape.join(size, ["image", "did"]).select("image", "did", (F.col("area") / F.col("n")).alias("perc_spread"), F.col("elong").alias("perc_elong"))
 
 
-def channel_outliers(pixels: DataFrame, det: DataFrame, channels: list[str], radius: int = 2, limit: float = 3.0) -> DataFrame:
+def _median_of_tile(cols: list[str], radius: int, tile: int):
+    def run(part: pd.DataFrame) -> pd.DataFrame:
+        first = part.iloc[0]
+        w, h, y0, x0 = int(first["w"]), int(first["h"]), int(first["ty"]) * tile, int(first["tx"]) * tile
+        y1, x1 = min(h, y0 + tile), min(w, x0 + tile)
+        # the frame repeats its border pixels outwards
+        ys, xs = (np.clip(np.arange(a - radius, b + radius), 0, top - 1) for a, b, top in ((y0, y1, h), (x0, x1, w)))
+        top, left = ys[0], xs[0]
+        at = part["y"].to_numpy() - top, part["x"].to_numpy() - left
+        here = np.mgrid[y0:y1, x0:x1].reshape(2, -1)
+        out = {"image": np.full(here.shape[1], first["image"]), "y": here[0], "x": here[1]}
+        k = 2 * radius + 1
+        for c in cols:
+            plane = np.zeros((ys[-1] - top + 1, xs[-1] - left + 1))
+            plane[at] = part[c].to_numpy()
+            values, rank = np.unique(plane[ys - top][:, xs - left], return_inverse=True)
+            rank = rank.reshape(len(ys), len(xs))
+            # the middle rank of every window, bisected: counts of ranks up to a middle come from summed areas
+            low, high = np.zeros((y1 - y0, x1 - x0), np.int64), np.full((y1 - y0, x1 - x0), len(values) - 1)
+            while (low < high).any():
+                middle = (low + high) // 2
+                enough = np.zeros(middle.shape, bool)
+                for m in np.unique(middle[low < high]):
+                    area = np.zeros((len(ys) + 1, len(xs) + 1), np.int64)
+                    area[1:, 1:] = (rank <= m).cumsum(axis=0).cumsum(axis=1)
+                    count = area[k:, k:] - area[:-k, k:] - area[k:, :-k] + area[:-k, :-k]
+                    enough |= (middle == m) & (count > k * k // 2)
+                low, high = np.where(enough | (low == high), low, middle + 1), np.where(enough, middle, high)
+            out[f"bg_{c}"] = values[low].reshape(-1)
+        return pd.DataFrame(out)
+
+    return run
+
+
+def window_median(pixels: DataFrame, cols: list[str], radius: int, tile: int = 64) -> DataFrame:
+    """``image, y, x, bg_<col>``: the exact median over the (2 radius + 1)^2 window, border pixels repeated outwards.
+
+    Each pixel goes to the tiles whose margin it lies in, so an image of any size is spread and a task holds one tile.  A median is bisected over
+    the tile's values, and each step counts by summed areas: its work does not grow with the window.  The frame must be complete.
+    """
+    wide = [c for c in cols]
+    span = lambda c, size: F.explode(F.sequence(F.greatest(F.floor((F.col(c) - radius) / tile), F.lit(0)), F.least(F.floor((F.col(c) + radius) / tile), F.floor((F.col(size) - 1) / tile))))
+    dealt = pixels.select("image", "y", "x", "w", "h", *[F.col(c).cast("double") for c in wide]).withColumn("ty", span("y", "h")).withColumn("tx", span("x", "w"))
+    schema = "image bigint, y bigint, x bigint, " + ", ".join(f"bg_{c} double" for c in wide)
+    return dealt.groupBy("image", "ty", "tx").applyInPandas(_median_of_tile(wide, radius, tile), schema)
+
+
+def channel_outliers(pixels: DataFrame, det: DataFrame, channels: list[str], radius: int = 15, limit: float = 3.0) -> DataFrame:
     """Per channel the share of box pixels far below, and far from, their local median in units of the lower half's MAD."""
-    offsets = G.square_offsets(radius)
-    local = G.focal(pixels, offsets, [_median(c).alias(f"bg_{c}") for c in channels], channels)
-    dev = pixels.join(local.drop("w", "h"), G.KEY).withColumns({f"d_{c}": F.col(c) - F.col(f"bg_{c}") for c in channels})
+    local = window_median(pixels, channels, radius)
+    dev = pixels.join(local, G.KEY).withColumns({f"d_{c}": F.col(c) - F.col(f"bg_{c}") for c in channels})
     low = dev.filter(F.col("y") >= F.floor(F.col("h") / 2))
     mid = low.groupBy("image").agg(*[_median(f"d_{c}").alias(f"m_{c}") for c in channels])
     mad = low.join(mid, "image").groupBy("image").agg(

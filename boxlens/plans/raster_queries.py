@@ -529,14 +529,6 @@ def _(spark, sf):
     return rounded(CU.box_contrast(coloured(i), raster_boxes(i).drop("w", "h")), "dark")
 
 
-@query("R40_channel_outliers", with_views("fx_pixels", f""", {BOXES_SQL}, bg AS (SELECT a.image, a.y, a.x, a.v - median(p.v) AS d FROM fx_pixels a JOIN fx_pixels p ON p.image=a.image AND abs(p.x-a.x) <= 1 AND abs(p.y-a.y) <= 1 GROUP BY a.image, a.y, a.x, a.v),
-    md AS (SELECT image, median(d) AS m FROM bg WHERE y >= 4 GROUP BY image), sd AS (SELECT image, greatest(median(abs(d-m))*1.4826e0, 0.5) AS s FROM bg JOIN md USING (image) WHERE y >= 4 GROUP BY image)
-    SELECT b.image, CAST(did AS BIGINT) AS did, round(avg((d/s < -1.5)::INT), 6) AS v_dark, round(avg((abs(d/s) > 1.5)::INT), 6) AS v_abs FROM bx b JOIN bg p ON p.image=b.image AND x >= x1 AND x < x2 AND y >= y1 AND y < y2 JOIN sd ON sd.image=b.image GROUP BY ALL"""))
-def _(spark, sf):
-    i = Inputs(spark, sf)
-    return rounded(CU.channel_outliers(px_of(i), raster_boxes(i), ["v"], 1, 1.5), "v_dark", "v_abs")
-
-
 @query("R41_candidate_context")
 def _(spark, sf):
     i = Inputs(spark, sf)

@@ -448,12 +448,3 @@ def _(spark, sf):
 def _(spark, sf):
     i = Inputs(spark, sf)
     return rounded(S.region_max(shaped_of(i).filter("detector = 'D1'"), i.truth, frame_of(i)), "best")
-
-
-@query("D25_state_shares", with_views("fx_truth", """, s AS (SELECT gid % 4 AS level, gid % 3 <> 0 AS is_truth, CASE gid % 7 WHEN 0 THEN NULL WHEN 1 THEN 'overflow' WHEN 2 THEN 'short' ELSE 'M' END AS state FROM fx_truth)
-    SELECT level, count(*) FILTER (is_truth) AS n_truth, count(*) FILTER (NOT is_truth AND state IS NOT NULL) AS n_control, round(avg(coalesce(state='M', false)::INT) FILTER (is_truth), 6) AS m,
-    round(avg((state='M')::INT) FILTER (NOT is_truth AND state IS NOT NULL), 6) AS m_control, round(avg(coalesce(state='overflow', false)::INT) FILTER (is_truth), 6) AS overflow, round(avg(coalesce(state='short', false)::INT) FILTER (is_truth), 6) AS short,
-    round(avg(coalesce(state='M', false)::INT) FILTER (is_truth) - avg((state='M')::INT) FILTER (NOT is_truth AND state IS NOT NULL), 6) AS m_prime FROM s GROUP BY level"""))
-def _(spark, sf):
-    s = Inputs(spark, sf).truth.selectExpr("gid % 4 AS level", "gid % 3 <> 0 AS is_truth", "CASE gid % 7 WHEN 0 THEN NULL WHEN 1 THEN 'overflow' WHEN 2 THEN 'short' ELSE 'M' END AS state")
-    return rounded(D.state_shares(s, ["level"]), "m", "m_control", "overflow", "short", "m_prime")

@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 import tempfile
+import uuid
 
 from pyspark.sql import DataFrame, SparkSession
 
@@ -30,7 +31,18 @@ def checkpoint(df: DataFrame) -> DataFrame:
     The folder is the one the cluster names in ``spark.checkpoint.dir``.  Only a local master may fall back to a
     temporary folder, because no executor of a real cluster could read it.
     """
-    spark = df.sparkSession
+    _shared_folder(df.sparkSession)
+    return df.checkpoint(eager=True)
+
+
+def stored(df: DataFrame) -> DataFrame:
+    """``df`` written once to the checkpoint folder and read back: as ``checkpoint``, but computed once and with known sizes."""
+    path = f"{_shared_folder(df.sparkSession)}/stored-{uuid.uuid4().hex}"
+    df.write.parquet(path)
+    return df.sparkSession.read.schema(df.schema).parquet(path)
+
+
+def _shared_folder(spark: SparkSession) -> str:
     sc = spark.sparkContext
     if sc.getCheckpointDir() is None:
         shared = spark.conf.get("spark.checkpoint.dir", None)
@@ -39,4 +51,4 @@ def checkpoint(df: DataFrame) -> DataFrame:
                 raise RuntimeError("set spark.checkpoint.dir to a folder every executor can reach")
             shared = tempfile.mkdtemp(prefix="spark-", dir="/tmp")
         sc.setCheckpointDir(shared)
-    return df.checkpoint(eager=True)
+    return sc.getCheckpointDir()
