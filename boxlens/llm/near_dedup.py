@@ -10,13 +10,13 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import join_groups, row_hash, rows_kept, staged, whole_text
+from .common import join_groups, maybe_in, row_hash, rows_kept, staged, whole_text
 from .shingles import mix, shingle_sets, similarity_sketch
 from .token_files import slices
 
 ROWS = 5
-#: a bucket of so few unlinked sets is compared pair by pair at once; larger ones go on by leaders
-SMALL = 128
+#: about so many sets of a bucket lead in the first round, and STEP times as many in each further one
+LEADS, STEP = 2, 4
 
 
 def bands_for(similarity: float, rows: int = ROWS, miss: float = 1e-6) -> int:
@@ -135,9 +135,9 @@ def linked_sets(mates: DataFrame, sets: DataFrame, texts: DataFrame, width: int,
     ``mates`` (bucket, set_id, copies) lists buckets of two or more sets.  First each member of a bucket is compared with its leader,
     the set with most copies; that joins large groups in linear time.  Sets left in buckets of several components lose
     what none of them shares with another; with the rest of their shingles most of them can be similar enough to nobody,
-    which settles them without a partner.  Then only buckets that still hold sets of
-    different components are gone through: small ones pair by pair, in larger ones about half of the members lead in turn,
-    those of small components first, and are compared with every member of another component.  It ends when each pair that shares a
+    which settles them without a partner.  Then only buckets that still hold sets of different components are gone through, in rounds: a few
+    members lead, drawn by hash, more of them in each round, and are compared with every member of another component.  A large family is one
+    component after a few leaders, before many could pair.  It ends when each pair that shares a
     bucket is linked, in one component, or refuted (by sizes alone, of the sets or their shared parts, where those do not allow it).
     """
     fits = share[1] * F.least("n", "n_a") >= share[0] * F.greatest("n", "n_a")  # sets of other sizes cannot be similar enough
@@ -145,8 +145,8 @@ def linked_sets(mates: DataFrame, sets: DataFrame, texts: DataFrame, width: int,
     pairs = staged(mates.join(leader, "bucket").filter("a <> set_id").filter(fits).select("a", F.col("set_id").alias("b")).distinct(), "near-pairs")
     done = staged(verified(pairs, texts, width, share), "near-verified")
     labels = staged(components(sets.select("set_id", F.col("set_id").alias("label")), done.filter("linked")), "near-labels")
-    seen = done.filter("NOT linked").select("a", "b")
-    seen = seen.unionByName(seen.select(F.col("b").alias("a"), F.col("a").alias("b")))
+    least, most = F.least("a", "b").alias("a"), F.greatest("a", "b").alias("b")
+    seen = staged(done.filter("NOT linked").select(least, most).distinct(), "near-seen")
     rest = mates.select("bucket", "set_id", "n").join(leader.select("bucket", F.col("a").alias("set_id")), ["bucket", "set_id"], "left_anti")
     rest = staged(several_labels(rest, labels), "near-open")
     lone = shared_sizes(texts, rest.select("set_id").distinct(), width)
@@ -154,22 +154,25 @@ def linked_sets(mates: DataFrame, sets: DataFrame, texts: DataFrame, width: int,
     rest = rest.filter(share[1] * F.col("c") >= share[0] * F.col("n")).select("bucket", "set_id", "n", "c")
     # two sets share at most what the smaller of their shared parts holds
     fits = (share[0] + share[1]) * F.least("c", "c_a") >= share[0] * (F.col("n") + F.col("n_a"))
+    leads_each, turn = LEADS, 0
     while True:
         rest = staged(several_labels(rest, labels), "near-open")
         if rest.limit(1).count() == 0:
             return labels
-        # who leads is drawn by hash, about every other member of a large bucket, and always its first
-        first = rest.groupBy("bucket").agg(F.min(F.struct("of_label", "set_id")).alias("first")).select("bucket", F.col("first.set_id").alias("first_id"))
-        drawn = (F.col("members") <= SMALL) | (F.pmod(F.xxhash64("set_id", "bucket", F.col("members")), F.lit(2)) == 0) & (F.col("of_label") * 2 <= F.col("members"))
+        turn += 1
+        # the same sets lead in all their buckets, so that a pair meets but once or twice
+        rank = F.pmod(F.xxhash64(F.lit(turn), "set_id"), F.lit(1 << 30))
+        first = rest.groupBy("bucket").agg(F.min(F.struct(rank.alias("rank"), "set_id")).alias("first")).select("bucket", F.col("first.set_id").alias("first_id"))
+        drawn = rank * F.col("members") < F.lit(leads_each << 30)
         leads = rest.join(first, "bucket").filter(drawn | (F.col("set_id") == F.col("first_id"))).select("bucket", F.col("set_id").alias("a"), F.col("n").alias("n_a"), F.col("c").alias("c_a"), F.col("label").alias("label_a"))
         leads = staged(leads, "near-leads")
         pairs = rest.join(leads, "bucket").filter("label <> label_a").filter(fits).select(F.least("a", "set_id").alias("a"), F.greatest("a", "set_id").alias("b")).distinct()
         new = staged(pairs.join(seen, ["a", "b"], "left_anti"), "near-pairs")
         done = staged(verified(new, texts, width, share), "near-verified")
         labels = staged(components(labels, done.filter("linked")), "near-labels")
-        out = done.filter("NOT linked").select("a", "b")
-        seen = seen.unionByName(out).unionByName(out.select(F.col("b").alias("a"), F.col("a").alias("b")))
+        seen = staged(seen.unionByName(done.filter("NOT linked").select(least, most)), "near-seen")
         rest = rest.select("bucket", "set_id", "n", "c").join(leads.select("bucket", F.col("a").alias("set_id")), ["bucket", "set_id"], "left_anti")
+        leads_each *= STEP
 
 
 def near_dedup(df: DataFrame, id_col: str = "doc_id", text_col: str = "text", width: int = 5, share: tuple[int, int] = (80, 100)) -> DataFrame:
@@ -200,7 +203,7 @@ def near_dedup(df: DataFrame, id_col: str = "doc_id", text_col: str = "text", wi
     shared = crowded.groupBy("bucket").agg(F.count(F.lit(1)).alias("n")).filter("n > 1").select("bucket")
     mates = staged(crowded.join(shared, "bucket"), "near-mates")
     wanted = mates.select("set_id").distinct().join(chosen, "set_id").select("row_key", "set_id")
-    texts = staged(docs.select("row_key", "text").join(wanted, "row_key").dropDuplicates(["set_id"]).select("set_id", "text"), "near-texts")
+    texts = staged(maybe_in(docs.select("row_key", "text"), "row_key", wanted).join(wanted, "row_key").dropDuplicates(["set_id"]).select("set_id", "text"), "near-texts")
     labels = linked_sets(mates, sets, texts, width, share)
     firsts = sets.join(labels, "set_id")
     least = firsts.groupBy("label").agg(F.min("first").alias("least"))

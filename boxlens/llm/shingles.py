@@ -57,9 +57,14 @@ def word_hashes(texts: pa.Array) -> tuple[np.ndarray, np.ndarray]:
     first[edges] = inside[edges]
     last[edges - 1] = inside[edges - 1]
     starts, ends = np.flatnonzero(first), np.flatnonzero(last) + 1
-    sums = np.zeros(len(data) + 1, np.uint64)
-    np.cumsum((data + np.uint64(1)) * powers(ROOT, len(data)), out=sums[1:])
-    words = (sums[ends] - sums[starts]) * powers(INVERSE, len(data) + 1)[starts]
+    # a word is the sum of scrambled (byte, place) pairs: unlike powers of a base, no pattern of letters cancels out
+    inside = np.flatnonzero(inside)
+    lengths = ends - starts
+    place = np.arange(len(inside)) - np.repeat(np.cumsum(lengths) - lengths, lengths)
+    sums = np.zeros(len(inside) + 1, np.uint64)
+    np.cumsum(mix(data[inside] + (place.astype(np.uint64) << np.uint64(8)), 17), out=sums[1:])
+    at = np.concatenate(([0], np.cumsum(lengths)))
+    words = sums[at[1:]] - sums[at[:-1]]
     return mix(words + (ends - starts).astype(np.uint64) * np.uint64(0xD6E8FEB86659FD93)), np.searchsorted(starts, cuts)
 
 

@@ -98,7 +98,7 @@ def chain(n, step):
 
 
 def test_near_chains_and_crowds_are_followed(spark, monkeypatch):
-    monkeypatch.setattr(near, "SMALL", 3)
+    monkeypatch.setattr(near, "LEADS", 1)
     rows = chain(20, 12) + [(100 + i, " ".join([f"t{k}" for k in range(200)] + [f"u{i}_{k}" for k in range(2 * i)]), "s") for i in range(30)]
     got = near.near_dedup(documents(spark, rows), width=3, share=(85, 100)).collect()
     assert collections.Counter((r.id, r.n_shingles, r.component_id) for r in got) == near_by_force(rows, 3, (85, 100))
@@ -168,3 +168,11 @@ def test_suffix_first_copy_stays(spark, monkeypatch, hot):
     # one row for each id: which of two texts under one id comes first is up to the row key
     rows = list({i: (i, t, s) for i, t, s in TEXTS}.values())
     assert _rows(suffix.suffix_dedup(table(spark, rows), length=60)) == removed_by_force(rows, 60, True)
+
+
+def test_words_that_cancel_in_powers_of_a_base_are_told_apart(spark):
+    """The Thue-Morse word over a and b and its complement differ everywhere, yet polynomials modulo 2^64 take them for one."""
+    word = "".join("ab"[bin(i).count("1") % 2] for i in range(1024))
+    rows = [(1, word, "s"), (2, word.translate(str.maketrans("ab", "ba")), "s"), (3, word, "s")]
+    got = {r.id: r.component_id for r in near.near_dedup(table(spark, rows), width=3, share=(85, 100)).collect()}
+    assert got == {1: 1, 2: 2, 3: 1}
