@@ -106,8 +106,10 @@ def wide_mosaic(i: Inputs):
 
 
 @query("R40_channel_outliers", with_views("fx_pixels", f""", {WIDE_SQL},
-    o AS (SELECT dy, dx FROM (SELECT unnest(range(-15, 16)) AS dy), LATERAL (SELECT unnest(range(-15, 16)) AS dx)),
-    bg AS (SELECT a.image, a.y, a.x, a.v - median(p.v) AS d FROM wm a CROSS JOIN o JOIN wm p ON p.image=a.image AND p.y = greatest(0, least(63, a.y+dy)) AND p.x = greatest(0, least(63, a.x+dx)) GROUP BY a.image, a.y, a.x, a.v),
+    rw AS (SELECT image, y, list(v ORDER BY x) AS r FROM wm GROUP BY image, y),
+    pd AS MATERIALIZED (SELECT image, y, list_concat(list_concat([r[1] FOR i IN range(15)], r), [r[64] FOR i IN range(15)]) AS r FROM rw),
+    bk AS MATERIALIZED (SELECT a.image, a.y, list(p.r) AS near FROM (SELECT image, y, greatest(0, least(63, y + unnest(range(-15, 16)))) AS py FROM rw) AS a JOIN pd AS p ON p.image=a.image AND p.y=a.py GROUP BY a.image, a.y),
+    bg AS MATERIALIZED (SELECT image, y, x, v - list_aggregate(flatten([l[x+1:x+31] FOR l IN near]), 'median') AS d FROM wm JOIN bk USING (image, y)),
     md AS (SELECT image, median(d) AS m FROM bg WHERE y >= 32 GROUP BY image), sd AS (SELECT image, greatest(median(abs(d-m))*1.4826e0, 0.5) AS s FROM bg JOIN md USING (image) WHERE y >= 32 GROUP BY image),
     bx AS (SELECT DISTINCT image, did, (did*13 + image*3) % 40 AS x1, (did*17 + image*5) % 40 AS y1 FROM wm, LATERAL (SELECT unnest(range(1, 9)) AS did))
     SELECT b.image, did, round(avg((d/s < -3)::INT), 6) AS v_dark, round(avg((abs(d/s) > 3)::INT), 6) AS v_abs FROM bx b JOIN bg p ON p.image=b.image AND x >= x1 AND x < x1 + 20 AND y >= y1 AND y < y1 + 16 JOIN sd ON sd.image=b.image GROUP BY ALL"""))
