@@ -16,7 +16,7 @@ FOLDER = "/root/testdata/sf0.001"
 # variants of queries that stay in, left out of the default run to keep it short
 SLOW = (
     "E1_bootstrap_ci", "E1_bootstrap_poisson", "E2_", "E4", "E21", "E22", "D1_", "D2_", "D4_summarize", "D7", "D11_shape", "D21", "C3_match_iou30", "C17", "A17", "B20", "R14_components_4",
-    "R15", "R16_mask", "R21", "R25_hysteresis_levels", "R26", "R29", "R30", "R31", "R33", "R37", "R38", "R41", "R45", "C5_evaluate_cropped", "C19", "D19_pick", "E8", "E9",
+    "R15", "R16_mask", "R21", "R25_hysteresis_levels", "R25_forest", "D25", "R26", "R29", "R30", "R31", "R33", "R37", "R38", "R41", "R45", "C5_evaluate_cropped", "C19", "D19_pick", "E8", "E9",
 )
 NAMES = [n for n in sorted(QUERIES) if os.environ.get("BOXLENS_ALL") or not n.startswith(SLOW)]
 
