@@ -7,7 +7,9 @@ subtracting vectors, and equal multisets of paragraphs have equal fingerprints.
 Lanes, held in an array of bigints:
 
 * 0: number of sentences, modulo 2^20,
-* 1 to 8: eight lanes modulo 2^32 of two independent halves of four 64-bit hashes of the paragraph: they tell multisets apart,
+* 1 to 8: eight lanes modulo 2^32, the eight words of the paragraph's SHA-256: they tell multisets apart.  Texts that nobody chose to
+  collide do so with the odds of 256 random bits.  Sums are weaker than the hash against somebody who may choose thousands of
+  paragraphs (generalised birthday search, lattice reduction), so equal fingerprints prove nothing against a forger,
 * 9 to 50: 126 lanes modulo 2^20, three to a number.  A paragraph adds, for each of its sentences, one random bit to each of
   them.  Twice such a lane less the number of sentences is a sum of random signs, so the angle between two documents' lanes
   estimates the cosine between their multisets of sentences, within about 0.09.
@@ -43,8 +45,8 @@ def fingerprint(text: Column) -> Column:
     """The fingerprint of a text, null counting as empty.  An empty text is one empty paragraph."""
     text = whole_text(text)
 
-    def halves(h: Column) -> Column:
-        return F.array(_sum(h, lambda x: x.bitwiseAND(F.lit(LOW32)), LOW32), _sum(h, lambda x: F.shiftrightunsigned(x, 32), LOW32))
+    def words(h: Column) -> Column:
+        return F.array(*[_sum(h, lambda x, i=i: F.conv(F.substring(x, 8 * i + 1, 8), 16, 10).cast("bigint"), LOW32) for i in range(8)])
 
     def fields(h: Column) -> Column:
         return F.array(*[_sum(h, lambda x, i=i: F.shiftrightunsigned(x, i).bitwiseAND(F.lit(FEET)), KEEP) for i in range(SHIFTS)])
@@ -53,7 +55,7 @@ def fingerprint(text: Column) -> Column:
         return F.concat(F.array(F.size(s).cast("bigint").bitwiseAND(F.lit((1 << FIELD) - 1))), *[_let(_hashes(s, seed), fields) for seed in (4, 5)])
 
     def of_paragraphs(p: Column) -> Column:
-        return F.concat(*[_let(_hashes(p, seed), halves) for seed in range(4)])
+        return _let(F.transform(p, lambda x: F.sha2(x, 256)), words)
 
     def joined(parts: Column) -> Column:
         signs, sums = parts["signs"], parts["sums"]
@@ -64,7 +66,7 @@ def fingerprint(text: Column) -> Column:
 
 
 def _hashes(items: Column, seed: int) -> Column:
-    return F.transform(items, lambda x: F.xxhash64(x, F.lit(seed)))
+    return F.transform(items, lambda x: F.xxhash64(F.lit(seed), x))
 
 
 def _lane_modulus(i: Column) -> Column:

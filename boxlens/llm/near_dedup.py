@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import hashlib
 import math
 from collections.abc import Iterator
 
@@ -11,7 +12,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from .common import join_groups, maybe_in, row_hash, rows_kept, staged, whole_text
-from .shingles import mix, shingle_sets, similarity_sketch
+from .shingles import mix, shingle_numbers, shingle_sets, similarity_sketch, word_true_sets
 from .token_files import slices
 
 ROWS = 5
@@ -28,19 +29,16 @@ def _sketch(width: int, bands: int, rows: int):
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             for part in slices(batch, 0, 1_000_000):
-                elements, starts = shingle_sets(part.column(0), width)
-                sketch = similarity_sketch(elements, starts, bands * rows).reshape(len(part), bands, rows)
+                numbers, starts = shingle_numbers(part.column(0), width)
+                sketch = similarity_sketch(np.ascontiguousarray(numbers[:, 0]), starts, bands * rows).reshape(len(part), bands, rows)
                 keys = np.broadcast_to(np.arange(bands, dtype=np.uint64), sketch.shape[:2])
                 for i in range(rows):
                     keys = mix(keys * np.uint64(0x9FB21C651E98DF25) + sketch[:, :, i])
-                sums = np.zeros((2, len(elements) + 1), np.uint64)
-                for i in range(2):
-                    np.cumsum(mix(elements, 1000 + i), out=sums[i, 1:])
-                whole = np.diff(sums[:, starts], axis=1).T.astype("<u8").tobytes()
+                ids = [hashlib.blake2b(numbers[i:j].tobytes(), digest_size=16).digest() for i, j in zip(starts.tolist(), starts[1:].tolist())]
                 sizes = np.diff(starts)
                 flat, offsets = keys.astype(np.int64).reshape(-1), np.arange(len(part) + 1, dtype=np.int32) * bands
                 yield pa.RecordBatch.from_arrays(
-                    [*part.columns[1:], pa.array(sizes), pa.array([whole[16 * i : 16 * i + 16] for i in range(len(part))], pa.binary()), pa.ListArray.from_arrays(pa.array(offsets), pa.array(flat))],
+                    [*part.columns[1:], pa.array(sizes), pa.array(ids, pa.binary()), pa.ListArray.from_arrays(pa.array(offsets), pa.array(flat))],
                     [*part.schema.names[1:], "n_shingles", "set_id", "bands"],
                 )
 
@@ -53,11 +51,9 @@ def _verify(width: int, share: tuple[int, int]):
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             for part in slices(batch, 2, 2_000_000):
-                left, ls = shingle_sets(part.column(2), width)
-                right, rs = shingle_sets(part.column(3), width)
+                sets = word_true_sets(pa.concat_arrays([part.column(2), part.column(3)]), width)
                 linked = []
-                for i in range(len(part)):
-                    a, b = left[ls[i] : ls[i + 1]], right[rs[i] : rs[i + 1]]
+                for a, b in zip(sets[: len(part)], sets[len(part) :]):
                     both = len(np.intersect1d(a, b, assume_unique=True))
                     linked.append(whole * both >= part_of * (len(a) + len(b) - both) and both > 0)
                 yield pa.RecordBatch.from_arrays([part.column(0), part.column(1), pa.array(linked, pa.bool_())], ["a", "b", "linked"])
@@ -89,7 +85,7 @@ def shared_sizes(texts: DataFrame, wanted: DataFrame, width: int) -> DataFrame:
 
 
 def verified(pairs: DataFrame, texts: DataFrame, width: int, share: tuple[int, int]) -> DataFrame:
-    """``a, b, linked`` of pairs of set ids, decided on the full shingle sets of both texts."""
+    """``a, b, linked`` of pairs of set ids, decided on the words of the full shingle sets of both texts."""
     left = texts.select(F.col("set_id").alias("a"), F.col("text").alias("text_a"))
     right = texts.select(F.col("set_id").alias("b"), F.col("text").alias("text_b"))
     both = pairs.join(right, "b").join(left, "a").select("a", "b", "text_a", "text_b")
@@ -185,9 +181,10 @@ def near_dedup(df: DataFrame, id_col: str = "doc_id", text_col: str = "text", wi
     Rows that repeat an id in one component keep the one of least row key; rows that repeat id and text share key and decision.
     An empty table gives an empty result.  Columns other than id and text are not read.
 
-    Rows with equal sets are one set throughout, so copies never make pairs.  Candidates share one of ``bands_for``
+    Rows with equal sets are one set throughout, so copies never make pairs; sets are equal if a 16-byte digest of all their shingles, themselves
+    mixed from 16-byte digests of words, agrees.  Candidates share one of ``bands_for``
     bands, which misses a pair at the threshold with a probability of at most one in a million; each is verified on the
-    full sets.
+    words of the full sets.
     """
     bands = bands_for(share[0] / share[1])
     docs = df.select(whole_text(text_col).alias("text"), F.col(id_col).cast("bigint").alias("id"), row_hash(F.col(id_col), whole_text(text_col)).alias("row_key"))

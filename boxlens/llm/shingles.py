@@ -1,14 +1,16 @@
-"""Word shingles of whole texts as 64-bit numbers, many texts at a time."""
+"""Word shingles of whole texts as numbers, many texts at a time."""
 
 from __future__ import annotations
 
+import hashlib
+
 import numpy as np
 import pyarrow as pa
 
-_LOWER = np.arange(256, dtype=np.uint8)
-_LOWER[65:91] += 32
-_SPACE = np.zeros(256, bool)
-_SPACE[[32, *range(9, 14)]] = True
+_LOWER = bytes(c + 32 if 65 <= c <= 90 else c for c in range(256))
+#: words whose digests a worker remembers
+KNOWN_WORDS = 200_000
+_STEP = np.uint64(0xA24BAED4963EE407)
 ROOT, INVERSE = 0x9E3779B97F4A7C15, pow(0x9E3779B97F4A7C15, -1, 1 << 64)
 _powers: dict[int, np.ndarray] = {}
 
@@ -44,53 +46,87 @@ def utf8(texts: pa.Array) -> tuple[np.ndarray, np.ndarray]:
     return data, offsets - offsets[0]
 
 
-def word_hashes(texts: pa.Array) -> tuple[np.ndarray, np.ndarray]:
-    """Hashes of all words, A-Z lower-cased, and the number of words before each text (and in all)."""
-    data, cuts = utf8(texts)
-    data = _LOWER[data]
-    inside = ~_SPACE[data]
-    first = inside.copy()
-    first[1:] &= ~inside[:-1]
-    last = inside.copy()
-    last[:-1] &= ~inside[1:]
-    edges = cuts[(cuts > 0) & (cuts < len(data))]
-    first[edges] = inside[edges]
-    last[edges - 1] = inside[edges - 1]
-    starts, ends = np.flatnonzero(first), np.flatnonzero(last) + 1
-    # a word is the sum of scrambled (byte, place) pairs: unlike powers of a base, no pattern of letters cancels out
-    inside = np.flatnonzero(inside)
-    lengths = ends - starts
-    place = np.arange(len(inside)) - np.repeat(np.cumsum(lengths) - lengths, lengths)
-    sums = np.zeros(len(inside) + 1, np.uint64)
-    np.cumsum(mix(data[inside] + (place.astype(np.uint64) << np.uint64(8)), 17), out=sums[1:])
-    at = np.concatenate(([0], np.cumsum(lengths)))
-    words = sums[at[1:]] - sums[at[:-1]]
-    return mix(words + (ends - starts).astype(np.uint64) * np.uint64(0xD6E8FEB86659FD93)), np.searchsorted(starts, cuts)
+class _Digests(dict):
+    """16-byte digests of words; short ones are remembered."""
 
+    def __missing__(self, word: bytes) -> bytes:
+        digest = hashlib.blake2b(word, digest_size=16).digest()
+        if len(word) <= 64:
+            if len(self) >= KNOWN_WORDS:
+                self.clear()
+            self[word] = digest
+        return digest
 
-def shingle_sets(texts: pa.Array, width: int) -> tuple[np.ndarray, np.ndarray]:
-    """The sorted distinct shingles of each text, one text after the other, and where each set starts (and the end).
 
-    A text of fewer words than ``width`` has its whole word sequence as its one shingle; a text without words has none.
+class _Numbers(dict):
+    """Numbers things in the order in which they are first asked for."""
+
+    def __missing__(self, key) -> int:
+        self[key] = n = len(self)
+        return n
+
+
+_digests = _Digests()
+
+
+def words_of(texts: pa.Array) -> list[list[bytes]]:
+    """The words of each text, A-Z lower-cased, cut at blanks, tabs and line ends."""
+    return [t.translate(_LOWER).split() for t in texts.cast(pa.binary()).to_pylist()]
+
+
+def shingle_numbers(texts: pa.Array, width: int) -> tuple[np.ndarray, np.ndarray]:
+    """The distinct shingles of each text as rows of two numbers, in the order of the first, and where each set starts (and the end).
+
+    Both numbers are mixed from digests of the words.  A text of fewer words than ``width`` has its whole word sequence as its one
+    shingle; a text without words has none.
     """
-    words, cuts = word_hashes(texts)
+    lists = words_of(texts)
+    words = np.frombuffer(b"".join(_digests[w] for ws in lists for w in ws), "<u8").reshape(-1, 2)
+    cuts = np.concatenate(([0], np.cumsum([len(ws) for ws in lists], dtype=np.int64))).tolist()
     n = max(0, len(words) - width + 1)
-    grams = np.full(n, width, np.uint64)
+    grams = np.full((n, 2), width, np.uint64)
     for i in range(width):
-        grams = mix(grams * np.uint64(0xA24BAED4963EE407) + words[i : i + n])
+        grams = mix(grams * _STEP + words[i : i + n])
     sets = []
-    for s, e in zip(cuts.tolist(), cuts[1:].tolist()):
+    for s, e in zip(cuts, cuts[1:]):
         if e - s >= width:
-            sets.append(np.unique(grams[s : e - width + 1]))
+            own = grams[s : e - width + 1]
+            sets.append(own[np.unique(own[:, 0], return_index=True)[1]])
         elif e > s:
-            short = np.full(1, e - s, np.uint64)
-            for w in words[s:e]:
-                short = mix(short * np.uint64(0xA24BAED4963EE407) + w)
+            short = np.full((1, 2), e - s, np.uint64)
+            for i in range(s, e):
+                short = mix(short * _STEP + words[i])
             sets.append(short)
         else:
-            sets.append(np.zeros(0, np.uint64))
+            sets.append(np.zeros((0, 2), np.uint64))
     starts = np.concatenate(([0], np.cumsum([len(x) for x in sets], dtype=np.int64)))
-    return (np.concatenate(sets) if sets else np.zeros(0, np.uint64)), starts
+    return (np.concatenate(sets) if sets else np.zeros((0, 2), np.uint64)), starts
+
+
+def shingle_sets(texts: pa.Array, width: int) -> tuple[np.ndarray, np.ndarray]:
+    """The sorted distinct shingles of each text as 64-bit numbers, one text after the other, and where each set starts (and the end)."""
+    numbers, starts = shingle_numbers(texts, width)
+    return np.ascontiguousarray(numbers[:, 0]), starts
+
+
+def word_true_sets(texts: pa.Array, width: int) -> list[np.ndarray]:
+    """The shingle set of each text, with equal numbers for equal word sequences and for no others among the given texts."""
+    lists = words_of(texts)
+    numbers, sequences = _Numbers(), _Numbers()
+    cuts = np.concatenate(([0], np.cumsum([len(ws) for ws in lists], dtype=np.int64))).tolist()
+    words = np.fromiter((numbers[w] for ws in lists for w in ws), np.int64, cuts[-1])
+    n = max(0, len(words) - width + 1)
+    grams = words[:n]
+    for i in range(1, width):
+        grams = np.unique(grams * len(numbers) + words[i : i + n], return_inverse=True)[1]
+    sets = []
+    for ws, s, e in zip(lists, cuts, cuts[1:]):
+        if e - s >= width:
+            sets.append(np.unique(grams[s : e - width + 1]))
+        else:
+            # negative: a short sequence is no shingle of a longer text
+            sets.append(np.array([-1 - sequences[tuple(ws)]] if ws else [], np.int64))
+    return sets
 
 
 def similarity_sketch(elements: np.ndarray, starts: np.ndarray, t: int) -> np.ndarray:

@@ -1,9 +1,10 @@
 """Repeated byte strings by suffix order and longest previous factors.
 
 A string that occurs twice has the same least hashed gram in both places.  So windows of ``length`` bytes are dealt out by
-that gram: consecutive windows with the same one travel as one string, equal strings are collapsed, and only where
+that gram: consecutive windows with the same one travel as one string, equal strings (by a 16-byte digest) are collapsed, and only where
 different strings share a gram are their bytes brought together.  There the windows are put into suffix order, and for each
-the previous and the next entry with a smaller text position tell whether it has an earlier match of full length.
+the previous and the next entry with a smaller text position tell whether it has an earlier match of full length, those with a
+greater one whether it has a later match.
 """
 
 from __future__ import annotations
@@ -54,13 +55,17 @@ def sliding(values: np.ndarray, span: int, pick: np.ufunc, fill: int) -> np.ndar
     return pick(backward[:n], forward[span - 1 : span - 1 + n])
 
 
-def runs_of(data: np.ndarray, cuts: np.ndarray, length: int) -> dict[str, np.ndarray]:
-    """Runs of windows that share their least gram: text number, start in the text, windows, gram, hash of the string, and whether the
+def digest(data: bytes) -> bytes:
+    return hashlib.blake2b(data, digest_size=16).digest()
+
+
+def runs_of(data: np.ndarray, cuts: np.ndarray, length: int) -> dict:
+    """Runs of windows that share their least gram: text number, start in the text, windows, gram, digest of the string, and whether the
     gram comes twice in its text (then windows of one run may repeat each other)."""
     gram, span = min(GRAM, length), length - min(GRAM, length) + 1
     none = np.zeros(0, np.int64)
     if len(data) < length:
-        return {"text": none, "start": none, "windows": none, "gram": none, "string": none, "again": np.zeros(0, bool)}
+        return {"text": none, "start": none, "windows": none, "gram": none, "string": [], "again": np.zeros(0, bool)}
     sums = prefix_sums(data)
     hashes = hash_at(sums, np.arange(len(data) - gram + 1), gram)
     least = sliding(hashes, span, np.minimum, (1 << 64) - 1)
@@ -87,8 +92,9 @@ def runs_of(data: np.ndarray, cuts: np.ndarray, length: int) -> dict[str, np.nda
     text = text_of[start]
     gram_value = least[start]
     again = np.isin(mix(gram_value + text.astype(np.uint64) * np.uint64(ROOT)), twice)
-    string = hash_at(sums, start, windows + (length - 1))
-    return {"text": text, "start": start - cuts[text], "windows": windows, "gram": gram_value.astype(np.int64), "string": string.astype(np.int64), "again": again}
+    raw = data.tobytes()
+    string = [digest(raw[s:e]) for s, e in zip(start.tolist(), (start + windows + (length - 1)).tolist())]
+    return {"text": text, "start": start - cuts[text], "windows": windows, "gram": gram_value.astype(np.int64), "string": string, "again": again}
 
 
 def _runs(length: int):
@@ -98,14 +104,14 @@ def _runs(length: int):
                 r = runs_of(*utf8(part.column(0)), length)
                 of = pa.array(r["text"])
                 yield pa.RecordBatch.from_arrays(
-                    [part.column(1).take(of), part.column(2).take(of), pa.array(r["start"]), pa.array(r["windows"].astype(np.int32)), pa.array(r["gram"]), pa.array(r["string"]), pa.array(r["again"])],
+                    [part.column(1).take(of), part.column(2).take(of), pa.array(r["start"]), pa.array(r["windows"].astype(np.int32)), pa.array(r["gram"]), pa.array(r["string"], pa.binary()), pa.array(r["again"])],
                     ["id", "row_key", "start", "windows", "gram", "string", "again"],
                 )
 
     return run
 
 
-RUN_SCHEMA = "id bigint, row_key binary, start bigint, windows int, gram bigint, string bigint, again boolean"
+RUN_SCHEMA = "id bigint, row_key binary, start bigint, windows int, gram bigint, string binary, again boolean"
 
 
 def previous_matches(rows: np.ndarray, position: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
@@ -114,7 +120,8 @@ def previous_matches(rows: np.ndarray, position: np.ndarray) -> tuple[np.ndarray
     Windows are put into suffix order (their bytes are all of the suffix that a match of full length depends on), and
     neighbours with a common prefix of full length form blocks.  In its block a window's previous smaller position is the running
     minimum before it and its next smaller one the running minimum behind it; if either lies below its own position, its
-    longest previous factor is at least the window.
+    longest previous factor is at least the window.  Its longest next factor goes by the greater positions in the same way, and a
+    window occurs elsewhere if either factor is.
     """
     n = len(rows)
     if not n:
@@ -128,10 +135,12 @@ def previous_matches(rows: np.ndarray, position: np.ndarray) -> tuple[np.ndarray
     # one pass for all blocks: an offset per block makes each start afresh
     before = np.minimum.accumulate(rank - block * n) + block * n
     behind = np.minimum.accumulate((rank + block * n)[::-1])[::-1] - block * n
-    earlier, elsewhere = np.zeros(n, bool), np.zeros(n, bool)
+    over = np.maximum.accumulate(rank + block * n) - block * n
+    under = np.maximum.accumulate((rank - block * n)[::-1])[::-1] + block * n
+    earlier, later = np.zeros(n, bool), np.zeros(n, bool)
     earlier[order] = (before < rank) | (behind < rank)
-    elsewhere[order] = np.bincount(block)[block] > 1
-    return earlier, elsewhere
+    later[order] = (over > rank) | (under > rank)
+    return earlier, earlier | later
 
 
 def _matched(length: int, first_stays: bool):
@@ -165,7 +174,7 @@ def _matched(length: int, first_stays: bool):
         def flush(part: list[dict]) -> pa.RecordBatch:
             found = judged(part)
             cols = list(zip(*found)) or [(), (), (), ()]
-            kinds = [pa.int64(), pa.int64(), pa.list_(pa.int32()), pa.list_(pa.int32())]
+            kinds = [pa.int64(), pa.binary(), pa.list_(pa.int32()), pa.list_(pa.int32())]
             return pa.RecordBatch.from_arrays([pa.array(c, k) for c, k in zip(cols, kinds)], ["gram", "string", "froms", "tos"])
 
         for batch in batches:
@@ -185,15 +194,10 @@ def _windows(length: int):
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             for row in batch.to_pylist():
-                data = np.frombuffer(row["bytes"], np.uint8)
-                n = row["windows"]
-                sums, at = prefix_sums(data), np.arange(n)
-                h = hash_at(sums, at, length)
-                # a second, independent hash of the same bytes
-                other = hash_at(prefix_sums(data[::-1]), len(data) - length - at, length)
+                n, data, at = row["windows"], row["bytes"], np.arange(row["windows"])
                 yield pa.RecordBatch.from_arrays(
-                    [pa.array(h.astype(np.int64)), pa.array(other.astype(np.int64)), *[pa.array([row[c]] * n, t) for c, t in (("gram", pa.int64()), ("string", pa.int64()), ("id", pa.int64()), ("row_key", pa.binary()))], pa.array(at + row["start"]), pa.array(at.astype(np.int32))],
-                    ["h", "g", "gram", "string", "id", "row_key", "position", "nth"],
+                    [pa.array([digest(data[i : i + length]) for i in range(n)], pa.binary()), *[pa.array([row[c]] * n, t) for c, t in (("gram", pa.int64()), ("string", pa.binary()), ("id", pa.int64()), ("row_key", pa.binary()))], pa.array(at + row["start"]), pa.array(at.astype(np.int32))],
+                    ["window", "gram", "string", "id", "row_key", "position", "nth"],
                 )
 
     return run
@@ -208,14 +212,14 @@ def repeated_runs(strings: DataFrame, texts: DataFrame, length: int, first_stays
     )
     # identical rows of a table share a key; their string comes once
     with_bytes = staged(with_bytes.dropDuplicates(["gram", "string"]), "suffix-strings")
-    schema = "gram bigint, string bigint, froms array<int>, tos array<int>"
+    schema = "gram bigint, string binary, froms array<int>, tos array<int>"
     few = with_bytes.filter(F.col("crowd") <= HOT).drop("crowd").repartition(n, "gram").sortWithinPartitions("gram", *nulls_last)
     calm = few.mapInArrow(_matched(length, first_stays), schema)
-    each = with_bytes.filter(F.col("crowd") > HOT).drop("crowd").mapInArrow(_windows(length), "h bigint, g bigint, gram bigint, string bigint, id bigint, row_key binary, position bigint, nth int")
+    each = with_bytes.filter(F.col("crowd") > HOT).drop("crowd").mapInArrow(_windows(length), "window binary, gram bigint, string binary, id bigint, row_key binary, position bigint, nth int")
     each = staged(each, "suffix-windows")
     place = F.struct(F.col("id").isNull().alias("no_id"), "id", "row_key", "position")
-    met = each.groupBy("h", "g").agg(F.count(F.lit(1)).alias("times"), F.min(place).alias("first")).filter("times > 1")
-    matched = join_groups(each, staged(met, "suffix-met"), ["h", "g"], "times")
+    met = each.groupBy("window").agg(F.count(F.lit(1)).alias("times"), F.min(place).alias("first")).filter("times > 1")
+    matched = join_groups(each, staged(met, "suffix-met"), ["window"], "times")
     if first_stays:
         matched = matched.filter((F.col("row_key") != F.col("first.row_key")) | (F.col("position") != F.col("first.position")))
     crowded = matched.groupBy("gram", "string").agg(F.array_sort(F.collect_list("nth")).alias("froms")).select("gram", "string", "froms", F.transform("froms", lambda i: i + 1).alias("tos"))

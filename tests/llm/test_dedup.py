@@ -1,7 +1,9 @@
 import collections
 import hashlib
+import random
 import re
 
+import numpy as np
 import pyarrow as pa
 import pytest
 from pyspark.sql import functions as F
@@ -9,7 +11,7 @@ from pyspark.sql import functions as F
 from boxlens.llm import near_dedup as near
 from boxlens.llm import suffix_dedup as suffix
 from boxlens.llm.exact_dedup import exact_dedup, keep_exact
-from boxlens.llm.shingles import shingle_sets, similarity_sketch
+from boxlens.llm.shingles import shingle_numbers, shingle_sets, similarity_sketch, word_true_sets
 
 from .cases import LOWER, TEXTS, documents, table
 
@@ -176,3 +178,43 @@ def test_words_that_cancel_in_powers_of_a_base_are_told_apart(spark):
     rows = [(1, word, "s"), (2, word.translate(str.maketrans("ab", "ba")), "s"), (3, word, "s")]
     got = {r.id: r.component_id for r in near.near_dedup(table(spark, rows), width=3, share=(85, 100)).collect()}
     assert got == {1: 1, 2: 2, 3: 1}
+
+
+@pytest.mark.parametrize("width", [1, 3, 5])
+def test_word_true_sets_by_force(width):
+    r = random.Random(width)
+    texts = ["", " \t", "a", "A b", "a b", "ab", "a b a b a b a b", "É a\x0bb\x00 c d e f"] + [" ".join(r.choice("abc") for _ in range(r.randint(1, 40))) for _ in range(40)]
+    sets, want = word_true_sets(pa.array(texts), width), [shingles(t, width) for t in texts]
+    numbers, starts = shingle_numbers(pa.array(texts), width)
+    assert [len(s) for s in sets] == [len(w) for w in want] == np.diff(starts).tolist()
+    for i in range(len(texts)):
+        for j in range(i):
+            assert len(np.intersect1d(sets[i], sets[j])) == len(want[i] & want[j])
+            same = numbers[starts[i] : starts[i + 1]].tobytes() == numbers[starts[j] : starts[j + 1]].tobytes()
+            assert same == (want[i] == want[j])
+
+
+def test_previous_and_next_factors_by_force():
+    r = np.random.default_rng(5)
+    rows, position = r.integers(97, 99, (300, 6)).astype(np.uint8), r.permutation(300) * 7
+    earlier, elsewhere = suffix.previous_matches(rows, position)
+    for i in range(300):
+        same = [j for j in range(300) if j != i and (rows[j] == rows[i]).all()]
+        assert elsewhere[i] == bool(same)
+        assert earlier[i] == any(position[j] < position[i] for j in same)
+
+
+@pytest.mark.parametrize("hot", [256, 0])
+def test_strings_that_cancel_in_powers_of_a_base_are_told_apart(spark, monkeypatch, hot):
+    """Two tails whose difference is a product of x^(2^i) - 1: a polynomial modulo 2^64 takes them for one."""
+    monkeypatch.setattr(suffix, "HOT", hot)
+    steps = [1]
+    for top in (7, 5, 3):
+        for i in range(top):
+            steps = np.convolve(steps, [-1] + [0] * (2**i - 1) + [1])
+    r = random.Random(9)
+    steps = [int(d) for d in steps] + [0] * (176 - len(steps))
+    head, tail = "".join(r.choice("abcdefgh") for _ in range(200)), [r.randint(max(1, 1 - d), min(127, 127 - d)) for d in steps]
+    rows = [(1, head + bytes(tail).decode(), "s"), (2, head + bytes(c + d for c, d in zip(tail, steps)).decode(), "s")]
+    got = _rows(suffix.suffix_dedup(documents(spark, rows), length=200, first_stays=False))
+    assert got == removed_by_force(rows, 200, False) and {k[2] for k in got} == {200}

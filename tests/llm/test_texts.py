@@ -1,6 +1,8 @@
 import collections
 import hashlib
+import math
 import random
+import re
 import zlib
 
 import numpy as np
@@ -116,6 +118,25 @@ def test_fingerprint_is_a_multiset_hash(spark):
     assert len(long.first().f) == 51
 
 
+def test_fingerprint_lanes_and_likeness_by_force(spark):
+    vocabulary = [f"Sentence number {i}." for i in range(60)]
+    r = random.Random(4)
+    rows = [(i, *["\n".join(" ".join(r.choice(vocabulary[: 20 + 8 * (i % 5)]) for _ in range(4)) for _ in range(12)) for _ in range(2)]) for i in range(12)]
+    rows += [(100, "É\n\nÉ", "É"), (101, "", "x")]
+    df = spark.createDataFrame(rows, "i int, a string, b string")
+    near = []
+    for x in df.select("*", fp.fingerprint(F.col("a")).alias("f"), fp.likeness(fp.fingerprint(F.col("a")), fp.fingerprint(F.col("b"))).alias("like")).collect():
+        digests = [hashlib.sha256(p.encode()).digest() for p in x.a.split("\n")]
+        assert x.f[1:9] == [sum(int.from_bytes(d[4 * k : 4 * k + 4], "big") for d in digests) % 2**32 for k in range(8)]
+        u, v = (collections.Counter(re.split(r"\n|(?<=[.!?]) ", t)) for t in (x.a, x.b))
+        assert x.f[0] == sum(u.values())
+        cosine = sum(u[k] * v[k] for k in u) / math.sqrt(sum(n * n for n in u.values()) * sum(n * n for n in v.values()))
+        assert 0 <= x.like < 1 and abs(x.like - cosine) < 0.4
+        near.append(x.like - cosine)
+    # 126 random signs: a standard error of at most 0.09 each
+    assert sum(e * e for e in near) / len(near) < 0.12**2
+
+
 def test_edited_texts(spark):
     got = fp.compared(table(spark), parts=5).collect()
     ordered = sorted(TEXTS, key=lambda r: (r[0] is not None, r[0] or 0, (r[1] or "").encode()))
