@@ -8,7 +8,7 @@ from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from .common import join_groups, maybe_in, row_hash, rows_kept, staged, whole_text
@@ -17,7 +17,7 @@ from .token_files import slices
 
 ROWS = 5
 #: about so many sets of a bucket lead in the first round, and STEP times as many in each further one
-LEADS, STEP = 2, 4
+LEADS, STEP = 2, 8
 
 
 def bands_for(similarity: float, rows: int = ROWS, miss: float = 1e-6) -> int:
@@ -61,27 +61,67 @@ def _verify(width: int, share: tuple[int, int]):
     return run
 
 
-def _elements(width: int):
+def _apart(width: int, share: tuple[int, int]):
+    part_of, whole = share
+
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            for part in slices(batch, 0, 1_000_000):
-                elements, starts = shingle_sets(part.column(0), width)
-                owner = np.repeat(np.asarray(part.column(1)), np.diff(starts))
-                yield pa.RecordBatch.from_arrays([pa.array(elements.astype(np.int64)), pa.array(owner)], ["element", "owner"])
+            for part in slices(batch, 4, 1_000_000):
+                own, own_starts = shingle_sets(part.column(5), width)
+                other, other_starts = shingle_sets(part.column(4), width)
+                elements, inside, sizes, outside = [], [], [], []
+                for i, low in enumerate(part.column(3).to_pylist()):
+                    mine = own[own_starts[i] : own_starts[i + 1]]
+                    shared = np.isin(mine, other[other_starts[i] : other_starts[i + 1]], assume_unique=True)
+                    # so little in the pivot that no partner finds enough there
+                    if (part_of + whole) * int(shared.sum()) < part_of * (len(mine) + low):
+                        mine, shared = mine[~shared], shared[~shared]
+                    elements.append(mine)
+                    inside.append(shared)
+                    sizes.append(len(mine))
+                    outside.append(len(mine) - int(shared.sum()))
+                row = pa.array(np.repeat(np.arange(len(part)), sizes))
+                columns = [part.column(i).take(row) for i in range(3)]
+                yield pa.RecordBatch.from_arrays(
+                    [*columns, pa.array(np.concatenate(elements).astype(np.int64)), pa.array(np.concatenate(inside)), pa.array(np.repeat(np.array(outside, np.int64), sizes))],
+                    ["a", "set_id", "n", "element", "inside", "outside"],
+                )
 
     return run
 
 
-def shared_sizes(texts: DataFrame, wanted: DataFrame, width: int) -> DataFrame:
-    """``owner, lone``: how many shingles of each wanted set lie in no other wanted set; sets without such shingles are absent.
+def best_pivots(led: DataFrame) -> DataFrame:
+    """``bucket, pivot``: for each bucket of ``led`` (bucket, set_id, a) the leader with most sets that any of its sets has met.
 
-    ``owner`` is a 64-bit hash of the set id.  Should two sets share it, their sum is split over nobody: such owners are left
-    out too, which only makes them look more shared.
+    Any set may be a pivot; one in the middle of a family leaves its members the fewest shingles outside.
+    """
+    followers = led.select("a", "set_id").distinct().groupBy("a").agg(F.count(F.lit(1)).alias("met"))
+    best = join_groups(led.select("a", "set_id"), followers, "a", "met").groupBy("set_id").agg(F.max(F.struct("met", "a")).alias("best"))
+    return led.select("bucket", "set_id").join(best, "set_id").groupBy("bucket").agg(F.max("best").alias("best")).select("bucket", F.col("best.a").alias("pivot"))
+
+
+def prefixes(open_sets: DataFrame, texts: DataFrame, width: int, share: tuple[int, int]) -> DataFrame:
+    """``a, set_id, n, c, element``: shingles of which two similar sets of different components have one in common.
+
+    ``open_sets`` (a, set_id, n, low) gives each set the pivot ``a`` of a bucket and the least size ``low`` a partner there may have.
+    For each pivot, order all shingles: those outside the pivot come first, the rarest among its sets first.
+    The first common shingle of two similar sets lies in the first ``n - least + 1`` of both, where ``least`` is the fewest
+    shingles a partner must share.  A set that has less in the pivot than it must share shares something outside it, so its
+    shingles inside are left out; that holds for nearly all sets that are not like the pivot, and a family around one text falls
+    apart by its deviations.  Shingles of a single set come first of all and meet nobody.  Sets without any
+    shingle left are similar to none.  Two sets that meet first in ``element`` share at most ``c`` of either: all but
+    those of a single set, or what lies in the pivot if ``element`` does.
     """
-    rows = texts.join(wanted, "set_id", "left_semi").select("text", F.xxhash64("set_id").alias("owner")).mapInArrow(_elements(width), "element bigint, owner bigint")
-    lone = rows.groupBy("element").agg(F.count(F.lit(1)).alias("n"), F.min("owner").alias("owner")).filter("n = 1").groupBy("owner").agg(F.count(F.lit(1)).alias("lone"))
-    twins = wanted.groupBy(F.xxhash64("set_id").alias("owner")).agg(F.count(F.lit(1)).alias("n")).filter("n > 1").select("owner")
-    return lone.join(twins, "owner", "left_anti")
+    left = texts.select(F.col("set_id").alias("a"), F.col("text").alias("text_a"))
+    both = open_sets.join(texts, "set_id").join(left, "a").select("a", "set_id", "n", "low", "text_a", "text")
+    rows = staged(both.mapInArrow(_apart(width, share), "a binary, set_id binary, n bigint, element bigint, inside boolean, outside bigint"), "near-apart")
+    common = staged(rows.groupBy("a", "element").agg(F.count(F.lit(1)).alias("often")).filter("often > 1"), "near-common")
+    own = Window.partitionBy("a", "set_id")
+    lone = F.col("outside") - F.sum(F.when(F.col("inside"), 0).otherwise(1)).over(own)
+    rank = F.row_number().over(own.orderBy("inside", "often", "element"))
+    placed = join_groups(rows, common, ["a", "element"], "often").withColumns({"lone": lone, "place": lone + rank})
+    longest = F.col("n") - F.ceil(F.col("n") * share[0] / share[1]) + 1
+    return placed.filter(F.col("place") <= longest).select("a", "set_id", "n", F.when(F.col("inside"), F.col("n") - F.col("outside")).otherwise(F.col("n") - F.col("lone")).alias("c"), "element")
 
 
 def verified(pairs: DataFrame, texts: DataFrame, width: int, share: tuple[int, int]) -> DataFrame:
@@ -103,6 +143,8 @@ def components(labels: DataFrame, links: DataFrame) -> DataFrame:
     b = labels.select(F.col("set_id").alias("b"), F.col("label").alias("y"))
     edges = links.join(a, "a").join(b, "b").filter("x <> y").select("x", "y").distinct()
     edges = staged(edges.unionByName(edges.select(F.col("y").alias("x"), F.col("x").alias("y"))).distinct(), "near-edges")
+    if edges.limit(1).count() == 0:
+        return labels
     names = staged(edges.select(F.col("x").alias("v")).distinct().withColumn("to", F.col("v")), "near-names")
     while True:
         least = edges.join(names.select(F.col("v").alias("y"), "to"), "y").groupBy(F.col("x").alias("v")).agg(F.min("to").alias("near"))
@@ -129,8 +171,8 @@ def linked_sets(mates: DataFrame, sets: DataFrame, texts: DataFrame, width: int,
     """``set_id, label``: the components of the sets under verified links.
 
     ``mates`` (bucket, set_id, copies) lists buckets of two or more sets.  First each member of a bucket is compared with its leader,
-    the set with most copies; that joins large groups in linear time.  Sets left in buckets of several components lose
-    what none of them shares with another; with the rest of their shingles most of them can be similar enough to nobody,
+    the set with most copies; that joins large groups in linear time.  Sets left in buckets of several components go on
+    to buckets of single shingles that similar sets must share (``prefixes``); most of them meet nobody there,
     which settles them without a partner.  Then only buckets that still hold sets of different components are gone through, in rounds: a few
     members lead, drawn by hash, more of them in each round, and are compared with every member of another component.  A large family is one
     component after a few leaders, before many could pair.  It ends when each pair that shares a
@@ -143,11 +185,14 @@ def linked_sets(mates: DataFrame, sets: DataFrame, texts: DataFrame, width: int,
     labels = staged(components(sets.select("set_id", F.col("set_id").alias("label")), done.filter("linked")), "near-labels")
     least, most = F.least("a", "b").alias("a"), F.greatest("a", "b").alias("b")
     seen = staged(done.filter("NOT linked").select(least, most).distinct(), "near-seen")
-    rest = mates.select("bucket", "set_id", "n").join(leader.select("bucket", F.col("a").alias("set_id")), ["bucket", "set_id"], "left_anti")
-    rest = staged(several_labels(rest, labels), "near-open")
-    lone = shared_sizes(texts, rest.select("set_id").distinct(), width)
-    rest = rest.withColumn("owner", F.xxhash64("set_id")).join(lone, "owner", "left").withColumn("c", F.col("n") - F.coalesce("lone", F.lit(0)))
-    rest = rest.filter(share[1] * F.col("c") >= share[0] * F.col("n")).select("bucket", "set_id", "n", "c")
+    pivots = leader.join(mates.groupBy("bucket").agg(F.min("n").alias("least")), "bucket")
+    rest = several_labels(mates.select("bucket", "set_id", "n").join(leader.select("bucket", F.col("a").alias("set_id")), ["bucket", "set_id"], "left_anti"), labels)
+    led = staged(rest.select("bucket", "set_id", "n").join(pivots, "bucket"), "near-led")
+    low = F.greatest("least", F.ceil(F.col("n") * share[0] / share[1])).alias("low")
+    sets_of = led.join(best_pivots(led), "bucket").select("pivot", "set_id", "n", low).groupBy(F.col("pivot").alias("a"), "set_id")
+    open_sets = staged(sets_of.agg(F.min("n").alias("n"), F.min("low").alias("low")), "near-open")
+    # from here on a bucket holds sets of one pivot that meet in a shingle of their prefixes
+    rest = staged(prefixes(open_sets, texts, width, share).select(F.xxhash64("a", "element").alias("bucket"), "set_id", "n", "c"), "near-prefixes")
     # two sets share at most what the smaller of their shared parts holds
     fits = (share[0] + share[1]) * F.least("c", "c_a") >= share[0] * (F.col("n") + F.col("n_a"))
     leads_each, turn = LEADS, 0
