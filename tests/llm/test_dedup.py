@@ -106,6 +106,21 @@ def test_near_chains_and_crowds_are_followed(spark, monkeypatch):
     assert collections.Counter((r.id, r.n_shingles, r.component_id) for r in got) == near_by_force(rows, 3, (85, 100))
 
 
+def test_near_families_of_many_edits_lose_no_link(spark):
+    """Members of a family differ from its middle by more and by fewer edits than the threshold allows; edits recur."""
+    draw = random.Random(5)
+    rows = []
+    for family in range(2):
+        base = [f"b{family}_{i}" for i in range(150)]
+        for i in range(110):
+            words = list(base)
+            for _ in range(draw.randrange(3, 9)):
+                words[draw.randrange(0, 150, 12)] = draw.choice(["x", "y", ""])
+            rows.append((family * 1000 + i, " ".join(w for w in words if w), "s"))
+    got = near.near_dedup(documents(spark, rows), width=3, share=(85, 100)).collect()
+    assert collections.Counter((r.id, r.n_shingles, r.component_id) for r in got) == near_by_force(rows, 3, (85, 100))
+
+
 def test_keep_near_and_empty_tables(spark):
     df = table(spark)
     stay = near.keep_near(df)
