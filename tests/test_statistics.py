@@ -2,6 +2,7 @@ import hashlib
 import itertools
 import random
 
+import duckdb
 import numpy as np
 import pytest
 from pyspark.sql import functions as F
@@ -193,3 +194,16 @@ def entry_sql():
     import __spark_entry__
 
     return __spark_entry__.oracle_sql()
+
+
+def test_cells_on_a_limit_as_in_sql(spark, tmp_path):
+    """Pairs of values 40 apart deviate by 20, the limit of D12_quality_limits: the side depends on how the sum is rounded."""
+    from boxlens.plans.catalogue import ORACLES, QUERIES
+    from tests.oracle import compare
+
+    con = duckdb.connect()
+    con.execute("SET threads = 1")
+    con.execute("""CREATE TABLE events AS SELECT 500 * (i // 2) + i % 2 AS event_id, 0::BIGINT AS user_id,
+        CASE WHEN i % 11 < 9 THEN ((i // 2) * 7919 % 16000 + 4000 * (i % 2)) / 100.0e0 END AS value FROM range(8000) r(i)""")
+    con.execute(f"COPY events TO '{tmp_path}/events.parquet' (FORMAT parquet)")
+    assert compare("D12", QUERIES["D12_quality_limits"](spark, str(tmp_path)), con, ORACLES["D12_quality_limits"]) is None
