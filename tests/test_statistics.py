@@ -207,3 +207,63 @@ def test_cells_on_a_limit_as_in_sql(spark, tmp_path):
         CASE WHEN i % 11 < 9 THEN ((i // 2) * 7919 % 16000 + 4000 * (i % 2)) / 100.0e0 END AS value FROM range(8000) r(i)""")
     con.execute(f"COPY events TO '{tmp_path}/events.parquet' (FORMAT parquet)")
     assert compare("D12", QUERIES["D12_quality_limits"](spark, str(tmp_path)), con, ORACLES["D12_quality_limits"]) is None
+
+
+def test_many_keys_hash_as_single_ones():
+    from boxlens.functions import lanes
+
+    for prefix in (b"20261006|all|17|", b"1|", b"x" * 50 + b"|"):
+        for start, stop in ((0, 25), (95, 1203), (9990, 10020), (99_950, 110_050)):
+            got = np.concatenate(list(lanes.numbered(prefix, start, stop)))
+            assert got.tolist() == [lanes.head(prefix + str(k).encode()) for k in range(start, stop)]
+    keys = [str(k).encode() for k in (1, 22, 5, 123456, -4)] + [b"", b"y" * 60]
+    ends = [b"|1", b"|22", b"|1000"]
+    for end, got in zip(ends, lanes.suffixed(b"20261006|", keys, ends)):
+        assert got.tolist() == [lanes.head(b"20261006|" + k + end) for k in keys]
+
+
+@pytest.mark.parametrize("chunk, block", [(1 << 22, 1 << 16), (64, 16), (1 << 22, 16)])
+def test_replicates_over_many_blocks_and_nothing_broadcast(spark, monkeypatch, chunk, block):
+    """Draws cut into chunks and blocks give the sums of a plain loop; no side of a join goes through the driver."""
+    monkeypatch.setattr(E, "CHUNK", chunk)
+    monkeypatch.setattr(E, "BLOCK", block)
+    n, n_boot = 203, 7
+    scores = spark.range(n).selectExpr("id AS image", "'D1' AS detector", "'crack' AS kind", "'in50' AS criterion", "id % 5 AS tp", "id % 7 AS fp", "id % 3 AS fn", "id AS n_det")
+    groups = spark.range(n).selectExpr("id AS image", "explode(array('all', concat('t', id % 2))) AS tag")
+    reps = E.replicates(scores, groups, [("D1", "crack", "in50")], n_boot)
+    got = {(r.tag, r.b): (r.tp, r.fp, r.fn, r.n_det) for r in reps.collect()}
+    want = {}
+    for tag, ids in (("all", range(n)), ("t0", range(0, n, 2)), ("t1", range(1, n, 2))):
+        order = sorted(ids, key=lambda i: hashlib.md5(f"{E.SEED}|{i}".encode()).hexdigest())
+        for b in range(n_boot + 1):
+            picks = order if not b else [order[int(int(hashlib.md5(f"{E.SEED}|{tag}|{b}|{k}".encode()).hexdigest()[:13], 16) / 2.0**52 * len(order))] for k in range(len(order))]
+            want[tag, b] = (sum(i % 5 for i in picks), sum(i % 7 for i in picks), sum(i % 3 for i in picks), sum(picks))
+    assert got == want
+    assert "Broadcast" not in reps._jdf.queryExecution().toString()
+    drawn = E.draws(spark.createDataFrame([("all", n)], "tag string, n bigint"), ["tag"], n_boot)
+    assert drawn.count() <= n_boot * -(-n // min(chunk, n)) * -(-n // block)  # blocks of counts, not a row for each draw
+
+
+def test_two_sample_counts_ties_nulls_and_unequal_sides(spark, monkeypatch):
+    monkeypatch.setattr(E, "BLOCK", 32)
+    n_boot, rng = 6, random.Random(3)
+    rows = [(i, i % 3 == 0, rng.choice([None, 1.0, 2.0, 2.5, 4.0]), float(rng.randrange(6))) for i in range(150)]
+    df = spark.createDataFrame(rows, "key bigint, side boolean, a double, c double")
+    got = {r.statistic: r for r in E.bootstrap_two_sample(df, "key", "side", {"x": "a", "y": "c"}, n_boot, 2.0).collect()}
+    diffs = {"share": [], "auc": []}
+    for b in range(n_boot + 1):
+        drawn = {}
+        for side in (True, False):
+            order = sorted((r for r in rows if r[1] == side), key=lambda r: hashlib.md5(f"{E.SEED}|{r[0]}".encode()).hexdigest())
+            name = str(side).lower()
+            drawn[side] = order if not b else [order[int(int(hashlib.md5(f"{E.SEED}|{name}|{b}|{k}".encode()).hexdigest()[:13], 16) / 2.0**52 * len(order))] for k in range(len(order))]
+        share, auc = [], []
+        for c in (2, 3):
+            share.append(np.mean([r[c] is not None and r[c] >= 2 for r in drawn[True]]) - np.mean([r[c] is not None and r[c] >= 2 for r in drawn[False]]))
+            p, q = ([r[c] for r in drawn[s] if r[c] is not None] for s in (True, False))
+            auc.append(np.mean([(x > y) + (x == y) / 2 for x in p for y in q]))
+        diffs["share"].append(share[1] - share[0])
+        diffs["auc"].append(auc[1] - auc[0])
+    for name, d in diffs.items():
+        assert got[name].delta == pytest.approx(d[0])
+        assert (got[name].lo, got[name].hi) == pytest.approx(tuple(np.percentile(d[1:], [2.5, 97.5])))
