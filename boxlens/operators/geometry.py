@@ -7,6 +7,7 @@ from pyspark.sql import functions as F
 
 from ..functions import boxes as B
 from ..params import ResizeParams
+from ..session import large
 
 
 def crop_geometry(images: DataFrame, default_roi: str = "bottom_half", resize: ResizeParams = ResizeParams()) -> DataFrame:
@@ -66,7 +67,7 @@ def to_crop(boxes: DataFrame, geometry: DataFrame) -> DataFrame:
     def hi(v, axis, size):
         return F.least(F.col(size).cast("double"), (F.col(v) - F.col(f"crop_{axis}")) * F.col(f"scale_{axis}"))
 
-    moved = boxes.join(g, "image").withColumns({
+    moved = boxes.join(large(g), "image").withColumns({
         "x1": lo("x1", "x"), "y1": lo("y1", "y"), "x2": hi("x2", "x", "output_width"), "y2": hi("y2", "y", "output_height"),
     })
     return moved.filter((F.col("x2") > F.col("x1")) & (F.col("y2") > F.col("y1"))).select(*boxes.columns)
@@ -81,7 +82,7 @@ def count_cut(boxes: DataFrame, cropped: DataFrame) -> DataFrame:
 def to_original(det: DataFrame, geometry: DataFrame) -> DataFrame:
     """Detections (x, y, w, h) back in original pixels."""
     g = geometry.select("image", "crop_x", "crop_y", "scale_x", "scale_y")
-    return det.join(g, "image").withColumns({
+    return det.join(large(g), "image").withColumns({
         "x": F.col("x") / F.col("scale_x") + F.col("crop_x"), "y": F.col("y") / F.col("scale_y") + F.col("crop_y"),
         "w": F.col("w") / F.col("scale_x"), "h": F.col("h") / F.col("scale_y"),
     }).select(*det.columns)
@@ -92,7 +93,7 @@ def mask_bbox(mask_pixels: DataFrame, frame: DataFrame, margin: int = 0) -> Data
     box = mask_pixels.groupBy("image").agg(
         F.min("x").alias("x1"), F.min("y").alias("y1"), F.max("x").alias("x2"), F.max("y").alias("y2")
     )
-    j = box.join(frame.select("image", "width", "height"), "image")
+    j = box.join(large(frame.select("image", "width", "height")), "image")
     x0, y0 = F.greatest(F.lit(0), F.col("x1") - margin), F.greatest(F.lit(0), F.col("y1") - margin)
     x9 = F.least(F.col("width"), F.col("x2") + 1 + margin)
     y9 = F.least(F.col("height"), F.col("y2") + 1 + margin)
@@ -131,7 +132,7 @@ def road_overlap(det: DataFrame, mask_pixels: DataFrame, frame: DataFrame, tile:
     def px(c):
         return F.bround(c, 0).cast("bigint")
 
-    j = det.join(f, "image").withColumns({
+    j = det.join(large(f), "image").withColumns({
         "_x1": F.greatest(F.lit(0), px(F.col("x"))), "_y1": F.greatest(F.lit(0), px(F.col("y"))),
     })
     j = j.withColumns({
