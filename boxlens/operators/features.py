@@ -8,7 +8,7 @@ from pyspark.sql import functions as F
 from ..functions import boxes as B
 from ..functions import ratios
 from ..params import INSIDE_SHARE
-from ..session import checkpoint
+from ..session import checkpoint, large
 from .matching import GROUP_PAIR_LIMIT, _greedy_count, _greedy_in_rounds, as_truth, oversized_groups, overlap_pairs
 from .ranks import auc, exact_percentiles
 
@@ -76,16 +76,20 @@ def threshold_sweep(blobs: DataFrame, areas: list[float], elongs: list[float], n
 
     ``blobs`` has area_ratio, elong, inside (boolean) and box (NULL outside). ``upper``: elongation is an upper limit.
     """
-    grid = F.array(*[F.struct(F.lit(float(a)).alias("min_area"), F.lit(float(e)).alias("elong_limit")) for a in areas for e in elongs])
-    rows = blobs.select("area_ratio", "elong", "inside", "box", F.inline(grid))
-    shape = (F.col("elong") < F.col("elong_limit")) if upper else (F.col("elong") >= F.col("elong_limit"))
-    kept = rows.filter((F.col("area_ratio") >= F.col("min_area")) & shape)
-    g = kept.groupBy("min_area", "elong_limit").agg(
-        F.count("*").alias("kept"), F.avg(F.col("inside").cast("int")).alias("purity"), F.count_distinct("box").alias("_b")
-    )
-    empty = blobs.sparkSession.range(1).select(F.inline(grid))
-    full = empty.join(g, ["min_area", "elong_limit"], "left").fillna(0, ["kept", "_b"]).fillna(0.0, ["purity"])
-    out = full.withColumn("recall", F.col("_b") / max(n_boxes, 1)).drop("_b")
+    cells = [(float(a), float(e)) for a in areas for e in elongs]
+    shape = (lambda e: F.col("elong") < e) if upper else (lambda e: F.col("elong") >= e)
+    passes = [F.coalesce((F.col("area_ratio") >= a) & shape(e), F.lit(False)) for a, e in cells]
+    counts = blobs.agg(*[c for i, ok in enumerate(passes) for c in (
+        F.count_if(ok).alias(f"_k{i}"), F.avg(F.when(ok, F.col("inside").cast("int"))).alias(f"_p{i}"))])
+    # a box is one row with a bit for each cell that some blob of it passes
+    words = range(-(-len(cells) // 62))
+    bits = [sum((F.when(ok, F.lit(1 << i % 62)).otherwise(F.lit(0)).cast("bigint") for i, ok in enumerate(passes) if i // 62 == w), F.lit(0).cast("bigint")) for w in words]
+    boxes = blobs.filter("box IS NOT NULL").select("box", *[c.alias(f"_w{w}") for w, c in enumerate(bits)]).groupBy("box").agg(*[F.bit_or(f"_w{w}").alias(f"_w{w}") for w in words])
+    found = boxes.agg(*[F.count_if(F.getbit(F.col(f"_w{i // 62}"), F.lit(i % 62)) == 1).alias(f"_b{i}") for i in range(len(cells))])
+    rows = F.array(*[F.struct(
+        F.lit(a).alias("min_area"), F.lit(e).alias("elong_limit"), F.col(f"_k{i}").alias("kept"), F.coalesce(f"_p{i}", F.lit(0.0)).alias("purity"), F.col(f"_b{i}").alias("_b")
+    ) for i, (a, e) in enumerate(cells)])
+    out = counts.crossJoin(found).select(F.inline(rows)).withColumn("recall", F.col("_b") / max(n_boxes, 1)).drop("_b")
     return out.withColumn("f1", ratios.harmonic(F.col("purity"), F.col("recall")))
 
 
@@ -114,7 +118,7 @@ def grid_search(
         return df.select("*", F.inline(settings)).filter(ok).drop(*[f"_lim_{n}" for n in names])
 
     split = images.select("image", "split")
-    n_det = passing(cands).join(split, "image").groupBy("grid", "split").agg(F.count("*").alias("n_det"))
+    n_det = passing(cands).join(large(split), "image").groupBy("grid", "split").agg(F.count("*").alias("n_det"))
     pairs = overlap_pairs(cands, as_truth(truth.select("image", "kind", "gid", *B.DET_BOX)), ["image", "kind"], tile=tile)
     pairs = pairs.withColumn("inside", B.inside_share()).filter(F.col("inside") >= INSIDE_SHARE).select("image", "kind", "did", "gid", "inside", *names)
     by, keys = ["grid", "image", "kind"], ["image", "kind"]
@@ -132,9 +136,9 @@ def grid_search(
         tp = _greedy_in_rounds(hot, by).groupBy(*by).agg(F.count("*").alias("tp"))
         inside = hot.groupBy(*by).agg(F.count_distinct("did").alias("inside"))
         per_image = per_image.unionByName(inside.join(tp, by).select("grid", "image", "tp", "inside"))
-    hits = per_image.join(split, "image").groupBy("grid", "split").agg(F.sum("tp").alias("tp"), F.sum("inside").alias("n_inside"))
+    hits = per_image.join(large(split), "image").groupBy("grid", "split").agg(F.sum("tp").alias("tp"), F.sum("inside").alias("n_inside"))
     parts = split.groupBy("split").agg(F.count("*").alias("n_images"))
-    n_gt = truth.join(split, "image").groupBy("split").agg(F.count("*").alias("n_gt"))
+    n_gt = truth.join(large(split), "image").groupBy("split").agg(F.count("*").alias("n_gt"))
     base = parts.join(n_gt, "split", "left").withColumn("grid", F.explode(F.sequence(F.lit(0), F.lit(len(grid) - 1))))
     rows = base.join(n_det, ["grid", "split"], "left").join(hits, ["grid", "split"], "left").fillna(0)
     return rows.select(
@@ -145,6 +149,7 @@ def grid_search(
 
 def pick_setting(results: DataFrame, budget: float, part: str = "tune") -> DataFrame:
     """Most hits within the fakes-per-image budget on ``part``, then fewest fakes; the row of every part of that setting."""
+    results = checkpoint(results)  # a row for each setting and part, read twice
     fit = results.filter((F.col("split") == part) & (F.col("fppi") <= budget))
     best = fit.agg(F.max_by("grid", F.struct("tp", -F.col("fppi"), -F.col("grid"))).alias("grid"))
     return results.join(F.broadcast(best), "grid")

@@ -267,3 +267,26 @@ def test_two_sample_counts_ties_nulls_and_unequal_sides(spark, monkeypatch):
     for name, d in diffs.items():
         assert got[name].delta == pytest.approx(d[0])
         assert (got[name].lo, got[name].hi) == pytest.approx(tuple(np.percentile(d[1:], [2.5, 97.5])))
+
+
+def test_images_are_not_broadcast_to_the_grid(spark):
+    from boxlens.plans.stats_queries import grid_of
+
+    results = grid_of(Inputs(spark, FOLDER))
+    assert "BroadcastHashJoin [image" not in results._jdf.queryExecution().toString()
+    assert sorted(r.split for r in X.pick_setting(results, 1e9).collect()) == ["tune", "val"]
+
+
+def test_threshold_sweep_makes_no_row_for_each_cell(spark):
+    rng = random.Random(2)
+    rows = [(rng.random(), 1 + 4 * rng.random(), box is not None, box) for box in (rng.choice([None, "a", "b", "c", "d"]) for _ in range(60))]
+    df = spark.createDataFrame(rows, "area_ratio double, elong double, inside boolean, box string")
+    areas, elongs = [i / 10 for i in range(9)] + [2.0], [1 + i / 2 for i in range(8)]
+    out = X.threshold_sweep(df, areas, elongs, 5)
+    got = {(r.min_area, r.elong_limit): r for r in out.collect()}
+    assert len(got) == 80
+    for (a, e), r in got.items():
+        kept = [x for x in rows if x[0] >= a and x[1] >= e]
+        p, q = (sum(x[2] for x in kept) / len(kept) if kept else 0.0), len({x[3] for x in kept} - {None}) / 5
+        assert (r.kept, r.purity, r.recall) == (len(kept), pytest.approx(p), pytest.approx(q))
+    assert "Expand" not in out._jdf.queryExecution().toString()
