@@ -117,7 +117,7 @@ def pixels_in_boxes(pixels: DataFrame, boxes: DataFrame, box: B.Box = B.DET_BOX,
     p = pixels.withColumn("_tx", F.floor(F.col("x") / tile)).withColumn("_ty", F.floor(F.col("y") / tile))
     b = box_tiles(boxes, box, tile)
     x1, y1, x2, y2 = map(F.col, box)
-    return p.join(b, [*on, "_tx", "_ty"]).filter(
+    return p.join(large(b), [*on, "_tx", "_ty"]).filter(
         (F.col("x") >= x1) & (F.col("x") < x2) & (F.col("y") >= y1) & (F.col("y") < y2)
     ).drop("_tx", "_ty")
 

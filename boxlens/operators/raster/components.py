@@ -6,7 +6,7 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from ...params import MaskRules
-from ...session import checkpoint
+from ...session import checkpoint, large
 from . import grid as G
 
 BAND = 256
@@ -306,7 +306,7 @@ def piece_endpoints(trace: DataFrame, radius: int = 6, min_pixels: int = 5) -> D
     """Ends of thin pieces: pixels with one 8-neighbour, their outward direction from the piece's nearby pixels, and the
     piece's principal angle in degrees. ``trace`` has image, y, x, label."""
     big = trace.join(
-        trace.groupBy("image", "label").agg(F.count("*").alias("n")).filter(F.col("n") >= min_pixels).select("image", "label"), ["image", "label"]
+        large(trace.groupBy("image", "label").agg(F.count("*").alias("n")).filter(F.col("n") >= min_pixels).select("image", "label")), ["image", "label"]
     )
     pts = big.select("image", "y", "x", "label")
 
@@ -316,16 +316,16 @@ def piece_endpoints(trace: DataFrame, radius: int = 6, min_pixels: int = 5) -> D
             "image", "label", F.col("y").alias("ey"), F.col("x").alias("ex"), (F.col("y") + F.col("_m.dy")).alias("y"), (F.col("x") + F.col("_m.dx")).alias("x")
         )
 
-    near = around(pts, 1).join(pts, ["image", "label", "y", "x"]).groupBy("image", "label", "ey", "ex").agg(F.count("*").alias("k"))
+    near = around(pts, 1).join(large(pts), ["image", "label", "y", "x"]).groupBy("image", "label", "ey", "ex").agg(F.count("*").alias("k"))
     ends = near.filter("k = 2").select("image", "label", F.col("ey").alias("y"), F.col("ex").alias("x"))
-    mean = around(ends, radius).join(pts, ["image", "label", "y", "x"]).groupBy("image", "label", "ey", "ex").agg(
+    mean = around(ends, radius).join(large(pts), ["image", "label", "y", "x"]).groupBy("image", "label", "ey", "ex").agg(
         F.avg("x").alias("mx"), F.avg("y").alias("my"), F.count("*").alias("n")
     )
     dx, dy = F.col("ex") - F.col("mx"), F.col("ey") - F.col("my")
     size = F.hypot(dx, dy)
     out = mean.filter((F.col("n") >= 3) & (size >= 1e-3))
     angle = principal_axes(pts, ["image", "label"]).select("image", "label", F.pmod(F.degrees("theta"), F.lit(180.0)).alias("angle"))
-    return out.join(angle, ["image", "label"]).select(
+    return out.join(large(angle), ["image", "label"]).select(
         "image", "label", F.col("ey").alias("y"), F.col("ex").alias("x"), (F.col("ey") * 1000000 + F.col("ex")).alias("pid"),
         (dx / size).alias("ux"), (dy / size).alias("uy"), "angle",
     )
@@ -373,7 +373,7 @@ def box_state(labelled: DataFrame, boxes: DataFrame, by: list[str] | None = None
     whole = labelled.groupBy(*by, "label").agg(F.min("x").alias("cx1"), F.min("y").alias("cy1"), (F.max("x") + 1).alias("cx2"), (F.max("y") + 1).alias("cy2"))
     inside = pixels_in_boxes(labelled, sized, tile=tile).groupBy(*by, "did", "label", "side", "_x1", "_y1", "_x2", "_y2").agg(
         F.greatest(F.max("x") - F.min("x") + 1, F.max("y") - F.min("y") + 1).alias("s")
-    ).filter(F.col("s") / F.col("side") >= 0.5).join(whole, [*by, "label"])
+    ).filter(F.col("s") / F.col("side") >= 0.5).join(large(whole), [*by, "label"])
     iw = F.greatest(F.least("cx2", "_x2") - F.greatest("cx1", "_x1"), F.lit(0.0))
     ih = F.greatest(F.least("cy2", "_y2") - F.greatest("cy1", "_y1"), F.lit(0.0))
     area = F.greatest((F.col("cx2") - F.col("cx1")) * (F.col("cy2") - F.col("cy1")), F.lit(1.0))
@@ -381,6 +381,6 @@ def box_state(labelled: DataFrame, boxes: DataFrame, by: list[str] | None = None
     extra = [c for c in by if c != "image"]
     if extra:
         # a box without any spanning part still gets a row per level
-        sized = sized.join(labelled.select(*by).distinct(), "image")
-    out = sized.join(best, [*by, "did"], "left")
+        sized = sized.join(large(labelled.select(*by).distinct()), "image")
+    out = sized.join(large(best), [*by, "did"], "left")
     return out.select(*by, "did", F.when(F.col("r") == 2, "M").when(F.col("r") == 1, "overflow").otherwise("short").alias("state"))

@@ -11,7 +11,7 @@ from functools import reduce
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from ...session import stored
+from ...session import large, stored
 from ..geometry import pixels_in_boxes
 from ..points import link_endpoints
 from .components import box_state, piece_endpoints
@@ -32,8 +32,8 @@ def _roots(best: DataFrame, by: list[str]) -> DataFrame:
     """
     back = best.select(*by, F.col("a").alias("b"), F.col("u").alias("bu"), F.col("v").alias("bv"))
     same = (F.col("bu") == F.col("u")) & (F.col("bv") == F.col("v")) & (F.col("a") < F.col("b"))
-    to = best.join(back, [*by, "b"]).select(*by, "a", F.when(same, F.col("a")).otherwise(F.col("b")).alias("to"))
-    follow = lambda p: p.join(p.select(*by, F.col("a").alias("to"), F.col("to").alias("far")), [*by, "to"]).select(*by, "a", "to", "far")
+    to = best.join(large(back), [*by, "b"]).select(*by, "a", F.when(same, F.col("a")).otherwise(F.col("b")).alias("to"))
+    follow = lambda p: p.join(large(p.select(*by, F.col("a").alias("to"), F.col("to").alias("far"))), [*by, "to"]).select(*by, "a", "to", "far")
     while True:
         for _ in range(2):
             to = follow(to).select(*by, "a", F.col("far").alias("to"))
@@ -42,7 +42,7 @@ def _roots(best: DataFrame, by: list[str]) -> DataFrame:
             break
         to = step.select(*by, "a", F.col("far").alias("to"))
     least = step.groupBy(*by, "far").agg(F.min("a").alias("root"))
-    return step.join(least, [*by, "far"]).select(*by, F.col("a").alias("v"), "root")
+    return step.join(large(least), [*by, "far"]).select(*by, F.col("a").alias("v"), "root")
 
 
 def neighbour_edges(pixels: DataFrame, score: str, by: list[str]) -> DataFrame:
@@ -51,13 +51,13 @@ def neighbour_edges(pixels: DataFrame, score: str, by: list[str]) -> DataFrame:
     here = pixels.select(*by, node_of(F.col("y"), F.col("x")).alias("u"), F.col(score).alias("su"), "y", "x", moves.alias("m"))
     here = here.select(*by, "u", "su", (F.col("y") + F.col("m.dy")).alias("y"), (F.col("x") + F.col("m.dx")).alias("x"))
     there = pixels.select(*by, "y", "x", F.col(score).alias("sv"))
-    return here.join(there, [*by, "y", "x"]).select(*by, "u", node_of(F.col("y"), F.col("x")).alias("v"), F.least("su", "sv").cast("double").alias("weight"))
+    return here.join(large(there), [*by, "y", "x"]).select(*by, "u", node_of(F.col("y"), F.col("x")).alias("v"), F.least("su", "sv").cast("double").alias("weight"))
 
 
 def _lifted(edges: DataFrame, labels: DataFrame, by: list[str]) -> DataFrame:
     """``edges`` (u, v, weight) with the labels of their ends in a < b, the best of each pair of labels only."""
     at = lambda c, to: labels.select(*by, F.col("node").alias(c), F.col("label").alias(to))
-    met = edges.join(at("u", "p"), [*by, "u"]).join(at("v", "q"), [*by, "v"]).filter("p <> q")
+    met = edges.join(large(at("u", "p")), [*by, "u"]).join(large(at("v", "q")), [*by, "v"]).filter("p <> q")
     return _best(met.select(*by, F.least("p", "q").alias("a"), F.greatest("p", "q").alias("b"), "u", "v", "weight"), by)
 
 
@@ -85,7 +85,7 @@ def spanning_forest(nodes: DataFrame, edges: DataFrame, cuts: int, by: list[str]
             chosen = stored(best.select(*by, "a", "e.*"))
             forest.append(chosen.select(*by, "u", "v", "weight", F.lit(k).alias("cut")).distinct())
             roots = _roots(chosen, by)
-            labels = stored(labels.join(roots.select(*by, F.col("v").alias("label"), "root"), [*by, "label"], "left").select(*by, "node", F.coalesce("root", "label").alias("label")))
+            labels = stored(labels.join(large(roots.select(*by, F.col("v").alias("label"), "root")), [*by, "label"], "left").select(*by, "node", F.coalesce("root", "label").alias("label")))
             left = stored(_lifted(left, labels, by))
         found.append(labels.withColumn("cut", F.lit(k)))
     none = edges.select(*by, "u", "v", "weight", F.lit(0).alias("cut")).limit(0)
@@ -112,9 +112,9 @@ def traces(pixels: DataFrame, score: str, levels: list[float], lo_ratio: float)
     edges = stored(neighbour_edges(weak, "score", ["image"]).withColumn("first", first_cut(F.col("weight"), lows, True)))
     labels, _ = spanning_forest(nodes, edges, len(levels), ["image"])
     scored = weak.select("image", "y", "x", "score", node_of(F.col("y"), F.col("x")).alias("node"))
-    named = labels.join(scored, ["image", "node"]).withColumn("level", F.element_at(F.array(*[F.lit(v) for v in levels]), F.col("cut") + 1))
+    named = labels.join(large(scored), ["image", "node"]).withColumn("level", F.element_at(F.array(*[F.lit(v) for v in levels]), F.col("cut") + 1))
     strong = named.groupBy("image", "level", "label").agg(F.max("score").alias("top")).filter("top >= level").drop("top")
-    return named.join(strong, ["image", "level", "label"]).select("image", "level", "y", "x", "label")
+    return named.join(large(strong), ["image", "level", "label"]).select("image", "level", "y", "x", "label")
 
 
 def linked_traces(trace: DataFrame, distances: list[float], angle: float = 30.0, radius: int = 6, min_pixels: int = 3) -> DataFrame:
@@ -130,18 +130,18 @@ def linked_traces(trace: DataFrame, distances: list[float], angle: float = 30.0,
     ends = stored(piece_endpoints(keyed.drop("level"), radius, min_pixels))
     links = link_endpoints(ends.select("image", "pid", "x", "y", "label", "ux", "uy"), distances[-1], angle)
     end = lambda pid, s: ends.select("image", F.col("pid").alias(pid), F.col("label").alias(f"l{s}"), F.col("x").alias(f"x{s}"), F.col("y").alias(f"y{s}"))
-    links = stored(links.join(end("pid", 1), ["image", "pid"]).join(end("other", 2), ["image", "other"]).withColumn("first", first_cut(F.col("dist"), distances, False)))
+    links = stored(links.join(large(end("pid", 1)), ["image", "pid"]).join(large(end("other", 2)), ["image", "other"]).withColumn("first", first_cut(F.col("dist"), distances, False)))
     pieces = keyed.select("image", F.col("label").alias("node")).distinct().withColumn("first", F.lit(0))
     groups, _ = spanning_forest(pieces, links.select("image", F.col("l1").alias("u"), F.col("l2").alias("v"), (-F.col("dist")).alias("weight"), "first"), len(distances), ["image"])
     groups = stored(groups)
-    of_trace = keyed.select("image", "y", "x", F.col("label").alias("node")).join(groups, ["image", "node"]).select("image", "cut", "y", "x", "label")
+    of_trace = keyed.select("image", "y", "x", F.col("label").alias("node")).join(large(groups), ["image", "node"]).select("image", "cut", "y", "x", "label")
     n = F.greatest(F.abs(F.col("x2") - F.col("x1")), F.abs(F.col("y2") - F.col("y1")))
     step = lambda a, b: F.col(a) + F.floor((2 * (F.col(b) - F.col(a)) * F.col("i") + F.col("n")) / (2 * F.col("n"))).cast("bigint")
     line = links.withColumn("n", n).withColumn("i", F.explode(F.sequence(F.lit(0).cast("bigint"), F.col("n").cast("bigint"))))
-    drawn = line.select("image", F.col("l1").alias("node"), "first", step("y1", "y2").alias("y"), step("x1", "x2").alias("x")).join(keyed.select("image", "y", "x"), ["image", "y", "x"], "left_anti")
-    of_lines = drawn.join(groups, ["image", "node"]).filter(F.col("cut") >= F.col("first")).select("image", "cut", "y", "x", "label").distinct()
+    drawn = line.select("image", F.col("l1").alias("node"), "first", step("y1", "y2").alias("y"), step("x1", "x2").alias("x")).join(large(keyed.select("image", "y", "x")), ["image", "y", "x"], "left_anti")
+    of_lines = drawn.join(large(groups), ["image", "node"]).filter(F.col("cut") >= F.col("first")).select("image", "cut", "y", "x", "label").distinct()
     named = keys.select(key.alias("key"), "image", "level")
-    out = of_trace.unionByName(of_lines).withColumnRenamed("image", "key").join(named, "key")
+    out = of_trace.unionByName(of_lines).withColumnRenamed("image", "key").join(large(named), "key")
     return out.select("image", "level", F.element_at(F.array(*[F.lit(d) for d in distances]), F.col("cut") + 1).alias("distance"), "y", "x", "label")
 
 
@@ -152,7 +152,7 @@ def box_states(groups: DataFrame, boxes: DataFrame, levels: list[float], distanc
     wide = F.least(F.ceil("x2") - F.greatest(F.floor("x1"), F.lit(0)), F.ceil("y2") - F.greatest(F.floor("y1"), F.lit(0))) >= 2
     asked = boxes.select("image", "did", "is_truth", wide.alias("wide"), all_cuts)
     found = box_state(groups, boxes.select("image", "did", "x1", "y1", "x2", "y2"), by)
-    return asked.join(found, [*by, "did"], "left").select(*by, "did", "is_truth", F.when(F.col("wide"), F.coalesce("state", F.lit("short"))).alias("state"))
+    return asked.join(large(found), [*by, "did"], "left").select(*by, "did", "is_truth", F.when(F.col("wide"), F.coalesce("state", F.lit("short"))).alias("state"))
 
 
 def empty_boxes(trace: DataFrame, boxes: DataFrame, levels: list[float], tile: float = 64.0) -> DataFrame:
@@ -160,7 +160,7 @@ def empty_boxes(trace: DataFrame, boxes: DataFrame, levels: list[float], tile: f
     whole = boxes.filter("is_truth").select("image", "did", *[F.greatest(F.floor(c), F.lit(0)).cast("double").alias(c) for c in ("x1", "y1")], *[F.ceil(c).cast("double").alias(c) for c in ("x2", "y2")])
     met = pixels_in_boxes(trace.select("image", "level", "y", "x"), whole, tile=tile).select("image", "level", "did").distinct().withColumn("met", F.lit(True))
     asked = whole.select("image", "did", F.explode(F.array(*[F.lit(float(v)) for v in levels])).alias("level"))
-    return asked.join(met, ["image", "level", "did"], "left").groupBy("level").agg(F.avg(F.col("met").isNull().cast("int")).alias("empty"))
+    return asked.join(large(met), ["image", "level", "did"], "left").groupBy("level").agg(F.avg(F.col("met").isNull().cast("int")).alias("empty"))
 
 
 def long_groups(groups: DataFrame, boxes: DataFrame, images: DataFrame, levels: list[float], distances: list[float], pixels: int = 60) -> DataFrame:
@@ -180,8 +180,8 @@ def long_groups(groups: DataFrame, boxes: DataFrame, images: DataFrame, levels:
     truth = tiles(boxes.filter("is_truth").select("image", "x1", "y1", "x2", "y2")).select("image", "tx", "ty", *[F.col(c).alias(f"b{c}") for c in ("x1", "y1", "x2", "y2")])
     w, h = (F.greatest(F.least(f"{c}2", f"b{c}2") - F.greatest(f"{c}1", f"b{c}1"), F.lit(0.0)) for c in "xy")
     inside = w * h >= 0.5 * F.greatest((F.col("x2") - F.col("x1")) * (F.col("y2") - F.col("y1")), F.lit(1.0))
-    own = tiles(g).join(truth, ["image", "tx", "ty"]).filter(inside).select(*by, "label").distinct()
-    counted = g.join(own, [*by, "label"], "left_anti").groupBy("level", "distance").agg(F.count(F.lit(1)).alias("n"))
+    own = tiles(g).join(large(truth), ["image", "tx", "ty"]).filter(inside).select(*by, "label").distinct()
+    counted = g.join(large(own), [*by, "label"], "left_anti").groupBy("level", "distance").agg(F.count(F.lit(1)).alias("n"))
     cuts = F.inline(F.array(*[F.struct(F.lit(float(v)).alias("level"), F.lit(float(d)).alias("distance")) for v in levels for d in distances]))
     of_all = images.select("image").distinct().agg(F.count(F.lit(1)).alias("images")).select("images", cuts)
     return of_all.join(counted, ["level", "distance"], "left").select("level", "distance", (F.coalesce("n", F.lit(0)) / F.col("images")).alias("n_long"))

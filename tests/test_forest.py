@@ -106,3 +106,12 @@ def test_window_median_at_tile_and_frame_borders(spark):
             for y, x in np.ndindex(r.shape):
                 want[i, y, x] = np.median(wide[y : y + 2 * radius + 1, x : x + 2 * radius + 1])
         assert got == want
+
+
+def test_joins_of_traces_are_merged(spark):
+    """Small as these tables are, none is gathered on the driver: at size they grow with the pixels."""
+    from boxlens.operators.raster import forest
+
+    rows = [(i, y, x, float((x * 31 + y * 17 + i) % 60 + 120)) for i in range(2) for y in range(5) for x in range(5)]
+    out = forest.traces(spark.createDataFrame(rows, "image long, y long, x long, v double"), "v", [150.0], 0.94)
+    assert "BroadcastHashJoin" not in out._jdf.queryExecution().executedPlan().toString() and out.count() > 0
