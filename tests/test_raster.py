@@ -346,3 +346,12 @@ def test_rough_candidates_respect_the_area_limits(spark):
     m[5:15, 5:15], m[20:22, 20:22], m[25:40, 0:39] = 1, 1, 1
     got = CU.rough_candidates(table(spark, {1: m}), F.col("v") == 1, 0.02, 0.2).collect()
     assert [(c.x1, c.y1, c.x2, c.y2, c.area) for c in got] == [(5.0, 5.0, 15.0, 15.0, 100)]
+
+
+def test_equalisation_repeats_no_pixel(spark):
+    """A tile's table is one row and a pixel meets one row of four tables: no sort of tables, no regrouping of pixels."""
+    from boxlens.operators.raster import grid
+
+    px = spark.range(400).selectExpr("1L AS image", "id DIV 20 AS y", "id % 20 AS x", "double(id % 256) AS v", "20L AS w", "20L AS h")
+    out = grid.equalize_tiles(px, "v", 2.0, 4)
+    assert "Window" not in out._jdf.queryExecution().optimizedPlan().toString() and out.count() == 400
