@@ -8,7 +8,7 @@ from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import DataFrame, Window
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from .common import join_groups, maybe_in, row_hash, rows_kept, staged, whole_text
@@ -61,67 +61,82 @@ def _verify(width: int, share: tuple[int, int]):
     return run
 
 
-def _apart(width: int, share: tuple[int, int]):
-    part_of, whole = share
-
+def _elements(width: int):
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             for part in slices(batch, 4, 1_000_000):
-                own, own_starts = shingle_sets(part.column(5), width)
-                other, other_starts = shingle_sets(part.column(4), width)
-                elements, inside, sizes, outside = [], [], [], []
-                for i, low in enumerate(part.column(3).to_pylist()):
-                    mine = own[own_starts[i] : own_starts[i + 1]]
-                    shared = np.isin(mine, other[other_starts[i] : other_starts[i + 1]], assume_unique=True)
-                    # so little in the pivot that no partner finds enough there
-                    if (part_of + whole) * int(shared.sum()) < part_of * (len(mine) + low):
-                        mine, shared = mine[~shared], shared[~shared]
-                    elements.append(mine)
-                    inside.append(shared)
-                    sizes.append(len(mine))
-                    outside.append(len(mine) - int(shared.sum()))
-                row = pa.array(np.repeat(np.arange(len(part)), sizes))
-                columns = [part.column(i).take(row) for i in range(3)]
-                yield pa.RecordBatch.from_arrays(
-                    [*columns, pa.array(np.concatenate(elements).astype(np.int64)), pa.array(np.concatenate(inside)), pa.array(np.repeat(np.array(outside, np.int64), sizes))],
-                    ["a", "set_id", "n", "element", "inside", "outside"],
-                )
+                elements, starts = shingle_sets(part.column(4), width)
+                lists = pa.ListArray.from_arrays(pa.array(starts.astype(np.int32)), pa.array(elements.astype(np.int64)))
+                yield pa.RecordBatch.from_arrays([*part.columns[:4], lists], ["a", "set_id", "n", "low", "elements"])
 
     return run
 
 
 def best_pivots(led: DataFrame) -> DataFrame:
-    """``bucket, pivot``: for each bucket of ``led`` (bucket, set_id, a) the leader with most sets that any of its sets has met.
+    """``bucket, pivot``: for each bucket of ``led`` (bucket, set_id, a) the leader with most sets that any of its sets has met, which names a group of buckets.
 
-    Any set may be a pivot; one in the middle of a family leaves its members the fewest shingles outside.
+    A pair that shares a bucket is in one group, however groups are drawn; a family in one group is compared with one core.
     """
     followers = led.select("a", "set_id").distinct().groupBy("a").agg(F.count(F.lit(1)).alias("met"))
     best = join_groups(led.select("a", "set_id"), followers, "a", "met").groupBy("set_id").agg(F.max(F.struct("met", "a")).alias("best"))
     return led.select("bucket", "set_id").join(best, "set_id").groupBy("bucket").agg(F.max("best").alias("best")).select("bucket", F.col("best.a").alias("pivot"))
 
 
-def prefixes(open_sets: DataFrame, texts: DataFrame, width: int, share: tuple[int, int]) -> DataFrame:
-    """``a, set_id, n, c, element``: shingles of which two similar sets of different components have one in common.
+def deviations(open_sets: DataFrame, texts: DataFrame, width: int, share: tuple[int, int]) -> DataFrame:
+    """``a, set_id, n, low, size, inside, good, extra, missing``: each open set by what tells it from the core of its group.
 
-    ``open_sets`` (a, set_id, n, low) gives each set the pivot ``a`` of a bucket and the least size ``low`` a partner there may have.
-    For each pivot, order all shingles: those outside the pivot come first, the rarest among its sets first.
-    The first common shingle of two similar sets lies in the first ``n - least + 1`` of both, where ``least`` is the fewest
-    shingles a partner must share.  A set that has less in the pivot than it must share shares something outside it, so its
-    shingles inside are left out; that holds for nearly all sets that are not like the pivot, and a family around one text falls
-    apart by its deviations.  Shingles of a single set come first of all and meet nobody.  Sets without any
-    shingle left are similar to none.  Two sets that meet first in ``element`` share at most ``c`` of either: all but
-    those of a single set, or what lies in the pivot if ``element`` does.
+    ``open_sets`` (a, set_id, n, low) gives each set its group ``a`` and the least size ``low`` a partner there may have.  The core, of
+    ``size`` shingles, holds those that more than half of the group's sets have, which need not be a set of the table: it lies in
+    the middle of a family whatever each member has lost.  ``inside`` counts a set's shingles in the core, ``extra`` are its others, and
+    ``missing`` are the core's that it lacks, or null where a set has so little in the core that any partner shares an extra one.
     """
-    left = texts.select(F.col("set_id").alias("a"), F.col("text").alias("text_a"))
-    both = open_sets.join(texts, "set_id").join(left, "a").select("a", "set_id", "n", "low", "text_a", "text")
-    rows = staged(both.mapInArrow(_apart(width, share), "a binary, set_id binary, n bigint, element bigint, inside boolean, outside bigint"), "near-apart")
-    common = staged(rows.groupBy("a", "element").agg(F.count(F.lit(1)).alias("often")).filter("often > 1"), "near-common")
-    own = Window.partitionBy("a", "set_id")
-    lone = F.col("outside") - F.sum(F.when(F.col("inside"), 0).otherwise(1)).over(own)
-    rank = F.row_number().over(own.orderBy("inside", "often", "element"))
-    placed = join_groups(rows, common, ["a", "element"], "often").withColumns({"lone": lone, "place": lone + rank})
-    longest = F.col("n") - F.ceil(F.col("n") * share[0] / share[1]) + 1
-    return placed.filter(F.col("place") <= longest).select("a", "set_id", "n", F.when(F.col("inside"), F.col("n") - F.col("outside")).otherwise(F.col("n") - F.col("lone")).alias("c"), "element")
+    part_of, both = share[0], share[0] + share[1]
+    found = open_sets.join(texts, "set_id").select("a", "set_id", "n", "low", "text")
+    sets = staged(found.mapInArrow(_elements(width), "a binary, set_id binary, n bigint, low bigint, elements array<bigint>"), "near-elements")
+    members = sets.groupBy("a").agg(F.count(F.lit(1)).alias("members"))
+    often = sets.select("a", F.explode("elements").alias("element")).groupBy("a", "element").agg(F.count(F.lit(1)).alias("often")).filter("often > 1")
+    cores = often.join(members, "a").filter("2 * often > members").groupBy("a").agg(F.collect_list("element").alias("core"))
+    groups = staged(members.join(cores, "a", "left").select("a", "members", F.coalesce("core", F.array().cast("array<bigint>")).alias("core")), "near-cores")
+    extra, size = F.array_except("elements", "core"), F.size("core").cast("bigint")
+    rows = join_groups(sets, groups, "a", "members").select("a", "set_id", "n", "low", "elements", "core", size.alias("size"), extra.alias("extra"))
+    rows = rows.withColumn("inside", F.col("n") - F.size("extra")).withColumn("good", both * F.col("inside") - part_of * F.col("n"))
+    missing = F.when(both * F.col("inside") >= part_of * (F.col("n") + F.col("low")), F.array_except("core", "elements"))
+    return staged(rows.select("a", "set_id", "n", "low", "size", "inside", "good", "extra", missing.alias("missing")), "near-apart")
+
+
+def best_of_groups(apart: DataFrame) -> DataFrame:
+    """``a, best, best_good``: of each group the set that lies closest to its core."""
+    best = apart.filter("missing IS NOT NULL").groupBy("a").agg(F.max(F.struct("good", "set_id")).alias("best"))
+    return best.select("a", F.col("best.set_id").alias("best"), F.col("best.good").alias("best_good"))
+
+
+def meetings(apart: DataFrame, best: DataFrame, share: tuple[int, int]) -> DataFrame:
+    """``a, set_id, n, size, inside, good, lacks, element, left``: where two similar sets meet that the core alone does not decide.
+
+    Write i for what a set has in the core of k shingles.  Two sets share at least i + i' - k shingles there, so those for which that is enough
+    (``good`` + ``good``' >= both * k) are similar for certain, and the best set of the group is similar to either.  Any others that are similar share an
+    extra shingle or miss one in common.  Ordered by rarity, all that they share of a kind lies behind the first common one, so there neither
+    may have too few ``left``: see ``may_link``.  Shingles that one set alone has or misses meet nobody.
+    """
+    part_of, both = share[0], share[0] + share[1]
+    told = ["a", "set_id", "n", "low", "size", "inside", "good"]
+    extra = apart.select(*told, F.lit(False).alias("lacks"), F.explode("extra").alias("element"))
+    rows = extra.unionByName(apart.select(*told, F.lit(True).alias("lacks"), F.explode("missing").alias("element")))
+    common = staged(rows.groupBy("a", "lacks", "element").agg(F.count(F.lit(1)).alias("often")).filter("often > 1"), "near-common")
+    met = join_groups(rows, common, ["a", "lacks", "element"], "often")
+    behind = Window.partitionBy("a", "set_id", "lacks").orderBy(F.desc("often"), F.desc("element"))
+    met = met.withColumn("left", F.row_number().over(behind).cast("bigint")).join(best.select("a", "best_good"), "a", "left")
+    shares = both * (F.col("left") + F.col("inside")) >= part_of * (F.col("n") + F.col("low"))
+    lacking = F.col("good") + F.col("best_good") + both * F.col("left") >= both * F.col("size")
+    return met.filter(F.when(F.col("lacks"), lacking).otherwise(shares)).select("a", "set_id", "n", "size", "inside", "good", "lacks", "element", "left")
+
+
+def may_link(share: tuple[int, int]) -> Column:
+    """Whether two sets may be similar that share at most ``left`` and ``left_a`` extra shingles, or miss at most as many in common and share no extra one."""
+    part_of, both = share[0], share[0] + share[1]
+    left = both * F.least("left", "left_a")
+    shares = left + both * F.least("inside", "inside_a") >= part_of * (F.col("n") + F.col("n_a"))
+    return F.when(F.col("lacks"), left + F.col("good") + F.col("good_a") >= both * F.col("size")).otherwise(shares)
 
 
 def verified(pairs: DataFrame, texts: DataFrame, width: int, share: tuple[int, int]) -> DataFrame:
@@ -171,12 +186,12 @@ def linked_sets(mates: DataFrame, sets: DataFrame, texts: DataFrame, width: int,
     """``set_id, label``: the components of the sets under verified links.
 
     ``mates`` (bucket, set_id, copies) lists buckets of two or more sets.  First each member of a bucket is compared with its leader,
-    the set with most copies; that joins large groups in linear time.  Sets left in buckets of several components go on
-    to buckets of single shingles that similar sets must share (``prefixes``); most of them meet nobody there,
+    the set with most copies; that joins large groups in linear time.  Sets left in buckets of several components are told by their ``deviations``
+    from the core of a group.  Those that the core alone makes similar are compared with the best set of their group, one pair for each set.  All
+    others go on to buckets of single deviations that similar sets must have in common (``meetings``); most of them meet nobody there,
     which settles them without a partner.  Then only buckets that still hold sets of different components are gone through, in rounds: a few
-    members lead, drawn by hash, more of them in each round, and are compared with every member of another component.  A large family is one
-    component after a few leaders, before many could pair.  It ends when each pair that shares a
-    bucket is linked, in one component, or refuted (by sizes alone, of the sets or their shared parts, where those do not allow it).
+    members lead, drawn by hash, more of them in each round, and are compared with every member of another component that ``may_link``.  It ends when
+    each pair that shares a bucket is linked, in one component, or refuted (by counts alone where those do not allow it).
     """
     fits = share[1] * F.least("n", "n_a") >= share[0] * F.greatest("n", "n_a")  # sets of other sizes cannot be similar enough
     leader = mates.groupBy("bucket").agg(F.min(F.struct(-F.col("copies"), F.col("set_id"), F.col("n"))).alias("lead")).select("bucket", F.col("lead.set_id").alias("a"), F.col("lead.n").alias("n_a"))
@@ -191,10 +206,16 @@ def linked_sets(mates: DataFrame, sets: DataFrame, texts: DataFrame, width: int,
     low = F.greatest("least", F.ceil(F.col("n") * share[0] / share[1])).alias("low")
     sets_of = led.join(best_pivots(led), "bucket").select("pivot", "set_id", "n", low).groupBy(F.col("pivot").alias("a"), "set_id")
     open_sets = staged(sets_of.agg(F.min("n").alias("n"), F.min("low").alias("low")), "near-open")
-    # from here on a bucket holds sets of one pivot that meet in a shingle of their prefixes
-    rest = staged(prefixes(open_sets, texts, width, share).select(F.xxhash64("a", "element").alias("bucket"), "set_id", "n", "c"), "near-prefixes")
-    # two sets share at most what the smaller of their shared parts holds
-    fits = (share[0] + share[1]) * F.least("c", "c_a") >= share[0] * (F.col("n") + F.col("n_a"))
+    apart = deviations(open_sets, texts, width, share)
+    best = staged(best_of_groups(apart), "near-best")
+    near = apart.filter("missing IS NOT NULL").select("a", "set_id", "size", "good").join(best, "a").filter(F.col("good") + F.col("best_good") >= sum(share) * F.col("size"))
+    to_best = near.join(labels, "set_id").join(labels.select(F.col("set_id").alias("best"), F.col("label").alias("label_a")), "best").filter("label <> label_a")
+    done = staged(verified(to_best.select(F.col("best").alias("a"), F.col("set_id").alias("b")).distinct(), texts, width, share), "near-verified")
+    labels = staged(components(labels, done.filter("linked")), "near-labels")
+    # from here on a bucket holds sets of one group that meet in an extra or missing shingle
+    kept = ["bucket", "set_id", "n", "size", "inside", "good", "lacks", "left"]
+    rest = staged(meetings(apart, best, share).withColumn("bucket", F.xxhash64("a", "lacks", "element")).select(*kept), "near-meetings")
+    fits = fits & may_link(share)
     leads_each, turn = LEADS, 0
     while True:
         rest = staged(several_labels(rest, labels), "near-open")
@@ -205,14 +226,14 @@ def linked_sets(mates: DataFrame, sets: DataFrame, texts: DataFrame, width: int,
         rank = F.pmod(F.xxhash64(F.lit(turn), "set_id"), F.lit(1 << 30))
         first = rest.groupBy("bucket").agg(F.min(F.struct(rank.alias("rank"), "set_id")).alias("first")).select("bucket", F.col("first.set_id").alias("first_id"))
         drawn = rank * F.col("members") < F.lit(leads_each << 30)
-        leads = rest.join(first, "bucket").filter(drawn | (F.col("set_id") == F.col("first_id"))).select("bucket", F.col("set_id").alias("a"), F.col("n").alias("n_a"), F.col("c").alias("c_a"), F.col("label").alias("label_a"))
+        leads = rest.join(first, "bucket").filter(drawn | (F.col("set_id") == F.col("first_id"))).select("bucket", F.col("set_id").alias("a"), *[F.col(c).alias(f"{c}_a") for c in ("n", "inside", "good", "left", "label")])
         leads = staged(leads, "near-leads")
         pairs = rest.join(leads, "bucket").filter("label <> label_a").filter(fits).select(F.least("a", "set_id").alias("a"), F.greatest("a", "set_id").alias("b")).distinct()
         new = staged(pairs.join(seen, ["a", "b"], "left_anti"), "near-pairs")
         done = staged(verified(new, texts, width, share), "near-verified")
         labels = staged(components(labels, done.filter("linked")), "near-labels")
         seen = staged(seen.unionByName(done.filter("NOT linked").select(least, most)), "near-seen")
-        rest = rest.select("bucket", "set_id", "n", "c").join(leads.select("bucket", F.col("a").alias("set_id")), ["bucket", "set_id"], "left_anti")
+        rest = rest.select(*kept).join(leads.select("bucket", F.col("a").alias("set_id")), ["bucket", "set_id"], "left_anti")
         leads_each *= STEP
 
 

@@ -121,6 +121,30 @@ def test_near_families_of_many_edits_lose_no_link(spark):
     assert collections.Counter((r.id, r.n_shingles, r.component_id) for r in got) == near_by_force(rows, 3, (85, 100))
 
 
+def test_near_families_of_strangers_are_settled_by_their_deviations(spark, monkeypatch):
+    """Members of a family around a text that is not there, most of them near to no other: few pairs are tried, and no link is lost."""
+    draw, rows, tried = random.Random(7), [], []
+    base = [f"b{i}" for i in range(150)]
+    for i in range(260):
+        words = list(base)
+        for at in draw.sample(range(150), draw.choice([2, 3, 3, 4, 4, 5])):
+            words[at] = draw.choice(["x", "y", "z"])
+        rows.append((i, " ".join(words), "s"))
+    verified = near.verified
+
+    def counted(pairs, *more):
+        tried.append(pairs.count())
+        return verified(pairs, *more)
+
+    monkeypatch.setattr(near, "verified", counted)
+    want = near_by_force(rows, 5, (80, 100))
+    got = near.near_dedup(documents(spark, rows), width=5, share=(80, 100)).collect()
+    assert collections.Counter((r.id, r.n_shingles, r.component_id) for r in got) == want
+    assert 50 < len({c for _, _, c in want}) < 250
+    # the first are those with the leaders of buckets
+    assert sum(tried[1:]) < 3 * len(rows)
+
+
 def test_keep_near_and_empty_tables(spark):
     df = table(spark)
     stay = near.keep_near(df)
