@@ -13,14 +13,20 @@ import pyarrow.compute as pc
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from .common import Memo, read_in_order, whole_text, with_amount_before
+from .common import read_in_order, whole_text, with_amount_before
 
 SCHEMA = "id bigint, n_tokens bigint, ids array<int>"
 #: texts with other or adjacent white space, or white space at an end, are cut more carefully
 ODD = "[\\t\\v\\f\\r\\x1c-\\x1f\\x{85}\\x{a0}\\x{1680}\\x{2000}-\\x{200a}\\x{2028}\\x{2029}\\x{202f}\\x{205f}\\x{3000}]|[ \\n][ \\n]|^[ \\n]|[ \\n]$"
 CUT = re.compile(r"(?<=\S)(?=[ \n]\S)")
-CACHE_LIMIT = 400_000
+CACHE_LIMIT, CACHE_BYTES = 500_000, 64 << 20
 MARKS = ".,;:!?"
+#: a blank or none and letters (of blocks that Unicode has filled for long): one token of the pre-tokenizer, whatever its tables
+_LETTER = "A-Za-z\u00c0-\u00d6\u00d8-\u00f6\u00f8-\u024f"
+WORD, MARKED = f"^ ?[{_LETTER}]+$", f"[0-9{_LETTER}][{MARKS}]$"
+#: the letters in which a byte-level BPE writes the 256 bytes: printable ones stand for themselves
+_SEEN = [*range(33, 127), *range(161, 173), *range(174, 256)]
+LETTERS = {b: chr(b) for b in _SEEN} | {b: chr(256 + i) for i, b in enumerate(sorted(set(range(256)) - set(_SEEN)))}
 #: One encoder for each Python worker and vocabulary file
 _encoders: dict[str, Encoder] = {}
 
@@ -34,9 +40,43 @@ class Encoder:
 
         self.tokenizer = Tokenizer.from_file(path)
         self.tokenizer.encode_special_tokens = True  # their strings in a text are ordinary text
+        self.model = self.tokenizer.model
         self.line = self.ids_of("\n")
-        self.marks = {m: self.bytes_of(m) for m in MARKS}
-        self.cache, self.stems = Memo(CACHE_LIMIT), Memo(CACHE_LIMIT)
+        self.marks = np.array([self.ids_of(m)[0] for m in MARKS], np.int32)
+        self.forget()
+
+    def forget(self) -> None:
+        """Remembered pieces as one Arrow array; the ids of piece i are ``sizes[i]`` of ``flat`` from ``starts[i]`` on."""
+        self.names = pa.array([], pa.string())
+        self.flat, self.sizes, self.starts, self.used = np.zeros(0, np.int32), np.zeros(0, np.int64), np.zeros(0, np.int64), np.zeros(0, np.int64)
+        self.turn = 0
+
+    def remember(self, names: pa.Array, flat: np.ndarray, sizes: np.ndarray) -> None:
+        self.names = pa.concat_arrays([self.names, names])
+        self.starts = np.concatenate((self.starts, len(self.flat) + np.cumsum(sizes) - sizes))
+        self.flat, self.sizes = np.concatenate((self.flat, flat)), np.concatenate((self.sizes, sizes))
+        self.used = np.concatenate((self.used, np.full(len(sizes), self.turn)))
+
+    def thin(self) -> None:
+        """Too many pieces: the half that was asked for last stays."""
+        if self.names.nbytes > CACHE_BYTES:
+            self.forget()
+        elif len(self.names) > CACHE_LIMIT:
+            stay = np.sort(np.argsort(self.used, kind="stable")[-CACHE_LIMIT // 2 :])
+            names, used, sizes, flat = self.names.take(pa.array(stay)), self.used[stay], self.sizes[stay], self.ids_at(stay)
+            turn = self.turn
+            self.forget()
+            self.remember(names, flat, sizes)
+            self.used, self.turn = used, turn
+
+    def ids_at(self, places: np.ndarray) -> np.ndarray:
+        """The ids of the pieces at these places, one after the other."""
+        each = self.sizes[places]
+        before = np.cumsum(each) - each
+        # a slice has far fewer than 2^31 ids, so positions fit 32 bits
+        at = np.repeat((self.starts[places] - before).astype(np.int32), each)
+        at += np.arange(len(at), dtype=np.int32)
+        return self.flat[at]
 
     def pieces(self, text: str) -> list[str]:
         """The text cut into pieces; a line feed between two words is a piece of its own, written as the empty string."""
@@ -45,16 +85,63 @@ class Encoder:
             out += ["", piece[1:]] if piece[:1] == "\n" and len(piece) > 1 and not piece[1:2].isspace() else [piece]
         return out
 
-    def learn(self, pieces: list[str]) -> list[bytes]:
-        """Ids of pieces never met.  A mark after a letter or digit is a token of its own, so it is split off first."""
-        out = []
-        stems = [p[:-1] if len(p) > 1 and p[-1] in MARKS and p[-2].isalnum() else p for p in pieces]
-        known = self.stems.filled(dict.fromkeys(stems), self.fresh)
-        for p, stem in zip(pieces, stems):
-            out.append(known[stem] if p is stem else known[stem] + self.marks[p[-1]])
+    def places(self, pieces: pa.Array) -> np.ndarray:
+        """Where the distinct ``pieces`` are remembered; those never met are encoded first.
+
+        A mark after a letter or digit is a token of its own, so it is split off before.
+        """
+        self.turn += 1
+        self.thin()
+        found = pc.index_in(pieces, value_set=self.names)
+        out = found.fill_null(-1).to_numpy().astype(np.int64)
+        new = out < 0
+        if new.any():
+            names = pieces.filter(pa.array(new))
+            marked = pc.match_substring_regex(names, MARKED)
+            stems = pc.if_else(marked, pc.utf8_slice_codeunits(names, 0, -1), names).dictionary_encode()
+            of_stem = pc.index_in(stems.dictionary, value_set=self.names).fill_null(-1).to_numpy().astype(np.int64)
+            strange = of_stem < 0
+            order, *learnt = self.fresh(stems.dictionary.filter(pa.array(strange)))
+            of_stem[np.flatnonzero(strange)[order]] = len(self.names) + np.arange(len(order))
+            self.remember(*learnt)
+            place, marked = of_stem[stems.indices.to_numpy()], marked.to_numpy(zero_copy_only=False)
+            ends = names.filter(pa.array(marked))
+            sizes = self.sizes[place[marked]] + 1
+            flat, last = np.empty(sizes.sum(), np.int32), np.cumsum(sizes) - 1
+            own = np.ones(len(flat), bool)
+            own[last] = False
+            flat[own] = self.ids_at(place[marked])
+            flat[last] = self.marks[pc.index_in(pc.utf8_slice_codeunits(ends, -1), value_set=pa.array(list(MARKS))).to_numpy()]
+            place[marked] = len(self.names) + np.arange(len(ends))
+            self.remember(ends, flat, sizes)
+            out[new] = place
+        self.used[out] = self.turn
         return out
 
-    def fresh(self, pieces: list[str]) -> list[bytes]:
+    def fresh(self, stems: pa.Array) -> tuple[np.ndarray, pa.Array, np.ndarray, np.ndarray]:
+        """The stems' order in which the rest is given, names, ids one after the other and how many each has.
+
+        Plain words go to the model of the vocabulary at once, all others through the whole tokenizer.
+        """
+        plain = pc.match_substring_regex(stems, WORD).to_numpy(zero_copy_only=False)
+        order = np.concatenate((np.flatnonzero(plain), np.flatnonzero(~plain)))
+        names = stems.take(pa.array(order))
+        listed, n = names.to_numpy(zero_copy_only=False).tolist(), int(plain.sum())
+        flat, sizes = self.words(listed[:n])
+        others = self.others(listed[n:])
+        more = np.fromiter(map(len, others), np.int64, len(others)) // 4
+        return order, names, np.concatenate((flat, np.frombuffer(b"".join(others), "<i4"))), np.concatenate((sizes, more))
+
+    def words(self, words: list[str]) -> tuple[np.ndarray, np.ndarray]:
+        """Ids of words that are one token of the pre-tokenizer each, one after the other, and how many each has."""
+        if not words:
+            return np.zeros(0, np.int32), np.zeros(0, np.int64)
+        merge = self.model.tokenize
+        found = [[t.id for t in merge(w)] for w in "\n".join(words).encode().decode("latin-1").translate(LETTERS).split(LETTERS[10])]
+        sizes = np.fromiter(map(len, found), np.int64, len(found))
+        return np.fromiter(chain.from_iterable(found), np.int32, sizes.sum()), sizes
+
+    def others(self, pieces: list[str]) -> list[bytes]:
         # many pieces in one call: a line feed before each new one is an id of its own
         joined = [len(self.line) == 1 and bool(p) and "\n" not in p and not p[-1].isspace() and not p[:2].isspace() for p in pieces]
         lines = [p for p, j in zip(pieces, joined) if j]
@@ -83,18 +170,9 @@ class Encoder:
             return self.encode_odd(texts, odd)
         cut = pc.split_pattern(pc.replace_substring(pc.replace_substring(texts, "\n", "\n\n"), " ", "\n "), "\n")
         words = cut.values.dictionary_encode()
-        pieces = words.dictionary.to_pylist()
-        look = self.cache.filled(pieces, self.learn)
-        known = [look[p] for p in pieces]
-        sizes = np.fromiter(map(len, known), np.int32, len(known)) // 4
-        ids = np.frombuffer(b"".join(known), "<i4")
-        index = words.indices.to_numpy(zero_copy_only=False)
-        each = sizes[index]
-        ends = np.cumsum(each, dtype=np.int64)
-        # a slice has far fewer than 2^31 ids, so positions fit 32 bits
-        place = np.repeat(((np.cumsum(sizes) - sizes)[index] - (ends - each)).astype(np.int32), each)
-        place += np.arange(len(place), dtype=np.int32)
-        flat = ids[place]
+        place = self.places(words.dictionary)[words.indices.to_numpy(zero_copy_only=False)]
+        ends = np.cumsum(self.sizes[place])
+        flat = self.ids_at(place)
         offsets = cut.offsets.to_numpy()
         run = np.concatenate(([0], ends))
         counts = run[offsets[1:]] - run[offsets[:-1]]
@@ -106,8 +184,10 @@ class Encoder:
         """As above where some texts hold other or adjacent white space: those are cut one by one."""
         plain = self.encode(texts.filter(pa.array(~odd))) if not odd.all() else (np.zeros(0, np.int32), np.zeros(0, np.int64))
         cut = [[""] if t == "\n" else self.pieces(t) for t in texts.filter(pa.array(odd)).to_pylist()]
-        look = self.cache.filled(set(chain.from_iterable(cut)), self.learn).__getitem__
-        found = iter([np.frombuffer(b"".join(map(look, c)), "<i4") for c in cut])
+        words = pa.array(chain.from_iterable(cut), pa.string()).dictionary_encode()
+        place = self.places(words.dictionary)[words.indices.to_numpy()]
+        ends = np.concatenate(([0], np.cumsum(self.sizes[place])))[np.cumsum([len(c) for c in cut])]
+        found = iter(np.split(self.ids_at(place), ends[:-1]))
         rest = iter(np.split(plain[0], np.cumsum(plain[1])[:-1]) if len(plain[1]) else [])
         parts = [next(found) if o else next(rest) for o in odd]
         return np.concatenate(parts), np.array([len(x) for x in parts], np.int64)
@@ -130,7 +210,7 @@ def _encode(path: str, end_id: int):
             _encoders[path] = Encoder(path)
         encoder = _encoders[path]
         for batch in batches:
-            for part in slices(batch, 1, 4_000_000):
+            for part in slices(batch, 1, 12_000_000):
                 flat, counts = encoder.encode(part.column(1))
                 sizes = counts + 1
                 values = np.empty(len(flat) + len(sizes), np.int32)

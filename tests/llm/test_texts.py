@@ -7,6 +7,7 @@ import zlib
 
 import numpy as np
 import public_tokenizers
+import pyarrow as pa
 import pytest
 from pyspark.sql import functions as F
 
@@ -292,3 +293,21 @@ def test_quality_by_force_and_empty(spark):
     assert no_labels.filter("kept").count() == len(rows)
     s, g = np.array([0.0, 1.0, 2.0, 3.0]), np.array([False, False, True, True])
     assert quality.best_cut(s, g) == 1.5
+
+
+def test_remembered_pieces_are_the_library_s_and_plain_words_skip_its_pre_tokenizer(monkeypatch):
+    monkeypatch.setattr(token_files, "CACHE_LIMIT", 300)
+    encoder = token_files.Encoder(BYTES)
+    ids_of, seen = encoder.ids_of, []
+    draw = random.Random(3)
+    word = lambda: "".join(draw.choice("abcdeéßñøÀł") for _ in range(draw.randrange(1, 9)))
+    mixed = lambda: draw.choice([word, word, lambda: word() + draw.choice(".,;:!?"), lambda: "it's", lambda: "7" + word(), lambda: ",,", lambda: "漢字,", lambda: "Ⅷ.", lambda: "a×b", lambda: "x²!"])()
+    for make in (word, mixed, mixed):
+        texts = [draw.choice([" ", "\n"]).join(make() for _ in range(60)) for _ in range(40)] + ["", "\n", " two  blanks\n\n", "tab\tend "]
+        monkeypatch.setattr(encoder, "ids_of", lambda text: seen.append(len(text)) or ids_of(text))
+        flat, counts = encoder.encode(pa.array(texts))
+        monkeypatch.setattr(encoder, "ids_of", ids_of)
+        assert [x.tolist() for x in np.split(flat, np.cumsum(counts)[:-1])] == [ids_of(t) for t in texts]
+        if make is word:
+            assert sum(seen) < 100
+    assert len(encoder.names) < 5000
