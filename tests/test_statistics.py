@@ -290,3 +290,26 @@ def test_threshold_sweep_makes_no_row_for_each_cell(spark):
         p, q = (sum(x[2] for x in kept) / len(kept) if kept else 0.0), len({x[3] for x in kept} - {None}) / 5
         assert (r.kept, r.purity, r.recall) == (len(kept), pytest.approx(p), pytest.approx(q))
     assert "Expand" not in out._jdf.queryExecution().toString()
+
+
+@pytest.mark.parametrize("slice_bytes", [1 << 20, 200])
+def test_draws_of_replicates_are_looked_up_where_they_are_made(spark, monkeypatch, slice_bytes):
+    """No counts of draws are written or dealt out, whether a tag's rows are one slice or several."""
+    def written(*_):
+        raise AssertionError("draws are written")
+
+    monkeypatch.setattr(E, "draws", written)
+    monkeypatch.setattr(E, "SLICE_BYTES", slice_bytes, raising=False)
+    n, n_boot = 90, 5
+    scores = spark.range(n).selectExpr("id AS image", "'D1' AS detector", "'crack' AS kind", "'in50' AS criterion", "id % 2 AS tp", "id * 40 AS fp", "-id AS fn", "id << 33 AS n_det")
+    groups = spark.range(n + 9).selectExpr("id AS image", "CASE WHEN id % 9 = 4 THEN CAST(NULL AS STRING) WHEN id % 9 < 3 THEN 'a' ELSE 'b' END AS tag")
+    groups = groups.unionByName(groups.filter("image < 10"))  # an image may carry a tag twice
+    got = {(r.tag, r.b): (r.tp, r.fp, r.fn, r.n_det) for r in E.replicates(scores, groups, [("D1", "crack", "in50")], n_boot).collect()}
+    want = {}
+    for tag in "ab":
+        ids = [i for i in [*range(n), *range(10)] if i % 9 != 4 and (i % 9 < 3) == (tag == "a")]
+        order = sorted(ids, key=lambda i: hashlib.md5(f"{E.SEED}|{i}".encode()).hexdigest())
+        for b in range(n_boot + 1):
+            picks = order if not b else [order[int(int(hashlib.md5(f"{E.SEED}|{tag}|{b}|{k}".encode()).hexdigest()[:13], 16) / 2.0**52 * len(order))] for k in range(len(order))]
+            want[tag, b] = (sum(i % 2 for i in picks), sum(i * 40 for i in picks), -sum(picks), sum(i << 33 for i in picks))
+    assert got == want
