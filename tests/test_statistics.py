@@ -313,3 +313,28 @@ def test_draws_of_replicates_are_looked_up_where_they_are_made(spark, monkeypatc
             picks = order if not b else [order[int(int(hashlib.md5(f"{E.SEED}|{tag}|{b}|{k}".encode()).hexdigest()[:13], 16) / 2.0**52 * len(order))] for k in range(len(order))]
             want[tag, b] = (sum(i % 2 for i in picks), sum(i * 40 for i in picks), -sum(picks), sum(i << 33 for i in picks))
     assert got == want
+
+
+def test_poisson_hashes_an_image_once_for_all_its_tags_and_any_length_of_its_name(spark, monkeypatch):
+    """More sets of tags than are held at once, names of four lengths and a tag carried twice; one pass of hashes a replicate over rows of any length."""
+    from boxlens.functions import lanes
+
+    passes = []
+    states = lanes._states
+    monkeypatch.setattr(lanes, "_states", lambda words, n: passes.append(n) or states(words, n))
+    assert len(list(lanes.suffixed(b"s|", [b"1", b"22", b"333", b"4444"], [b"|1", b"|22"]))) == 2 and passes == [4, 4]
+    monkeypatch.setattr(lanes, "_states", states)
+    monkeypatch.setattr(E, "TAG_SETS", 3, raising=False)
+    n, n_boot = 130, 6
+    scores = spark.range(n).selectExpr("id * id AS image", "'D1' AS detector", "'crack' AS kind", "'in50' AS criterion", "id % 5 AS tp", "id AS fp", "id % 3 AS fn", "1L AS n_det")
+    groups = spark.range(n).selectExpr("id * id AS image", "explode(array('all', concat('t', id % 4), concat('u', id % 3), concat('u', id % 2))) AS tag")
+    got = {(r.tag, r.b): (r.tp, r.fp, r.fn, r.n_det) for r in E.replicates(scores, groups, [("D1", "crack", "in50")], n_boot, method="poisson").collect()}
+    want = {}
+    for i in range(n):
+        for b in range(n_boot + 1):
+            u = int(hashlib.md5(f"{E.SEED}|{i * i}|{b}".encode()).hexdigest()[:13], 16) / 2.0**52
+            times = sum(u >= t for t in E.POISSON_UPTO) if b else 1
+            for tag in ("all", f"t{i % 4}", f"u{i % 3}", f"u{i % 2}"):
+                old = want.get((tag, b), (0, 0, 0, 0))
+                want[tag, b] = tuple(o + times * v for o, v in zip(old, (i % 5, i, i % 3, 1)))
+    assert got == want
